@@ -31,6 +31,12 @@ def combine(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def blank_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Empty text becomes NULL, the one spelling of a missing value; ``NA`` or ``None`` stay text."""
+    text_columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.nullif(c, F.lit("")) for c in columns or text_columns})
+
+
 def clean(plays: DataFrame, min_ms: int | None = MIN_PLAY_MS) -> DataFrame:
     """Parse ``ts`` (a bad value fails), add calendar fields and minutes, drop short plays.
 

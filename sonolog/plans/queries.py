@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import media, numbers, temporal, text
 from ..operators import (
@@ -26,7 +28,7 @@ from ..operators import (
     metadata,
     trends,
 )
-from ..schemas import ARTIST, KEYS, PAIR, TRACK
+from ..schemas import ARTIST, EPISODE_COLUMNS, KEYS, PAIR, TRACK
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +38,16 @@ MIN_MS = cleaning.MIN_PLAY_MS
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query; its dates leave as midnight timestamps, which every client compares alike."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        days = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
+        return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in days}) if days else df
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def _plays(s: SparkSession, d: str) -> DataFrame:
@@ -73,7 +83,7 @@ def canonical_plays(s, d):
             "ms_played": F.when(F.col("play_id") % 89 == 0, "n/a").otherwise(F.col("ms_played").cast("string")),
         }
     )
-    return cleaning.canonicalise(raw.drop("platform"), null_label="nan")
+    return cleaning.canonicalise(cleaning.blank_to_null(raw.drop("platform")), null_label="nan")
 
 
 @query
@@ -343,7 +353,8 @@ def media_split_songs(s, d):
 
 @query
 def media_inferred(s, d):
-    return media.with_media(_plays(s, d).drop("platform")).select("play_id", "media")
+    p = cleaning.blank_to_null(_plays(s, d).drop("platform"), EPISODE_COLUMNS)
+    return media.with_media(p).select("play_id", "media")
 
 
 @query
@@ -644,7 +655,7 @@ def monthly_by_top_genre(s, d):
 
 def _canonical(s, d):
     enriched = catalog.attach_catalog(_plays(s, d).drop("platform", "year", "month", "day", "weekday", "hour"), tables.catalog(s, d))
-    return cleaning.canonicalise(enriched)
+    return cleaning.canonicalise(cleaning.blank_to_null(enriched, EPISODE_COLUMNS))
 
 
 @query
