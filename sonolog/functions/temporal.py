@@ -24,9 +24,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_utc(ts: Column) -> Column:
-    """Instant -> zone-free UTC timestamp, whatever the session zone is."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+def to_utc(ts: Column | str) -> Column:
+    """Instant -> zone-free UTC timestamp.
+
+    Counted from the epoch, because a way through local time is ambiguous when clocks go back.
+    """
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def epoch_micros(utc: Column | str) -> Column:
+    """Zone-free UTC timestamp -> microseconds since the epoch."""
+    t = _col(utc)
+    second = (F.extract(F.lit("SECOND"), t) * F.lit(1000000)).cast("long")
+    minute = F.unix_date(F.to_date(t)).cast("long") * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minute * 60000000 + second
+
+
+def instant(utc: Column | str) -> Column:
+    """Zone-free UTC timestamp -> instant, the type event-time operators ask for."""
+    return F.timestamp_micros(epoch_micros(utc))
 
 
 def parse_utc(c: Column | str) -> Column:

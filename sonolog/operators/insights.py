@@ -106,7 +106,7 @@ def repeat_gaps(plays: DataFrame, n: int = 20) -> DataFrame:
     by = plays.dropna(subset=PAIR).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("plays"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
-    span = F.timestamp_diff("MICROSECOND", F.col("first"), F.col("last"))
+    span = temporal.epoch_micros("last") - temporal.epoch_micros("first")
     gap = span.cast("double") / F.lit(3600000000) / (F.col("plays") - 1)
     return (
         by.where(F.col("plays") > 1)

@@ -699,6 +699,47 @@ ORACLES: dict[str, str] = {
     ),
 }
 
+ORACLES.update(
+    {
+        "json_history_ingest": _with(
+            f"""SELECT ts, ms_played, {_PAIR}, dayname(ts) AS weekday, hr AS hour, ms_played / 60000 AS minutes_played
+            FROM plays""",
+            "plays",
+        ),
+        "json_history_ordered": _with(
+            f"""SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count(*) AS plays,
+            count({TRACK}) AS tracks, count(*) AS positions FROM plays GROUP BY 1, 2""",
+            "plays",
+        ),
+        "csv_history_scan": _with(f"SELECT play_id, ts, ms_played, {_PAIR} FROM plays", "plays"),
+        "media_split_written": _with(
+            """SELECT CASE WHEN platform = 'error' THEN 'podcast' ELSE 'song' END AS media_type, count(*) AS plays
+            FROM plays GROUP BY 1""",
+            "plays",
+        ),
+        "stream_daily_minutes": _with(
+            "SELECT CAST(ts AS DATE) AS day, sum(ms_played)::BIGINT / 60000 AS minutes FROM plays GROUP BY 1", "plays"
+        ),
+        "stream_enrich": _with(
+            f"""SELECT p.play_id, p.ms_played, p.{TRACK}, p.{ARTIST}, m.spotify_id, m.track_popularity
+            FROM plays p LEFT JOIN meta1 m ON p.tk = m.tk AND p.ak = m.ak""",
+            "plays",
+            "meta1",
+        ),
+        "stream_suppress_repeats": _with(
+            f"""SELECT CAST(ts AS DATE) AS day, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms FROM
+            (SELECT DISTINCT ts, ms_played, {_PAIR}, spotify_episode_uri FROM plays_all) GROUP BY 1""",
+            "plays_all",
+        ),
+        "stream_ledger": _with("SELECT * FROM hit_entries", "hit_entries"),
+        "ledger_rebuilt_from_metadata": _with(
+            """SELECT key, max('{"spotify_id":"' || spotify_id || '","track_popularity":' || track_popularity
+            || ',"track_preview_url":null}') AS meta_json FROM flat GROUP BY key""",
+            "flat",
+        ),
+    }
+)
+
 # Date columns leave as midnight timestamps, as on the Spark side.
 _DAYS: dict[str, list[str]] = {
     "canonical_plays": ["day", "month"],
@@ -715,6 +756,8 @@ _DAYS: dict[str, list[str]] = {
     "discovery_rate": ["month"],
     "repeat_listening": ["month"],
     "release_year_plays": ["first_release"],
+    "stream_daily_minutes": ["day"],
+    "stream_suppress_repeats": ["day"],
 }
 for _name, _columns in _DAYS.items():
     _casts = ", ".join(f"CAST({c} AS TIMESTAMP) AS {c}" for c in _columns)

@@ -27,12 +27,16 @@ def _artist_number(k: Column, spread: Column) -> Column:
 
 
 def plays(spark: SparkSession, sf_dir: str, min_ms: int | None = None) -> DataFrame:
-    """Plays out of ``events``.
+    """Plays out of ``events``."""
+    return plays_from_events(table(spark, sf_dir, "events"), min_ms)
+
+
+def plays_from_events(e: DataFrame, min_ms: int | None = None) -> DataFrame:
+    """Events, batch or stream, as plays.
 
     ``min_ms`` keeps plays of at least that length. Next to the exact test on ``ms_played`` a
     slightly wider one on the stored column goes along, which the Parquet reader can use.
     """
-    e = table(spark, sf_dir, "events")
     if min_ms is not None:
         e = e.where(F.col("value") >= (min_ms - 1) / 1000.0)
     e = e.withColumns(
