@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EPISODE_COLUMNS
 
 SONG, PODCAST, UNKNOWN = "song", "podcast", "unknown"
-EPISODE_URI = "spotify:episode:"
 # Column names that already tell the type, in order of preference.
 MEDIA_COLUMNS = ["media_type", "type", "content_type", "is_podcast"]
 # Spellings of a boolean, and the ones that mean true.
@@ -18,37 +15,37 @@ BOOLEAN_TEXT = ["True", "False", "0", "1", "true", "false"]
 TRUE_TEXT = ["true", "1", "yes"]
 
 
-def _or(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, terms, F.lit(False))
+def _list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _podcast_if(terms: list[str]) -> Column:
+    return F.expr(f"if({' or '.join(terms) or 'false'}, '{PODCAST}', '{SONG}')")
 
 
 def by_episode_fields(columns: list[str] | None = None) -> Column:
     """Podcast when any episode column holds text."""
-    cols = EPISODE_COLUMNS if columns is None else columns
-    return F.when(_or([F.coalesce(F.col(c), F.lit("")) != "" for c in cols]), PODCAST).otherwise(SONG)
+    return _podcast_if([f"coalesce({c}, '') <> ''" for c in columns or EPISODE_COLUMNS])
 
 
 def by_inference(columns: list[str]) -> Column:
     """Podcast when any ``*episode*`` column is non-NULL or any ``*uri*`` names an episode."""
-    episode = [F.col(c).isNotNull() for c in columns if "episode" in c.lower()]
+    episode = [f"{c} is not null" for c in columns if "episode" in c.lower()]
     uris = [
-        F.coalesce(F.col(c).cast("string").contains(EPISODE_URI), F.lit(False))
-        for c in columns
-        if "uri" in c.lower()
+        f"coalesce(contains(cast({c} as string), 'spotify:episode:'), false)" for c in columns if "uri" in c.lower()
     ]
-    return F.when(_or(episode + uris), PODCAST).otherwise(SONG)
+    return _podcast_if(episode + uris)
 
 
-def from_flag(c: Column | str) -> Column:
+def from_flag(column: str) -> Column:
     """Boolean spelling -> type."""
-    s = F.lower((F.col(c) if isinstance(c, str) else c).cast("string"))
-    return F.when(s.isin(TRUE_TEXT), PODCAST).otherwise(SONG)
+    return F.expr(f"if(lower(cast({column} as string)) in {_list(TRUE_TEXT)}, '{PODCAST}', '{SONG}')")
 
 
-def from_label(c: Column | str) -> Column:
+def from_label(column: str) -> Column:
     """Type label -> type; anything else is unknown."""
-    s = F.lower((F.col(c) if isinstance(c, str) else c).cast("string"))
-    return F.when(s.isin(PODCAST, SONG), s).otherwise(UNKNOWN)
+    known = f"lower(cast({column} as string)) in ('{PODCAST}', '{SONG}')"
+    return F.expr(f"if({known}, lower(cast({column} as string)), '{UNKNOWN}')")
 
 
 def with_media(df: DataFrame, boolean_like: bool | None = None) -> DataFrame:
@@ -57,11 +54,13 @@ def with_media(df: DataFrame, boolean_like: bool | None = None) -> DataFrame:
     A column counts as boolean-like when any of its values is a boolean spelling; that is a
     property of the data, so it is read through a scalar subquery unless the caller knows it.
     """
-    named = next((c for c in MEDIA_COLUMNS if c in df.columns), None)
+    columns = df.columns
+    named = next((c for c in MEDIA_COLUMNS if c in columns), None)
     if named is None:
-        return df.withColumn("media", by_inference(df.columns))
+        return df.withColumn("media", by_inference(columns))
     if boolean_like is None:
-        text = F.col(named).cast("string")
-        seen = df.agg(F.coalesce(F.bool_or(text.isin(BOOLEAN_TEXT)), F.lit(False))).scalar()
+        seen = df.agg(
+            F.expr(f"coalesce(bool_or(cast({named} as string) in {_list(BOOLEAN_TEXT)}), false)")
+        ).scalar()
         return df.withColumn("media", F.when(seen, from_flag(named)).otherwise(from_label(named)))
     return df.withColumn("media", from_flag(named) if boolean_like else from_label(named))

@@ -1,51 +1,46 @@
-"""Units, coercions and percentages."""
+"""Units, coercions and percentages; arguments are SQL expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MS_PER_MINUTE = 60000
-MS_PER_HOUR = 3600000
+# Sums of integers, zero for no rows.
+SUM_MS = "coalesce(sum(ms_played), 0)"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def minutes(ms: Column | str) -> Column:
+def minutes(ms: str) -> Column:
     """Milliseconds -> minutes as double; sum the integers first, divide once."""
-    return _col(ms) / F.lit(MS_PER_MINUTE)
+    return F.expr(f"{ms} / 60000")
 
 
-def hours(ms: Column | str) -> Column:
-    return _col(ms) / F.lit(MS_PER_HOUR)
+def hours(ms: str) -> Column:
+    return F.expr(f"{ms} / 3600000")
 
 
-def number_or_null(c: Column | str) -> Column:
-    return _col(c).try_cast("double")
+def number_or_null(e: str) -> Column:
+    return F.expr(f"try_cast({e} as double)")
 
 
-def number_or_zero(c: Column | str) -> Column:
-    return F.coalesce(_col(c).try_cast("double"), F.lit(0.0))
+def number_or_zero(e: str) -> Column:
+    return F.expr(f"coalesce(try_cast({e} as double), 0D)")
 
 
-def percent(part: Column | str, whole: Column | str) -> Column:
+def percent(part: str, whole: str) -> Column:
     """``100 * part / whole``; NULL on an empty whole."""
-    return F.try_divide(_col(part) * F.lit(100.0), _col(whole))
+    return F.expr(f"try_divide(({part}) * 100D, {whole})")
 
 
-def legacy_hours(ms_sum: Column | str) -> Column:
+def legacy_hours(ms: str) -> Column:
     """Minutes rounded to 2 digits (half-even) and only then divided by 60."""
-    return F.bround(minutes(ms_sum), 2) / F.lit(60)
+    return F.expr(f"bround({ms} / 60000, 2) / 60")
 
 
-def is_present(c: Column | str) -> Column:
+def is_present(e: str) -> Column:
     """Non-NULL and non-blank."""
-    s = _col(c)
-    return s.isNotNull() & (F.trim(s.cast("string")) != "")
+    return F.expr(f"coalesce(trim(cast({e} as string)) <> '', false)")
 
 
-def any_present(*cols: Column | str) -> Column:
+def any_present(*columns: str) -> Column:
     """At least one of the columns is non-NULL."""
-    return F.coalesce(*[F.when(_col(c).isNotNull(), F.lit(True)) for c in cols], F.lit(False))
+    return F.expr(" or ".join(f"{c} is not null" for c in columns))

@@ -1,4 +1,4 @@
-"""Timestamps, calendar fields and partial dates.
+"""Timestamps, calendar fields and partial dates; arguments are SQL expressions.
 
 Everything ends as ``timestamp_ntz`` in UTC, so results do not depend on the session zone.
 """
@@ -11,108 +11,91 @@ from pyspark.sql import functions as F
 # English weekday names in ISO order.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 WEEKDAYS_SHORT = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
-# Month -> season of the northern hemisphere.
-SEASONS = {
-    "winter": (12, 1, 2),
-    "spring": (3, 4, 5),
-    "summer": (6, 7, 8),
-    "autumn": (9, 10, 11),
-}
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _names(words: list[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def to_utc(ts: Column | str) -> Column:
+def to_utc_sql(ts: str) -> str:
+    return f"timestampadd(MICROSECOND, unix_micros({ts}), timestamp_ntz'1970-01-01')"
+
+
+def to_utc(ts: str) -> Column:
     """Instant -> zone-free UTC timestamp.
 
     Counted from the epoch, because a way through local time is ambiguous when clocks go back.
     """
-    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.expr(to_utc_sql(ts))
 
 
-def epoch_micros(utc: Column | str) -> Column:
-    """Zone-free UTC timestamp -> microseconds since the epoch."""
-    t = _col(utc)
-    second = (F.extract(F.lit("SECOND"), t) * F.lit(1000000)).cast("long")
-    minute = F.unix_date(F.to_date(t)).cast("long") * 1440 + F.hour(t) * 60 + F.minute(t)
-    return minute * 60000000 + second
+def epoch_micros_sql(utc: str) -> str:
+    minute = f"(unix_date(to_date({utc})) * 1440L + hour({utc}) * 60 + minute({utc}))"
+    return f"({minute} * 60000000 + cast(extract(SECOND FROM {utc}) * 1000000 as bigint))"
 
 
-def instant(utc: Column | str) -> Column:
+def instant(utc: str) -> Column:
     """Zone-free UTC timestamp -> instant, the type event-time operators ask for."""
-    return F.timestamp_micros(epoch_micros(utc))
+    return F.expr(f"timestamp_micros({epoch_micros_sql(utc)})")
 
 
-def parse_utc(c: Column | str) -> Column:
+def parse_utc(e: str) -> Column:
     """ISO text -> UTC timestamp; text that is no timestamp becomes NULL.
 
     Text without an offset is already UTC by definition of the export.
     """
-    s = F.trim(_col(c))
-    zoned = s.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & s.contains(":")
-    return F.when(zoned, to_utc(F.try_to_timestamp(s))).otherwise(
-        s.try_cast("timestamp_ntz")
-    )
+    zoned = rf"trim({e}) rlike ':.*(Z|[+-]\\d{{2}}:?\\d{{2}})$'"
+    return F.expr(f"if({zoned}, {to_utc_sql(f'try_to_timestamp(trim({e}))')}, try_cast(trim({e}) as timestamp_ntz))")
 
 
-def parse_utc_strict(c: Column | str) -> Column:
+def parse_utc_strict(e: str) -> Column:
     """As ``parse_utc`` but a bad value fails the job, with or without ANSI mode."""
-    s = _col(c)
-    bad = F.raise_error(F.concat(F.lit("not a timestamp: "), s)).cast("timestamp_ntz")
-    return F.coalesce(parse_utc(s), F.when(s.isNotNull(), bad))
+    bad = F.expr(f"if({e} is null, null, cast(raise_error(concat('not a timestamp: ', {e})) as timestamp_ntz))")
+    return F.coalesce(parse_utc(e), bad)
 
 
-def weekday_number(ts: Column | str) -> Column:
+def weekday_number(ts: str) -> Column:
     """Monday = 0."""
-    return F.weekday(_col(ts))
+    return F.expr(f"weekday({ts})")
 
 
-def weekday_name(ts: Column | str) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(_col(ts)) + 1)
+def weekday_name(ts: str) -> Column:
+    return F.expr(f"element_at({_names(WEEKDAYS)}, weekday({ts}) + 1)")
 
 
-def weekday_short(number: Column | str) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAYS_SHORT)), _col(number) + 1)
+def weekday_short(number: str) -> Column:
+    return F.expr(f"element_at({_names(WEEKDAYS_SHORT)}, {number} + 1)")
 
 
-def month_start(ts: Column | str) -> Column:
-    return F.trunc(F.to_date(_col(ts)), "month")
+def month_start(ts: str) -> Column:
+    return F.expr(f"trunc(to_date({ts}), 'month')")
 
 
-def season(month: Column | str) -> Column:
-    m = _col(month)
-    out = F.when(m.isin(*SEASONS["winter"]), "winter")
-    for name in ("spring", "summer", "autumn"):
-        out = out.when(m.isin(*SEASONS[name]), name)
-    return out
+def season(month: str) -> Column:
+    """Season of the northern hemisphere; December to February is winter."""
+    return F.expr(f"element_at(array('winter', 'spring', 'summer', 'autumn'), cast({month} % 12 div 3 as int) + 1)")
 
 
 def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Add year, month, day, weekday, hour."""
-    t = F.col(ts)
     return df.withColumns(
         {
-            "year": F.year(t),
-            "month": F.month(t),
-            "day": F.dayofmonth(t),
-            "weekday": weekday_name(t),
-            "hour": F.hour(t),
+            "year": F.year(ts),
+            "month": F.month(ts),
+            "day": F.dayofmonth(ts),
+            "weekday": weekday_name(ts),
+            "hour": F.hour(ts),
         }
     )
 
 
-def release_date(text: Column | str, precision: Column | str) -> Column:
+def release_date(text: str, precision: str) -> Column:
     """Partial date + precision -> first day it can mean; unusable text -> NULL."""
-    s, p = _col(text), _col(precision)
-    full = (
-        F.when(p == "day", s)
-        .when(p == "month", F.concat(s, F.lit("-01")))
-        .when(p == "year", F.concat(s, F.lit("-01-01")))
+    return F.expr(
+        f"""try_cast(case {precision} when 'day' then {text} when 'month' then concat({text}, '-01')
+            when 'year' then concat({text}, '-01-01') end as date)"""
     )
-    return full.try_cast("date")
 
 
-def release_year(text: Column | str) -> Column:
-    return F.substring(_col(text), 1, 4).try_cast("int")
+def release_year(text: str) -> Column:
+    return F.expr(f"try_cast(left({text}, 4) as int)")

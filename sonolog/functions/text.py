@@ -1,4 +1,8 @@
-"""Text keys, labels and genre tokens."""
+"""Text keys, labels and genre tokens.
+
+Arguments are SQL expressions, most often a column name; each function is one expression, so
+building a plan takes one call to the JVM for it.
+"""
 
 from __future__ import annotations
 
@@ -7,95 +11,110 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Python's str.strip sees it: the Unicode property plus four control codes.
-_SPACE = r"[\s\x1c-\x1f]"
-_CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
+# Every character Python's str.strip removes.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACES_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "'"
+# Letters that have a case, as Python's str.title sees them.
+_CASED_SQL = r"'[\\p{IsUppercase}\\p{IsLowercase}\\p{Lt}]'"
 
 KEY_SEPARATOR = "|||"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def strip_sql(e: str) -> str:
+    return f"btrim({e}, {_SPACES_SQL})"
+
+
+def norm_full_sql(e: str) -> str:
+    return f"lower({strip_sql(e)})"
+
+
+def norm_unquoted_sql(e: str) -> str:
+    return f"translate({norm_full_sql(e)}, '\\'\"', '')"
+
+
+def norm_plain_sql(e: str) -> str:
+    return f"lower(trim({e}))"
 
 
-def strip_unicode(c: Column | str) -> Column:
+# Key normalisers by name, as SQL.
+NORMALISERS: dict[str, Callable[[str], str]] = {
+    "full": norm_full_sql,
+    "unquoted": norm_unquoted_sql,
+    "sql": norm_plain_sql,
+}
+
+
+def strip_unicode(e: str) -> Column:
     """Remove leading and trailing white space of every Unicode kind."""
-    return F.regexp_replace(_col(c), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.expr(strip_sql(e))
 
 
-def norm_full(c: Column | str) -> Column:
+def norm_full(e: str) -> Column:
     """Lower case without any surrounding Unicode white space."""
-    return F.lower(strip_unicode(c))
+    return F.expr(norm_full_sql(e))
 
 
-def norm_unquoted(c: Column | str) -> Column:
+def norm_unquoted(e: str) -> Column:
     """``norm_full``, then quotes removed; stripping comes first, so inner blanks survive."""
-    return F.translate(norm_full(c), "'\"", "")
+    return F.expr(norm_unquoted_sql(e))
 
 
-def norm_sql(c: Column | str) -> Column:
-    """SQL ``lower(trim(c))``: only the ordinary space is trimmed."""
-    return F.lower(F.trim(_col(c)))
+def norm_sql(e: str) -> Column:
+    """SQL ``lower(trim())``: only the ordinary space is trimmed."""
+    return F.expr(norm_plain_sql(e))
 
 
-NORMALISERS: dict[str, Callable[[Column | str], Column]] = {
-    "full": norm_full,
-    "unquoted": norm_unquoted,
-    "sql": norm_sql,
-}
+def composite_key_sql(track: str, artist: str) -> str:
+    return f"concat({track}, '{KEY_SEPARATOR}', {artist})"
 
 
-def composite_key(track: Column | str, artist: Column | str) -> Column:
+def composite_key(track: str, artist: str) -> Column:
     """``track|||artist``; NULL when either part is NULL, so it never matches."""
-    t, a = _col(track), _col(artist)
-    return F.when(t.isNotNull() & a.isNotNull(), F.concat_ws(KEY_SEPARATOR, t, a))
+    return F.expr(composite_key_sql(track, artist))
 
 
-def title_case(c: Column | str) -> Column:
+def title_case(e: str) -> Column:
     """Upper case after every uncased character, lower case elsewhere (``r&b`` -> ``R&B``)."""
-    s = _col(c)
-
-    def at(i: Column) -> Column:
-        ch = F.substr(s, i, F.lit(1))
-        after_letter = (i > 1) & F.substr(s, i - 1, F.lit(1)).rlike(_CASED)
-        return F.when(after_letter, F.lower(ch)).otherwise(F.upper(ch))
-
-    titled = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(s)), at))
-    return F.when(F.length(s) > 0, titled).otherwise(s)
+    letters = f"""transform(sequence(1, length({e})), i ->
+        if(i > 1 and substr({e}, i - 1, 1) rlike {_CASED_SQL}, lower(substr({e}, i, 1)), upper(substr({e}, i, 1))))"""
+    return F.expr(f"if(length({e}) > 0, concat_ws('', {letters}), {e})")
 
 
-def genre_tokens(c: Column | str) -> Column:
+def genre_tokens(e: str) -> Column:
     """Comma list -> array of tokens, case kept, blanks kept."""
-    return F.transform(F.split(_col(c), ","), strip_unicode)
+    return F.expr(f"transform(split({e}, ','), g -> {strip_sql('g')})")
 
 
-def genre_tokens_folded(c: Column | str) -> Column:
+def genre_tokens_folded(e: str) -> Column:
     """Comma list -> array of lower-case tokens without blanks; label with ``title_case`` later."""
-    return F.filter(F.transform(F.split(_col(c), r",\s*"), norm_full), lambda g: g != "")
+    return F.expr(f"filter(transform(split({e}, ','), g -> {norm_full_sql('g')}), g -> g <> '')")
 
 
-def primary_genre(c: Column | str, default: str | None = "Unknown") -> Column:
+def primary_genre(e: str, default: str | None = "Unknown") -> Column:
     """First item of a comma list, trimmed."""
-    first = strip_unicode(F.split(_col(c), ",").getItem(0))
-    return first if default is None else F.coalesce(first, F.lit(default))
+    first = strip_sql(f"split({e}, ',')[0]")
+    return F.expr(first) if default is None else F.expr(f"coalesce({first}, '{default}')")
 
 
-def pair_label(track: Column | str, artist: Column | str) -> Column:
+def pair_label(track: str, artist: str) -> Column:
     """``track — artist``; a missing artist leaves an empty right side."""
-    return F.concat(_col(track), F.lit(" — "), F.coalesce(_col(artist), F.lit("")))
+    return F.expr(f"concat({track}, ' — ', coalesce({artist}, ''))")
 
 
-def shorten(c: Column | str, limit: int = 20) -> Column:
+def shorten(e: str, limit: int = 20) -> Column:
     """Cut to ``limit`` characters and mark the cut."""
-    s = _col(c)
-    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("..."))).otherwise(s)
+    return F.expr(f"if(length({e}) > {limit}, concat(left({e}, {limit}), '...'), {e})")
 
 
-def drop_suffix(c: Column | str, suffix: str) -> Column:
+def drop_suffix(e: str, suffix: str) -> Column:
     """Remove every occurrence of a literal suffix marker from a label."""
-    return F.replace(_col(c), F.lit(suffix), F.lit(""))
+    return F.expr(f"replace({e}, '{suffix}', '')")
 
 
-def feature_at_year(year: Column | str, value: Column | str) -> Column:
+def feature_at_year(year: str, value: str) -> Column:
     """``2001 (0.437)``."""
-    return F.format_string("%d (%.3f)", _col(year).cast("int"), _col(value))
+    return F.expr(f"format_string('%d (%.3f)', {year}, {value})")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..functions.text import composite_key
+from ..functions.text import composite_key_sql
 from ..schemas import KEYS, PAIR
 from .cleaning import unique_pairs, with_keys
 from .numbering import number_rows
@@ -22,42 +22,36 @@ def enriched_signal(df: DataFrame):
     if "track_id" in df.columns:
         return numbers.is_present("track_id")
     if "popularity" in df.columns:
-        return F.col("popularity").isNotNull()
+        return F.expr("popularity is not null")
     return F.lit(False)
 
 
 def external_keys(enriched: DataFrame, normaliser: str = "full") -> DataFrame:
     """Distinct keys of the rows the catalogue matched."""
     rows = enriched.where(enriched_signal(enriched)).select(*PAIR).dropna().dropDuplicates()
-    return with_keys(rows, normaliser).select(composite_key(*KEYS).alias("key")).distinct()
+    return with_keys(rows, normaliser).selectExpr(f"{composite_key_sql(*KEYS)} as key").distinct()
 
 
 def completed_keys(ledger: DataFrame) -> DataFrame:
     """Keys whose ledger entry holds metadata."""
-    return ledger.where(F.col("meta_json").isNotNull()).select("key").distinct()
+    return ledger.where("meta_json is not null").select("key").distinct()
 
 
 def work_queue(plays: DataFrame, external: DataFrame, completed: DataFrame, normaliser: str = "full") -> DataFrame:
     """Unique raw pairs of the plays that neither source covers, with their key."""
-    keyed = with_keys(unique_pairs(plays), normaliser).withColumn("key", composite_key(*KEYS)).drop(*KEYS)
+    keyed = with_keys(unique_pairs(plays), normaliser).selectExpr(*PAIR, f"{composite_key_sql(*KEYS)} as key")
     return keyed.join(external, "key", "left_anti").join(completed, "key", "left_anti")
 
 
 def batches(queue: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Cut a queue into batches of ``size`` rows; only the last may be smaller."""
-    row = F.to_json(F.struct(*PAIR))
-    return number_rows(queue, row).withColumn("batch_id", F.floor(F.col("row_no") / size)).drop("row_no")
+    row = f"to_json(struct({', '.join(PAIR)}))"
+    return number_rows(queue, row).selectExpr("*", f"row_no div {size} as batch_id").drop("row_no")
 
 
 def batch_metrics(batched: DataFrame, results: DataFrame) -> DataFrame:
     """Per batch: attempted, processed (a result is stored), skipped; ``results`` is unique on ``key``."""
-    found = results.select("key").withColumn("__found", F.lit(True))
-    return (
-        batched.join(found, "key", "left")
-        .groupBy("batch_id")
-        .agg(
-            F.count(F.lit(1)).alias("attempted"),
-            F.count("__found").alias("processed"),
-        )
-        .withColumn("skipped", F.col("attempted") - F.col("processed"))
-    )
+    found = results.selectExpr("key", "true as __found")
+    by = batched.join(found, "key", "left").groupBy("batch_id")
+    counted = by.agg(F.expr("count(1) as attempted"), F.expr("count(__found) as processed"))
+    return counted.selectExpr("*", "attempted - processed as skipped")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -17,13 +17,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     Spark cuts each map task's output to one row per key before the shuffle, so a key that
     occurs very often costs no more than any other.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.dropna(subset=keys)
-        .withColumn("__rn", F.row_number().over(w))
-        .where(F.col("__rn") == 1)
-        .drop("__rn")
-    )
+    rank = f"row_number() over (partition by {', '.join(keys)} order by {', '.join(order)}) as __rn"
+    return df.dropna(subset=keys).selectExpr("*", rank).where("__rn = 1").drop("__rn")
 
 
 def keyed_catalog(catalog: DataFrame, normaliser: str = "unquoted", order: list[str] | None = None) -> DataFrame:
@@ -35,16 +30,16 @@ def keyed_catalog(catalog: DataFrame, normaliser: str = "unquoted", order: list[
 def match_pairs(plays: DataFrame, catalog: DataFrame, normaliser: str = "unquoted") -> DataFrame:
     """Every unique raw pair of the plays with its catalogue row, if it has one, and ``matched``."""
     pairs = with_keys(unique_pairs(plays), normaliser)
-    firsts = keyed_catalog(catalog, normaliser).withColumn("matched", F.lit(True))
-    out = pairs.join(firsts, KEYS, "left").drop(*KEYS)
-    return out.withColumn("matched", F.coalesce("matched", F.lit(False)))
+    firsts = keyed_catalog(catalog, normaliser).selectExpr("*", "true as __hit")
+    out = pairs.join(firsts, KEYS, "left").selectExpr("*", "coalesce(__hit, false) as matched")
+    return out.drop(*KEYS, "__hit")
 
 
 def match_rate(matches: DataFrame) -> DataFrame:
     """Unique pairs, matched pairs, percentage."""
     return matches.agg(
-        F.count(F.lit(1)).alias("unique_pairs"),
-        F.count_if("matched").alias("matched_pairs"),
+        F.expr("count(1) as unique_pairs"),
+        F.expr("count_if(matched) as matched_pairs"),
     ).withColumn("matched_pct", numbers.percent("matched_pairs", "unique_pairs"))
 
 
@@ -80,11 +75,10 @@ def value_counts(df: DataFrame, column: str, n: int = 10, weight: str | None = N
 
     ``weight`` names a column with the number of plays a row stands for.
     """
-    plays = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         df.dropna(subset=[column])
         .groupBy(column)
-        .agg(plays.alias("plays"))
+        .agg(F.expr(f"sum({weight or 1}) as plays"))
         .orderBy(F.desc("plays"), column)
         .limit(n)
     )

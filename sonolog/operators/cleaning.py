@@ -42,18 +42,19 @@ def clean(plays: DataFrame, min_ms: int | None = MIN_PLAY_MS) -> DataFrame:
 
     The length test comes first so that it reaches the scan; a NULL length drops the row.
     """
-    df = plays if min_ms is None else plays.where(F.col("ms_played") >= min_ms)
-    if isinstance(df.schema["ts"].dataType, T.StringType):
+    df = plays if min_ms is None else plays.where(f"ms_played >= {min_ms}")
+    kind = dict(df.dtypes)["ts"]
+    if kind == "string":
         df = df.withColumn("ts", temporal.parse_utc_strict("ts"))
-    elif isinstance(df.schema["ts"].dataType, T.TimestampType):
-        df = df.withColumn("ts", temporal.to_utc(F.col("ts")))
+    elif kind == "timestamp":
+        df = df.withColumn("ts", temporal.to_utc("ts"))
     return temporal.with_calendar(df).withColumn("minutes_played", numbers.minutes("ms_played"))
 
 
 def with_keys(df: DataFrame, normaliser: str = "sql", track: str = TRACK, artist: str = ARTIST) -> DataFrame:
     """Add ``track_key`` and ``artist_key``."""
     norm = text.NORMALISERS[normaliser]
-    return df.withColumns({KEYS[0]: norm(track), KEYS[1]: norm(artist)})
+    return df.selectExpr("*", f"{norm(track)} as {KEYS[0]}", f"{norm(artist)} as {KEYS[1]}")
 
 
 def unique_pairs(df: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def canonicalise(
         if isinstance(kind, T.StringType):
             instant = temporal.parse_utc(when)
         elif isinstance(kind, T.TimestampType):
-            instant = temporal.to_utc(F.col(when))
+            instant = temporal.to_utc(when)
         else:
             instant = F.col(when).cast("timestamp_ntz")
     elif {"year", "month", "day"} <= set(df.columns):
@@ -114,7 +115,7 @@ def canonicalise(
     length = first_of(df, MINUTES_CANDIDATES)
     minutes = F.lit(0.0) if length is None else numbers.number_or_zero(length)
     if length == "ms_played":
-        minutes = minutes / F.lit(numbers.MS_PER_MINUTE)
+        minutes = minutes / F.lit(60000)
 
     genre = first_of(df, GENRE_CANDIDATES)
     genre_std = F.lit(default_genre) if genre is None else text.primary_genre(genre, null_label)

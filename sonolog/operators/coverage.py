@@ -23,7 +23,7 @@ OVERLAP_FACTOR = 0.9
 
 def pair_counts(plays: DataFrame) -> DataFrame:
     """Plays per raw pair, NULL pairs included."""
-    return plays.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("plays"))
+    return plays.groupBy(*PAIR).agg(F.expr("count(1) as plays"))
 
 
 def pair_flags(plays: DataFrame, catalog: DataFrame, meta: DataFrame) -> DataFrame:
@@ -31,88 +31,73 @@ def pair_flags(plays: DataFrame, catalog: DataFrame, meta: DataFrame) -> DataFra
     cat = (
         keyed_catalog(catalog)
         .where(numbers.any_present(*[c for c in SIGNAL_FEATURES if c in catalog.columns]))
-        .select(*KEYS, F.lit(True).alias("has_catalog"))
+        .selectExpr(*KEYS, "true as __cat")
     )
     api = (
         dedup(meta.select(*PAIR, "spotify_id"))
-        .where(F.col("spotify_id").isNotNull())
-        .select(*KEYS, F.lit(True).alias("has_api"))
+        .where("spotify_id is not null")
+        .selectExpr(*KEYS, "true as __api")
     )
     flagged = with_keys(pair_counts(plays), "unquoted").join(cat, KEYS, "left").drop(*KEYS)
-    flagged = with_keys(flagged, "sql").join(api, KEYS, "left").drop(*KEYS)
-    return flagged.withColumns(
-        {
-            "has_catalog": F.coalesce("has_catalog", F.lit(False)),
-            "has_api": F.coalesce("has_api", F.lit(False)),
-            "is_pair": F.col(PAIR[0]).isNotNull() & F.col(PAIR[1]).isNotNull(),
-        }
+    flagged = with_keys(flagged, "sql").join(api, KEYS, "left")
+    return flagged.selectExpr(
+        *PAIR,
+        "plays",
+        "coalesce(__cat, false) as has_catalog",
+        "coalesce(__api, false) as has_api",
+        f"{PAIR[0]} is not null and {PAIR[1]} is not null as is_pair",
     )
 
 
 def totals(flags: DataFrame) -> DataFrame:
     """One row with every count the coverage reports need."""
-    cat, api, pair, n = F.col("has_catalog"), F.col("has_api"), F.col("is_pair"), F.col("plays")
-
-    def rows(cond):
-        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
-
     return flags.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_records"),
-        F.count_if(pair).alias("total_unique"),
-        rows(cat).alias("catalog_records"),
-        F.count_if(cat).alias("catalog_unique"),
-        rows(api).alias("api_records"),
-        F.count_if(api).alias("api_unique"),
-        F.count_if(cat & api).alias("overlap_unique"),
-        F.count_if(cat | api).alias("union_unique"),
-        rows(cat | api).alias("union_records"),
+        F.expr("coalesce(sum(plays), 0) as total_records"),
+        F.expr("count_if(is_pair) as total_unique"),
+        F.expr("coalesce(sum(if(has_catalog, plays, 0)), 0) as catalog_records"),
+        F.expr("count_if(has_catalog) as catalog_unique"),
+        F.expr("coalesce(sum(if(has_api, plays, 0)), 0) as api_records"),
+        F.expr("count_if(has_api) as api_unique"),
+        F.expr("count_if(has_catalog and has_api) as overlap_unique"),
+        F.expr("count_if(has_catalog or has_api) as union_unique"),
+        F.expr("coalesce(sum(if(has_catalog or has_api, plays, 0)), 0) as union_records"),
     )
 
 
 def by_source(one: DataFrame) -> DataFrame:
     """A row per source: covered records and unique pairs with percentages."""
-    row = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(label).alias("source"),
-                    F.col(f"{p}_records").alias("records"),
-                    F.col(f"{p}_unique").alias("unique_tracks"),
-                )
-                for label, p in (("catalog", "catalog"), ("api", "api"))
-            ]
-        )
-    )
-    return one.select("total_records", "total_unique", row.alias("r")).select(
-        "r.source",
-        "r.records",
-        numbers.percent("r.records", "total_records").alias("record_pct"),
-        "r.unique_tracks",
-        numbers.percent("r.unique_tracks", "total_unique").alias("unique_pct"),
+    sources = """stack(2, 'catalog', catalog_records, catalog_unique, 'api', api_records, api_unique)
+        as (source, records, unique_tracks)"""
+    return one.selectExpr("total_records", "total_unique", sources).select(
+        "source",
+        "records",
+        numbers.percent("records", "total_records").alias("record_pct"),
+        "unique_tracks",
+        numbers.percent("unique_tracks", "total_unique").alias("unique_pct"),
     )
 
 
 def combined(one: DataFrame) -> DataFrame:
     """Overlap and union of the sources; records exactly and by the published estimate."""
-    estimate = (F.col("catalog_records") + F.col("api_records")) * F.lit(OVERLAP_FACTOR)
+    estimate = f"((catalog_records + api_records) * {OVERLAP_FACTOR}D)"
     return one.select(
         F.col("overlap_unique").alias("overlap"),
         F.col("union_unique").alias("combined_unique"),
         numbers.percent("union_unique", "total_unique").alias("combined_unique_pct"),
         F.col("union_records").alias("combined_records"),
         numbers.percent("union_records", "total_records").alias("combined_record_pct"),
-        F.round(estimate, 3).alias("estimated_records"),
-        F.round(numbers.percent(estimate, "total_records"), 6).alias("estimated_record_pct"),
+        F.expr(f"round({estimate}, 3) as estimated_records"),
+        F.expr(f"round(try_divide(100D * {estimate}, total_records), 6) as estimated_record_pct"),
     )
 
 
 def remaining(one: DataFrame) -> DataFrame:
     """Unique pairs without metadata from any source."""
-    left = F.col("total_unique") - F.col("catalog_unique") - F.col("api_unique") + F.col("overlap_unique")
+    left = "total_unique - catalog_unique - api_unique + overlap_unique"
     return one.select(
         "total_unique",
         F.col("union_unique").alias("covered_unique"),
-        left.alias("remaining"),
+        F.expr(f"{left} as remaining"),
         numbers.percent(left, "total_unique").alias("remaining_pct"),
     )
 
@@ -127,12 +112,11 @@ def fields(enriched: DataFrame, columns: list[str], weight: str | None = None) -
 
     ``weight`` names a column with the number of plays a row stands for.
     """
-    w = F.lit(1) if weight is None else F.col(weight)
-
-    def rows(cond):
-        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("long")
-
-    one = enriched.agg(rows(F.lit(True)).alias("total"), *[rows(F.col(c).isNotNull()).alias(c) for c in columns])
+    w = weight or "1"
+    one = enriched.agg(
+        F.expr(f"coalesce(sum({w}), 0) as total"),
+        *[F.expr(f"coalesce(sum(if({c} is null, 0, {w})), 0) as {c}") for c in columns],
+    )
     return one.unpivot("total", columns, "field", "non_null").select(
         "field", "non_null", numbers.percent("non_null", "total").alias("pct")
     )

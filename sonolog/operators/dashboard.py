@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, temporal, text
+from ..functions.numbers import SUM_MS
 from ..functions.temporal import WEEKDAYS
 
 ROLLING_DAYS = 30
@@ -14,31 +15,30 @@ ROLLING_MIN = 7
 
 def kpis(plays: DataFrame, track: str, artist: str, ts: str = "ts") -> DataFrame:
     """Total minutes, listening days and distinct (track, artist) pairs."""
-    day = F.to_date(ts)
-    pair = F.when(F.col(track).isNotNull() & F.col(artist).isNotNull(), F.struct(track, artist))
     return plays.agg(
-        numbers.minutes(F.coalesce(F.sum("ms_played"), F.lit(0))).alias("total_minutes"),
-        F.count_distinct(day).alias("listening_days"),
-        F.count_distinct(pair).alias("unique_tracks"),
+        numbers.minutes(SUM_MS).alias("total_minutes"),
+        F.expr(f"count(distinct to_date({ts})) as listening_days"),
+        F.expr(f"count(distinct {track}, {artist}) as unique_tracks"),
     )
 
 
 def daily_minutes(plays: DataFrame, ts: str = "ts") -> DataFrame:
-    by = plays.groupBy(F.to_date(ts).alias("day")).agg(F.sum("ms_played").alias("ms"))
+    by = plays.groupBy(F.expr(f"to_date({ts}) as day")).agg(F.expr(f"{SUM_MS} as ms"))
     return by.select("day", numbers.minutes("ms").alias("minutes"))
 
 
 def monthly_minutes(plays: DataFrame, ts: str = "ts") -> DataFrame:
-    by = plays.groupBy(temporal.month_start(ts).alias("month")).agg(F.sum("ms_played").alias("ms"))
+    by = plays.groupBy(temporal.month_start(ts).alias("month")).agg(F.expr(f"{SUM_MS} as ms"))
     return by.select("month", numbers.minutes("ms").alias("minutes"))
 
 
 def heatmap_sparse(plays: DataFrame, ts: str = "ts") -> DataFrame:
     """Minutes per weekday and hour that occur."""
-    by = plays.groupBy(
-        temporal.weekday_number(ts).alias("dow"), F.hour(ts).alias("hour")
-    ).agg(F.sum("ms_played").alias("ms"))
-    return by.select("dow", temporal.weekday_short("dow").alias("weekday"), "hour", numbers.minutes("ms").alias("minutes"))
+    groups = plays.groupBy(F.expr(f"weekday({ts}) as dow"), F.expr(f"hour({ts}) as hour"))
+    by = groups.agg(F.expr(f"{SUM_MS} as ms"))
+    return by.select(
+        "dow", temporal.weekday_short("dow").alias("weekday"), "hour", numbers.minutes("ms").alias("minutes")
+    )
 
 
 def heatmap_dense(plays: DataFrame, ts: str = "ts") -> DataFrame:
@@ -46,12 +46,13 @@ def heatmap_dense(plays: DataFrame, ts: str = "ts") -> DataFrame:
 
     One conditional sum per weekday and hour row gives the full grid in a single aggregation.
     """
-    dow = temporal.weekday_number(ts)
-    sums = [F.coalesce(F.sum(F.when(dow == i, F.col("ms_played"))), F.lit(0)).alias(d) for i, d in enumerate(WEEKDAYS)]
-    wide = plays.where(F.col(ts).isNotNull()).groupBy(F.hour(ts).alias("hour")).agg(*sums)
-    number = F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.col("weekday")) - 1
-    return wide.unpivot("hour", WEEKDAYS, "weekday", "ms").select(
-        number.cast("int").alias("dow"), "weekday", "hour", numbers.minutes("ms").alias("minutes")
+    sums = [
+        F.expr(f"coalesce(sum(if(weekday({ts}) = {i}, ms_played, 0)), 0) as {name}") for i, name in enumerate(WEEKDAYS)
+    ]
+    wide = plays.where(f"{ts} is not null").groupBy(F.expr(f"hour({ts}) as hour")).agg(*sums)
+    grid = ", ".join(f"{i}, '{name}', {name}" for i, name in enumerate(WEEKDAYS))
+    return wide.selectExpr("hour", f"stack(7, {grid}) as (dow, weekday, ms)").select(
+        "dow", "weekday", "hour", numbers.minutes("ms").alias("minutes")
     )
 
 
@@ -62,7 +63,7 @@ def monthly_by_top_genre(by_month: DataFrame, n: int = 8) -> DataFrame:
     """
     top = (
         by_month.groupBy("genre")
-        .agg(F.sum("ms").alias("total"))
+        .agg(F.expr("sum(ms) as total"))
         .orderBy(F.desc("total"), "genre")
         .limit(n)
         .select("genre")
@@ -79,21 +80,21 @@ def rolling(daily: DataFrame, features: list[str], by: str = "rows") -> DataFram
     with a value the result is NULL. The windows run over one row per day and feature, a
     number set by the calendar and not by the number of plays.
     """
-    wide = daily.select("day", *[F.col(f).alias(f + "_roll") for f in features])
-    long = wide.unpivot("day", [f + "_roll" for f in features], "feature", "mean")
-    long = long.withColumn("feature", text.drop_suffix("feature", "_roll"))
-    w = Window.partitionBy("feature")
-    if by == "rows":
-        w = w.orderBy("day").rowsBetween(1 - ROLLING_DAYS, 0)
-    elif by == "days":
-        w = w.orderBy(F.unix_date("day")).rangeBetween(1 - ROLLING_DAYS, 0)
-    else:
+    frames = {
+        "rows": f"order by day rows between {ROLLING_DAYS - 1} preceding and current row",
+        "days": f"order by unix_date(day) range between {ROLLING_DAYS - 1} preceding and current row",
+    }
+    if by not in frames:
         raise ValueError(f"unknown window {by!r}")
-    value = F.when(F.count("mean").over(w) >= ROLLING_MIN, F.round(F.avg("mean").over(w), 6))
-    return long.select("day", "feature", value.alias("value"))
+    wide = daily.selectExpr("day", *[f"{f} as {f}_roll" for f in features])
+    long = wide.unpivot("day", [f + "_roll" for f in features], "feature", "mean")
+    long = long.select("day", text.drop_suffix("feature", "_roll").alias("feature"), "mean")
+    over = f"over (partition by feature {frames[by]})"
+    value = f"if(count(mean) {over} >= {ROLLING_MIN}, round(avg(mean) {over}, 6), null)"
+    return long.selectExpr("day", "feature", f"{value} as value")
 
 
 def genre_options(canonical: DataFrame, limit: int = 2000) -> DataFrame:
     """Sorted distinct genres to choose from."""
-    g = F.col("genre_std")
-    return canonical.where((g != "") & (g != "nan")).select("genre_std").distinct().orderBy("genre_std").limit(limit)
+    known = canonical.where("genre_std not in ('', 'nan')").select("genre_std").distinct()
+    return known.orderBy("genre_std").limit(limit)

@@ -9,49 +9,35 @@ and the exact distance is only computed for those.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS
 
 
-def _without_one(s: Column) -> Column:
-    """All strings one deletion away."""
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length(s)),
-        lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)),
-    )
-    return F.when(F.length(s) > 0, cut).otherwise(F.array().cast("array<string>"))
-
-
-def deletion_variants(name: Column | str, k: int) -> Column:
-    """The name and everything up to ``k`` deletions away, without repeats."""
-    out = F.array(F.col(name) if isinstance(name, str) else name)
+def deletion_variants(name: str, k: int) -> str:
+    """SQL for the name and everything up to ``k`` deletions away, without repeats."""
+    out = f"array({name})"
     for _ in range(k):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, _without_one))))
+        shorter = """if(length(s) > 0,
+            transform(sequence(1, length(s)), i -> concat(substr(s, 1, i - 1), substr(s, i + 1))), array())"""
+        out = f"array_distinct(concat({out}, flatten(transform({out}, s -> {shorter}))))"
     return out
 
 
 def candidates(unmatched: DataFrame, catalog_keys: DataFrame, k: int = 1) -> DataFrame:
     """Pairs of keys with one artist and track names at most ``k`` edits apart; both sides unique."""
-    u = unmatched.select(
-        "artist_key",
-        "track_key",
-        F.explode(deletion_variants("track_key", k)).alias("variant"),
-    )
-    c = catalog_keys.select(
-        "artist_key",
-        F.col("track_key").alias("candidate"),
-        F.explode(deletion_variants("track_key", k)).alias("variant"),
-    )
+    variant = f"explode({deletion_variants('track_key', k)}) as variant"
+    u = unmatched.selectExpr("artist_key", "track_key", variant)
+    c = catalog_keys.selectExpr("artist_key", "track_key as candidate", variant)
     near = u.join(c, ["artist_key", "variant"]).select("track_key", "artist_key", "candidate").distinct()
-    return near.withColumn("distance", F.levenshtein("track_key", "candidate")).where(F.col("distance") <= k)
+    return near.selectExpr("*", "levenshtein(track_key, candidate) as distance").where(f"distance <= {k}")
 
 
 def best_match(near: DataFrame) -> DataFrame:
     """The closest candidate of every key; of equals the first by name."""
-    w = Window.partitionBy(*KEYS).orderBy("distance", "candidate")
-    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
+    rank = f"row_number() over (partition by {', '.join(KEYS)} order by distance, candidate) as rn"
+    return near.selectExpr("*", rank).where("rn = 1").drop("rn")
 
 
 def second_pass(keys: DataFrame, catalog_keys: DataFrame, k: int = 1) -> DataFrame:

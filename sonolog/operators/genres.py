@@ -1,6 +1,6 @@
 """Genre counts, shares and their change over the years.
 
-Plays are counted per key before the genre lists are attached and exploded. A play counts
+Plays are counted per pair before the genre lists are attached and exploded. A play counts
 once for each of its genres.
 """
 
@@ -10,45 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..schemas import KEYS
+from ..functions.numbers import SUM_MS
+from ..schemas import KEYS, PAIR
 from .cleaning import with_keys
 from .metadata import dedup
 
 
 def rollup_genres(plays: DataFrame, meta: DataFrame, period: list[str] | None = None) -> DataFrame:
-    """Plays, milliseconds and first play per period and key, with the key's ``api_genres``."""
-    period = period or []
-    counted = (
-        with_keys(plays, "sql")
-        .groupBy(*period, *KEYS)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.sum("ms_played"), F.lit(0)).alias("ms"),
-            F.min("ts").alias("first_ts"),
-        )
+    """Plays, milliseconds and first play per period and raw pair, with the key's ``api_genres``."""
+    counted = plays.groupBy(*(period or []), *PAIR).agg(
+        F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"), F.expr("min(ts) as first_ts")
     )
-    return counted.join(dedup(meta).select(*KEYS, "api_genres"), KEYS, "left")
+    keyed = with_keys(counted, "sql").drop(*PAIR)
+    return keyed.join(dedup(meta).select(*KEYS, "api_genres"), KEYS, "left")
 
 
 def play_counts(rolled: DataFrame, period: list[str] | None = None) -> DataFrame:
     """Plays per genre token, case kept; keys without a genre list do not count."""
     period = period or []
-    tokens = rolled.where(F.col("api_genres").isNotNull()).select(
+    tokens = rolled.where("api_genres is not null").select(
         *period, "n", F.explode(text.genre_tokens("api_genres")).alias("genre")
     )
-    return tokens.groupBy(*period, "genre").agg(F.sum("n").alias("plays"))
+    return tokens.groupBy(*period, "genre").agg(F.expr("sum(n) as plays"))
 
 
 def top_genres(counts: DataFrame, n: int) -> DataFrame:
     """The ``n`` genres with most plays overall."""
-    total = counts.groupBy("genre").agg(F.sum("plays").alias("plays"))
+    total = counts.groupBy("genre").agg(F.expr("sum(plays) as plays"))
     return total.orderBy(F.desc("plays"), "genre").limit(n)
 
 
 def by_year_top(counts: DataFrame, n: int = 5) -> DataFrame:
     """Plays per year of the top genres, long form; at most ``n`` genres are broadcast."""
     top = top_genres(counts, n).select("genre")
-    return counts.join(F.broadcast(top), "genre", "left_semi").where(F.col("plays") > 0)
+    return counts.join(F.broadcast(top), "genre", "left_semi").where("plays > 0")
 
 
 def by_year_matrix(counts: DataFrame, genres: list[str]) -> DataFrame:
@@ -64,6 +59,6 @@ def minutes(rolled: DataFrame) -> DataFrame:
     because two spellings can share a title.
     """
     tokens = rolled.select("ms", F.explode(text.genre_tokens_folded("api_genres")).alias("folded"))
-    folded = tokens.groupBy("folded").agg(F.sum("ms").alias("ms"))
-    titled = folded.groupBy(text.title_case("folded").alias("genre")).agg(F.sum("ms").alias("ms"))
+    folded = tokens.groupBy("folded").agg(F.expr("sum(ms) as ms"))
+    titled = folded.groupBy(text.title_case("folded").alias("genre")).agg(F.expr("sum(ms) as ms"))
     return titled.select("genre", numbers.minutes("ms").alias("minutes"))

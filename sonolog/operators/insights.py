@@ -6,59 +6,56 @@ of windows that would sort all plays of a key in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, temporal
-from ..schemas import ARTIST, KEYS, PAIR, TRACK
+from ..functions.numbers import SUM_MS
+from ..schemas import ARTIST, KEYS, PAIR
 from .cleaning import with_keys
 from .metadata import dedup
 
 
-def _ms() -> Column:
-    return F.coalesce(F.sum("ms_played"), F.lit(0))
-
-
 def season_stats(plays: DataFrame) -> DataFrame:
-    by = plays.groupBy("month").agg(_ms().alias("ms"), F.count(F.lit(1)).alias("plays"))
-    by = by.groupBy(temporal.season("month").alias("season")).agg(F.sum("ms").alias("ms"), F.sum("plays").alias("plays"))
+    """Hours and plays per season."""
+    by = plays.groupBy(temporal.season("month").alias("season")).agg(
+        F.expr(f"{SUM_MS} as ms"), F.expr("count(1) as plays")
+    )
     return by.select("season", numbers.hours("ms").alias("hours"), "plays")
 
 
 def season_top_genre(counts: DataFrame) -> DataFrame:
     """The genre with most plays in each season; ``counts`` has ``month, genre, plays``."""
-    by = counts.groupBy(temporal.season("month").alias("season"), "genre").agg(F.sum("plays").alias("plays"))
-    w = Window.partitionBy("season").orderBy(F.desc("plays"), "genre")
-    return by.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1).drop("rk")
+    by = counts.groupBy(temporal.season("month").alias("season"), "genre").agg(F.expr("sum(plays) as plays"))
+    rank = "row_number() over (partition by season order by plays desc, genre) as rk"
+    return by.selectExpr("*", rank).where("rk = 1").drop("rk")
 
 
-def volume_delta(monthly: DataFrame) -> DataFrame:
-    """Minutes per month and the change against the month listened to before it.
+def volume_delta(volume: DataFrame, period: str, measure: str) -> DataFrame:
+    """Volume per period and the change against the period listened to before it.
 
-    The window runs over one row per month.
+    The window runs over one row per period.
     """
-    before = F.lag("minutes").over(Window.orderBy("month"))
-    return monthly.select("month", "minutes", (F.col("minutes") - before).alias("delta"))
+    return volume.selectExpr(period, measure, f"{measure} - lag({measure}) over (order by {period}) as delta")
 
 
 def genre_diversity(counts: DataFrame) -> DataFrame:
     """Distinct genres and Shannon entropy (nats) per year; ``counts`` has ``year, genre, plays``."""
-    n = F.col("plays").cast("double")
-    total = F.sum(n)
-    entropy = F.ln(total) - F.sum(n * F.ln(n)) / total
     return counts.groupBy("year").agg(
-        F.count(F.lit(1)).alias("genres"), F.abs(F.round(entropy, 6)).alias("entropy")
+        F.expr("count(1) as genres"),
+        F.expr("abs(round(ln(sum(plays)) - sum(plays * ln(plays)) / sum(plays), 6)) as entropy"),
     )
 
 
 def genre_discovery(rolled: DataFrame, tokens: Column) -> DataFrame:
     """Date of the first play of each genre."""
-    exploded = rolled.where(F.col("api_genres").isNotNull()).select("first_ts", F.explode(tokens).alias("genre"))
-    return exploded.groupBy("genre").agg(F.to_date(F.min("first_ts")).alias("first_day"))
+    exploded = rolled.where("api_genres is not null").select("first_ts", F.explode(tokens).alias("genre"))
+    return exploded.groupBy("genre").agg(F.expr("to_date(min(first_ts)) as first_day"))
 
 
 def new_per_year(first_days: DataFrame) -> DataFrame:
-    return first_days.groupBy(F.year("first_day").alias("year")).agg(F.count(F.lit(1)).alias("new_genres"))
+    """Genres first played in each year."""
+    return first_days.groupBy(F.expr("year(first_day) as year")).agg(F.expr("count(1) as new_genres"))
 
 
 def artist_loyalty(plays: DataFrame, n: int = 20) -> DataFrame:
@@ -66,12 +63,13 @@ def artist_loyalty(plays: DataFrame, n: int = 20) -> DataFrame:
     monthly = (
         plays.dropna(subset=[ARTIST])
         .groupBy(ARTIST, temporal.month_start("ts").alias("month"))
-        .agg(F.count(F.lit(1)).alias("plays"))
+        .agg(F.expr("count(1) as plays"))
     )
-    total = monthly.agg(F.sum("plays")).scalar()
-    by = monthly.groupBy(ARTIST).agg(F.sum("plays").alias("plays"), F.count(F.lit(1)).alias("active_months"))
+    total = monthly.agg(F.expr("sum(plays)")).scalar()
+    by = monthly.groupBy(ARTIST).agg(F.expr("sum(plays) as plays"), F.expr("count(1) as active_months"))
     best = by.orderBy(F.desc("plays"), ARTIST).limit(n)
-    return best.select(ARTIST, "plays", "active_months", numbers.percent("plays", total).alias("share_pct"))
+    share = F.try_divide(F.col("plays") * F.lit(100.0), total)
+    return best.select(ARTIST, "plays", "active_months", share.alias("share_pct"))
 
 
 def first_plays(plays: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,17 +81,17 @@ def first_plays(plays: DataFrame, keys: list[str]) -> DataFrame:
     monthly = (
         plays.dropna(subset=keys)
         .groupBy(*keys, temporal.month_start("ts").alias("month"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.expr("count(1) as n"))
     )
-    first = F.min("month").over(Window.partitionBy(*keys))
-    by = monthly.withColumn("first_month", first).groupBy("month").agg(
-        F.sum("n").alias("plays"), F.count_if(F.col("month") == F.col("first_month")).alias("new_plays")
+    first = f"min(month) over (partition by {', '.join(keys)}) as first_month"
+    by = monthly.selectExpr("month", "n", first).groupBy("month").agg(
+        F.expr("sum(n) as plays"), F.expr("count_if(month = first_month) as new_plays")
     )
     return by.select(
         "month",
         "plays",
         "new_plays",
-        (F.col("plays") - F.col("new_plays")).alias("repeat_plays"),
+        F.expr("plays - new_plays as repeat_plays"),
         numbers.percent("new_plays", "plays").alias("new_pct"),
     )
 
@@ -104,50 +102,46 @@ def repeat_gaps(plays: DataFrame, n: int = 20) -> DataFrame:
     The gaps of consecutive plays add up to last minus first.
     """
     by = plays.dropna(subset=PAIR).groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("plays"), F.min("ts").alias("first"), F.max("ts").alias("last")
-    )
-    span = temporal.epoch_micros("last") - temporal.epoch_micros("first")
-    gap = span.cast("double") / F.lit(3600000000) / (F.col("plays") - 1)
-    return (
-        by.where(F.col("plays") > 1)
-        .orderBy(F.desc("plays"), *PAIR)
-        .limit(n)
-        .select(*PAIR, "plays", F.round(gap, 6).alias("mean_gap_hours"))
+        F.expr("count(1) as plays"), F.expr("min(ts) as first"), F.expr("max(ts) as last")
     )
+    span = f"({temporal.epoch_micros_sql('last')} - {temporal.epoch_micros_sql('first')})"
+    gap = f"round({span} / 3600000000 / (plays - 1), 6) as mean_gap_hours"
+    return by.where("plays > 1").orderBy(F.desc("plays"), *PAIR).limit(n).selectExpr(*PAIR, "plays", gap)
 
 
 def popularity_vs_plays(rolled: DataFrame) -> DataFrame:
     """Correlation of a key's popularity with how often it was played."""
-    known = rolled.where(F.col("popularity").isNotNull())
+    known = rolled.where("popularity is not null").groupBy(*KEYS, "popularity").agg(F.expr("sum(n) as n"))
     return known.agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.round(F.corr(F.col("n").cast("double"), F.col("popularity").cast("double")), 6).alias("correlation"),
+        F.expr("count(1) as keys"),
+        F.expr("round(corr(cast(n as double), cast(popularity as double)), 6) as correlation"),
     )
 
 
-def popularity_band(popularity: Column | str) -> Column:
-    p = F.col(popularity) if isinstance(popularity, str) else popularity
-    return F.when(p < 25, "niche").when(p < 50, "known").when(p < 75, "popular").when(p <= 100, "mainstream")
+def popularity_band(popularity: str) -> Column:
+    """Quarter of the 0 to 100 scale."""
+    p = popularity
+    return F.expr(
+        f"""case when {p} < 25 then 'niche' when {p} < 50 then 'known' when {p} < 75 then 'popular'
+            when {p} <= 100 then 'mainstream' end"""
+    )
 
 
-def _keyed_counts(plays: DataFrame) -> DataFrame:
-    return (
-        with_keys(plays, "sql")
-        .dropna(subset=KEYS)
-        .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("n"), _ms().alias("ms"))
-    )
+def pair_rollup(plays: DataFrame) -> DataFrame:
+    """Plays and milliseconds per raw pair, under the normalised key; NULL keys are left out."""
+    counted = plays.dropna(subset=PAIR).groupBy(*PAIR).agg(F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"))
+    return with_keys(counted, "sql")
 
 
 def with_meta(plays: DataFrame, meta: DataFrame, columns: list[str]) -> DataFrame:
-    """Plays counted per key, with columns of the stored metadata, covered keys only."""
-    return _keyed_counts(plays).join(dedup(meta).select(*KEYS, *columns), KEYS)
+    """Counted pairs with columns of the stored metadata, covered pairs only."""
+    return pair_rollup(plays).join(dedup(meta).select(*KEYS, *columns), KEYS)
 
 
 def mainstream_bands(covered: DataFrame) -> DataFrame:
     """Plays and minutes per popularity band."""
     by = covered.groupBy(popularity_band("track_popularity").alias("band")).agg(
-        F.sum("n").alias("plays"), F.sum("ms").alias("ms")
+        F.expr("sum(n) as plays"), F.expr("sum(ms) as ms")
     )
     return by.select("band", "plays", numbers.minutes("ms").alias("minutes"))
 
@@ -158,56 +152,51 @@ def mood_correlation(rolled: DataFrame) -> DataFrame:
     ``rolled`` counts plays, so the sums are weighted by ``n``; values are centred on 0.5,
     the middle of the scale, which keeps the sums of squares small.
     """
-    w = F.col("n").cast("double")
-    x, y = F.col("valence") - 0.5, F.col("energy") - 0.5
-    s = rolled.dropna(subset=["valence", "energy"]).groupBy("year").agg(
-        F.sum(w).alias("w"),
-        F.sum(w * x).alias("x"),
-        F.sum(w * y).alias("y"),
-        F.sum(w * x * x).alias("xx"),
-        F.sum(w * y * y).alias("yy"),
-        F.sum(w * x * y).alias("xy"),
-    )
-    c = {k: F.col(k) for k in ["w", "x", "y", "xx", "yy", "xy"]}
-    cov = c["xy"] * c["w"] - c["x"] * c["y"]
-    var = (c["xx"] * c["w"] - c["x"] * c["x"]) * (c["yy"] * c["w"] - c["y"] * c["y"])
-    return s.select(
-        "year", c["w"].cast("long").alias("plays"), F.round(F.try_divide(cov, F.sqrt(var)), 6).alias("correlation")
+    s = (
+        rolled.dropna(subset=["valence", "energy"])
+        .selectExpr("year", "n", "valence - 0.5D as x", "energy - 0.5D as y")
+        .groupBy("year")
+        .agg(
+            F.expr("sum(n) as plays"),
+            F.expr("sum(n * x) as x"),
+            F.expr("sum(n * y) as y"),
+            F.expr("sum(n * x * x) as xx"),
+            F.expr("sum(n * y * y) as yy"),
+            F.expr("sum(n * x * y) as xy"),
+        )
     )
+    cov = "(xy * plays - x * y)"
+    var = "(xx * plays - x * x) * (yy * plays - y * y)"
+    return s.selectExpr("year", "plays", f"round(try_divide({cov}, sqrt({var})), 6) as correlation")
 
 
 def acoustic_trend(rolled: DataFrame) -> DataFrame:
     """Mean acousticness and the share of acoustic plays (above one half) per year."""
-    a, n = F.col("acousticness"), F.col("n")
     return rolled.dropna(subset=["acousticness"]).groupBy("year").agg(
-        F.sum("n").alias("plays"),
-        F.round(F.sum(a * n) / F.sum(n), 6).alias("mean_acousticness"),
-        numbers.percent(F.coalesce(F.sum(F.when(a > 0.5, n)), F.lit(0)), F.sum(n)).alias("acoustic_pct"),
+        F.expr("sum(n) as plays"),
+        F.expr("round(sum(acousticness * n) / sum(n), 6) as mean_acousticness"),
+        numbers.percent("sum(if(acousticness > 0.5D, n, 0))", "sum(n)").alias("acoustic_pct"),
     )
 
 
 def release_year_plays(covered: DataFrame) -> DataFrame:
     """Plays, minutes and earliest release day per release year."""
+    day = temporal.release_date("album_release_date", "album_release_date_precision")
     by = covered.groupBy(temporal.release_year("album_release_date").alias("release_year")).agg(
-        F.sum("n").alias("plays"),
-        F.sum("ms").alias("ms"),
-        F.min(temporal.release_date("album_release_date", "album_release_date_precision")).alias("first_release"),
+        F.expr("sum(n) as plays"), F.expr("sum(ms) as ms"), F.min(day).alias("first_release")
     )
     return by.select("release_year", "plays", numbers.minutes("ms").alias("minutes"), "first_release")
 
 
 def validation(catalog: DataFrame) -> DataFrame:
     """Values out of range per rule: features in [0, 1], popularity 0 to 100, duration and tempo above 0."""
-    rules: dict[str, Column] = {}
-    for f in ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness"]:
-        if f in catalog.columns:
-            rules[f"{f}_range"] = ~F.col(f).between(0, 1)
-    if "popularity" in catalog.columns:
-        rules["popularity_range"] = ~F.col("popularity").between(0, 100)
-    for f in ["duration_ms", "tempo"]:
-        if f in catalog.columns:
-            rules[f"{f}_positive"] = ~(F.col(f) > 0)
+    columns = catalog.columns
+    unit = ["danceability", "energy", "valence", "acousticness", "instrumentalness", "liveness", "speechiness"]
+    rules = {f"{f}_range": f"{f} not between 0 and 1" for f in unit if f in columns}
+    if "popularity" in columns:
+        rules["popularity_range"] = "popularity not between 0 and 100"
+    rules |= {f"{f}_positive": f"not ({f} > 0)" for f in ["duration_ms", "tempo"] if f in columns}
     one = catalog.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(broken).alias(name) for name, broken in rules.items()]
+        F.expr("count(1) as rows"), *[F.expr(f"count_if({broken}) as {name}") for name, broken in rules.items()]
     )
     return one.unpivot("rows", list(rules), "rule", "violations").select("rule", "rows", "violations")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def latest(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of every key that comes last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return entries.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    by = ", ".join(f"{c} desc nulls last" for c in order)
+    rank = f"row_number() over (partition by {', '.join(keys)} order by {by}) as __rn"
+    return entries.selectExpr("*", rank).where("__rn = 1").drop("__rn")
 
 
 def entries(results: DataFrame, updated_at, payload: list[str] | None = None) -> DataFrame:
@@ -25,20 +26,18 @@ def upsert(ledger: DataFrame, new: DataFrame, remember_misses: bool = False) ->
     A miss is an entry without a document. Unless ``remember_misses``, it is not stored and
     its key stays queued; it never replaces a stored document either way.
     """
-    incoming = new if remember_misses else new.where(F.col("meta_json").isNotNull())
-    merged = ledger.unionByName(incoming).withColumn("__hit", F.col("meta_json").isNotNull())
-    return latest(merged, ["key"], ["__hit", "updated_at", "meta_json"]).drop("__hit")
+    incoming = new if remember_misses else new.where("meta_json is not null")
+    merged = ledger.unionByName(incoming)
+    return latest(merged, ["key"], ["(meta_json is not null)", "updated_at", "meta_json"])
 
 
 def completed_count(ledger: DataFrame) -> DataFrame:
     """Ledger rows, and those holding a document."""
-    return ledger.agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count("meta_json").alias("completed"),
-    )
+    return ledger.agg(F.expr("count(1) as entries"), F.expr("count(meta_json) as completed"))
 
 
 def recall(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     """What the ledger knows about each key: ``known`` is true for stored misses as well."""
-    stored = ledger.select("key", "meta_json").withColumn("known", F.lit(True))
-    return keys.join(stored, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    stored = ledger.selectExpr("key", "meta_json", "true as __known")
+    joined = keys.join(stored, "key", "left").selectExpr("*", "coalesce(__known, false) as known")
+    return joined.drop("__known")

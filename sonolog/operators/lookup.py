@@ -8,8 +8,6 @@ shuffle of the facts at all) and spreads NULL and hot keys otherwise.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +40,7 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def _any_null(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return F.expr(" or ".join(f"{k} is null" for k in keys))
 
 
 def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ARTIST_RESPONSE, KEYS, LOOKUP_FIELDS, PAIR, SEARCH_RESPONSE
-from .catalog import attach_catalog, catalog_columns, keyed_catalog
+from .catalog import attach_catalog, catalog_columns, keep_first, keyed_catalog
 from .cleaning import unique_pairs, with_keys
 from .lookup import fits_broadcast, left_lookup
 
@@ -22,14 +22,9 @@ def dedup(meta: DataFrame, normaliser: str = "sql") -> DataFrame:
     Remaining columns break ties, so the choice does not depend on row order.
     """
     keyed = with_keys(meta, normaliser)
-    rest = [F.col(c).asc_nulls_last() for c in meta.columns if c != "spotify_id"]
-    w = Window.partitionBy(*KEYS).orderBy(F.col("spotify_id").desc_nulls_last(), *rest)
-    return (
-        keyed.dropna(subset=KEYS)
-        .withColumn("__rn", F.row_number().over(w))
-        .where(F.col("__rn") == 1)
-        .drop("__rn")
-    )
+    order = ["spotify_id desc nulls last"]
+    order += [f"{c} asc nulls last" for c in meta.columns if c != "spotify_id"]
+    return keep_first(keyed, KEYS, order)
 
 
 def duplicate_keys(meta: DataFrame, normaliser: str = "sql") -> DataFrame:
@@ -37,18 +32,18 @@ def duplicate_keys(meta: DataFrame, normaliser: str = "sql") -> DataFrame:
     return (
         with_keys(meta, normaliser)
         .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > 1)
+        .agg(F.expr("count(1) as rows"))
+        .where("rows > 1")
     )
 
 
 def duplicate_summary(meta: DataFrame, normaliser: str = "sql") -> DataFrame:
     """Metadata rows, distinct keys and keys stored more than once."""
-    per_key = with_keys(meta, normaliser).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    per_key = with_keys(meta, normaliser).groupBy(*KEYS).agg(F.expr("count(1) as rows"))
     return per_key.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("meta_rows"),
-        F.count(F.lit(1)).alias("distinct_keys"),
-        F.count_if(F.col("rows") > 1).alias("duplicate_keys"),
+        F.expr("coalesce(sum(rows), 0) as meta_rows"),
+        F.expr("count(1) as distinct_keys"),
+        F.expr("count_if(rows > 1) as duplicate_keys"),
     )
 
 
@@ -103,11 +98,9 @@ def enrich_final(plays: DataFrame, catalog: DataFrame, meta: DataFrame, strategy
     else:
         fields = enriched_pairs(unique_pairs(plays), catalog, meta, plays.columns)
         out = left_lookup(plays, fields, PAIR, "salted")
-    has_catalog, has_api = F.col("track_id").isNotNull(), F.col("spotify_id").isNotNull()
-    source = (
-        F.when(has_catalog & has_api, "both").when(has_catalog, "catalog").when(has_api, "api").otherwise("none")
-    )
-    return out.withColumn("metadata_source", source)
+    source = """case when track_id is not null and spotify_id is not null then 'both'
+        when track_id is not null then 'catalog' when spotify_id is not null then 'api' else 'none' end"""
+    return out.selectExpr("*", f"{source} as metadata_source")
 
 
 def parse_search(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -129,28 +122,28 @@ def flatten(searches: DataFrame, artists: DataFrame, legacy_genres: bool = False
     are ``''``, or NULL with ``legacy_genres``.
     """
     keep = [c for c in searches.columns if c != "body"]
-    hits = parse_search(searches).where(F.col("hit").isNotNull())
-    hits = hits.withColumn("artist_id", F.try_element_at(F.col("hit.artists"), F.lit(1))["id"])
+    hits = parse_search(searches).where("hit is not null")
+    hits = hits.selectExpr("*", "try_element_at(hit.artists, 1).id as artist_id")
     joined = left_lookup(hits, parse_artists(artists), ["artist_id"])
-    genres = F.array_join(F.coalesce("artist.genres", F.array().cast("array<string>")), ", ")
+    genres = "array_join(coalesce(artist.genres, array()), ', ')"
     if legacy_genres:
-        genres = F.when(F.col("artist").isNotNull(), genres)
-    return joined.select(
+        genres = f"if(artist is null, null, {genres})"
+    return joined.selectExpr(
         *keep,
-        F.col("hit.id").alias("spotify_id"),
-        F.col("hit.uri").alias("spotify_uri"),
-        F.col("hit.popularity").alias("track_popularity"),
-        F.col("hit.duration_ms").alias("track_duration_ms"),
-        F.col("hit.explicit").alias("track_explicit"),
-        F.col("hit.preview_url").alias("track_preview_url"),
-        F.col("hit.album.name").alias("album_name"),
-        F.col("hit.album.release_date").alias("album_release_date"),
-        F.col("hit.album.release_date_precision").alias("album_release_date_precision"),
-        F.col("hit.album.total_tracks").alias("album_total_tracks"),
-        F.col("hit.album.album_type").alias("album_type"),
-        F.col("artist.popularity").alias("artist_popularity"),
-        F.col("artist.followers.total").alias("artist_followers"),
-        genres.alias("api_genres"),
-        F.lit(FEATURES_NOTE).alias("audio_features_note"),
-        F.lit(SOURCE_API).alias("enrichment_source"),
+        "hit.id as spotify_id",
+        "hit.uri as spotify_uri",
+        "hit.popularity as track_popularity",
+        "hit.duration_ms as track_duration_ms",
+        "hit.explicit as track_explicit",
+        "hit.preview_url as track_preview_url",
+        "hit.album.name as album_name",
+        "hit.album.release_date as album_release_date",
+        "hit.album.release_date_precision as album_release_date_precision",
+        "hit.album.total_tracks as album_total_tracks",
+        "hit.album.album_type as album_type",
+        "artist.popularity as artist_popularity",
+        "artist.followers.total as artist_followers",
+        f"{genres} as api_genres",
+        f"'{FEATURES_NOTE}' as audio_features_note",
+        f"'{SOURCE_API}' as enrichment_source",
     )

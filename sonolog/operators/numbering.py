@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 3
 
 
-def number_rows(df: DataFrame, key: Column, name: str = "row_no", digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Number rows 0, 1, 2, … in the order of ``md5(key)``; ``key`` must be unique and non-NULL.
+def number_rows(df: DataFrame, key: str, name: str = "row_no", digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Number rows 0, 1, 2, … in the order of ``md5(key)``.
 
-    Rows are bucketed by the leading hex digits of the digest and numbered inside the bucket;
-    the bucket's offset comes from the bucket sizes, a table of ``16 ** digits`` rows whatever
-    the size of ``df``. Digests are uniform, so no bucket is larger than the others.
+    ``key`` is an expression, unique and non-NULL. Rows are bucketed by the leading hex digits
+    of the digest and numbered inside the bucket; the bucket's offset comes from the bucket
+    sizes, a table of ``16 ** digits`` rows whatever the size of ``df``. Digests are uniform, so
+    no bucket is larger than the others.
     """
-    digest, bucket = "__digest", "__bucket"
-    keyed = df.withColumn(digest, F.md5(key)).withColumn(bucket, F.substring(digest, 1, digits))
-    sizes = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(bucket).orderBy(digest)
+    keyed = df.selectExpr("*", f"md5({key}) as __digest").selectExpr("*", f"left(__digest, {digits}) as __bucket")
+    sizes = keyed.groupBy("__bucket").agg(F.expr("count(1) as __n"))
+    before = "over (order by __bucket rows between unbounded preceding and 1 preceding)"
+    offsets = sizes.selectExpr("__bucket", f"coalesce(sum(__n) {before}, 0) as __offset")
     return (
-        keyed.withColumn("__in", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), bucket)
-        .withColumn(name, (F.col("__offset") + F.col("__in")).cast("long"))
-        .drop(digest, bucket, "__in", "__offset")
+        keyed.selectExpr("*", "row_number() over (partition by __bucket order by __digest) as __in")
+        .join(F.broadcast(offsets), "__bucket")
+        .selectExpr(*df.columns, f"__offset + __in - 1 as {name}")
     )

@@ -5,10 +5,11 @@ Milliseconds are summed as integers and divided once at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..functions.numbers import SUM_MS
 from ..schemas import ARTIST, KEYS, PAIR, TRACK
 from .catalog import keyed_catalog
 from .cleaning import with_keys
@@ -16,20 +17,16 @@ from .cleaning import with_keys
 MOOD = ["danceability", "energy", "valence"]
 
 
-def _ms():
-    return F.coalesce(F.sum("ms_played"), F.lit(0))
-
-
 def yearly(plays: DataFrame, legacy_rounding: bool = False) -> DataFrame:
     """Hours and plays with a track name, per year."""
-    by = plays.groupBy("year").agg(_ms().alias("ms"), F.count(TRACK).alias("total_plays"))
+    by = plays.groupBy("year").agg(F.expr(f"{SUM_MS} as ms"), F.expr(f"count({TRACK}) as total_plays"))
     hours = numbers.legacy_hours("ms") if legacy_rounding else numbers.hours("ms")
     return by.select("year", hours.alias("total_hours"), "total_plays")
 
 
 def minutes_by(plays: DataFrame, *columns: str) -> DataFrame:
     """Minutes per group."""
-    by = plays.groupBy(*columns).agg(_ms().alias("ms"))
+    by = plays.groupBy(*columns).agg(F.expr(f"{SUM_MS} as ms"))
     return by.select(*columns, numbers.minutes("ms").alias("minutes"))
 
 
@@ -47,14 +44,14 @@ def top_n(df: DataFrame, measure: str, keys: list[str], n: int, ascending_displa
 def artists(plays: DataFrame, null_label: str | None = None) -> DataFrame:
     """Minutes, hours and plays per artist; a missing artist is dropped or labelled."""
     df = plays.dropna(subset=[ARTIST]) if null_label is None else plays.fillna(null_label, [ARTIST])
-    by = df.groupBy(ARTIST).agg(_ms().alias("ms"), F.count(TRACK).alias("play_count"))
+    by = df.groupBy(ARTIST).agg(F.expr(f"{SUM_MS} as ms"), F.expr(f"count({TRACK}) as play_count"))
     return by.select(ARTIST, numbers.minutes("ms").alias("minutes"), numbers.hours("ms").alias("hours"), "play_count")
 
 
 def tracks(plays: DataFrame, null_label: str | None = None) -> DataFrame:
     """The same per (track, artist), with the display label."""
     df = plays.dropna(subset=PAIR) if null_label is None else plays.fillna(null_label, PAIR)
-    by = df.groupBy(*PAIR).agg(_ms().alias("ms"), F.count(TRACK).alias("play_count"))
+    by = df.groupBy(*PAIR).agg(F.expr(f"{SUM_MS} as ms"), F.expr(f"count({TRACK}) as play_count"))
     return by.select(
         *PAIR,
         numbers.minutes("ms").alias("minutes"),
@@ -66,44 +63,40 @@ def tracks(plays: DataFrame, null_label: str | None = None) -> DataFrame:
 
 def library_summary(plays: DataFrame, approximate: bool = False) -> DataFrame:
     """Rows, first and last year, hours, distinct tracks and artists (NULLs do not count)."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+    distinct = "approx_count_distinct({})" if approximate else "count(distinct {})"
     return plays.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.min("year").alias("first_year"),
-        F.max("year").alias("last_year"),
-        numbers.hours(_ms()).alias("total_hours"),
-        distinct(F.col(TRACK)).alias("unique_tracks"),
-        distinct(F.col(ARTIST)).alias("unique_artists"),
+        F.expr("count(1) as records"),
+        F.expr("min(year) as first_year"),
+        F.expr("max(year) as last_year"),
+        numbers.hours(SUM_MS).alias("total_hours"),
+        F.expr(f"{distinct.format(TRACK)} as unique_tracks"),
+        F.expr(f"{distinct.format(ARTIST)} as unique_artists"),
     )
 
 
 def rollup_features(plays: DataFrame, catalog: DataFrame, period: list[str], features: list[str]) -> DataFrame:
-    """Plays per period and normalised key with the catalogue's features.
+    """Plays per period and raw pair, under the normalised key, with the catalogue's features.
 
-    Counting comes before the join: the catalogue meets one row per period and key instead of
-    one per play, which also takes the weight off a key with very many plays. ``n`` is the
-    number of plays a row stands for.
+    Counting comes before the join: the catalogue meets one row per period and pair instead of
+    one per play, names are normalised once per pair, and a pair with very many plays weighs no
+    more than any other. ``n`` is the number of plays a row stands for.
     """
-    counted = (
-        with_keys(plays, "unquoted")
-        .groupBy(*period, *KEYS)
-        .agg(F.count(F.lit(1)).alias("n"), _ms().alias("ms"))
-    )
+    counted = plays.groupBy(*period, *PAIR).agg(F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"))
+    counted = with_keys(counted, "unquoted").drop(*PAIR)
     firsts = keyed_catalog(catalog).select(*KEYS, *features)
     return counted.join(firsts, KEYS, "left")
 
 
-def weighted_mean(column: str, digits: int = 6):
+def weighted_mean(column: str, digits: int = 6) -> Column:
     """Mean over plays out of counted rows; NULLs are skipped."""
-    present = F.when(F.col(column).isNotNull(), F.col("n"))
-    return F.round(F.try_divide(F.sum(F.col(column) * F.col("n")), F.sum(present)), digits)
+    return F.expr(f"round(try_divide(sum({column} * n), sum(if({column} is null, null, n))), {digits}) as {column}")
 
 
 def yearly_features(rolled: DataFrame, digits: int = 6) -> DataFrame:
     """Mean danceability, energy, valence and tempo per year over plays having the first three."""
     complete = rolled.dropna(subset=MOOD)
     return complete.groupBy("year").agg(
-        F.sum("n").alias("plays"), *[weighted_mean(f, digits).alias(f) for f in [*MOOD, "tempo"]]
+        F.expr("sum(n) as plays"), *[weighted_mean(f, digits) for f in [*MOOD, "tempo"]]
     )
 
 
@@ -111,11 +104,10 @@ def feature_extremes(per_year: DataFrame) -> DataFrame:
     """Per feature the years of the highest and the lowest mean, as text; of equals the earlier."""
     long = per_year.unpivot("year", MOOD, "feature", "value").dropna(subset=["value"])
     best = long.groupBy("feature").agg(
-        F.max(F.struct("value", (-F.col("year")).alias("earlier"))).alias("hi"),
-        F.min(F.struct("value", "year")).alias("lo"),
+        F.expr("max(struct(value, -year as earlier)) as hi"), F.expr("min(struct(value, year)) as lo")
     )
     return best.select(
         text.title_case("feature").alias("feature"),
-        text.feature_at_year(-F.col("hi.earlier"), "hi.value").alias("highest_year"),
+        text.feature_at_year("-hi.earlier", "hi.value").alias("highest_year"),
         text.feature_at_year("lo.year", "lo.value").alias("lowest_year"),
     )

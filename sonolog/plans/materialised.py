@@ -21,8 +21,8 @@ RECORDS_PER_FILE = 10000
 def write_history_json(plays: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
     """Plays as export files: JSON arrays of at most ``per_file`` records, one per file."""
     fields = [c for c in PLAYS_RAW.fieldNames() if c in plays.columns]
-    numbered = number_rows(plays, F.col("play_id").cast("string"))
-    arrays = numbered.groupBy(F.floor(F.col("row_no") / per_file).alias("file_no")).agg(
+    numbered = number_rows(plays, "cast(play_id as string)")
+    arrays = numbered.groupBy(F.expr(f"row_no div {per_file} as file_no")).agg(
         F.to_json(F.collect_list(F.struct(*fields))).alias("value")
     )
     arrays.write.mode("overwrite").partitionBy("file_no").text(path)

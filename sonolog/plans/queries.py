@@ -310,20 +310,15 @@ def api_flatten_legacy_genres(s, d):
 @query
 def top_artists_enriched(s, d):
     """Flagship: the 20 artists with most minutes, and how many of their plays have metadata."""
-    per_key = (
-        cleaning.with_keys(_plays(s, d))
-        .dropna(subset=KEYS)
-        .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms"))
-    )
     meta = metadata.dedup(tables.api_meta(s, d)).select(*KEYS, "spotify_id")
     by = (
-        per_key.join(meta, KEYS, "left")
+        insights.pair_rollup(_plays(s, d))
+        .join(meta, KEYS, "left")
         .groupBy("artist_key")
         .agg(
-            F.sum("ms").alias("ms"),
-            F.sum("plays").alias("plays"),
-            F.coalesce(F.sum(F.when(F.col("spotify_id").isNotNull(), F.col("plays"))), F.lit(0)).alias("enriched_plays"),
+            F.expr("sum(ms) as ms"),
+            F.expr("sum(n) as plays"),
+            F.expr("sum(if(spotify_id is null, 0, n)) as enriched_plays"),
         )
         .orderBy(F.desc("ms"), "artist_key")
         .limit(20)
@@ -526,7 +521,7 @@ def top_artists_labelled(s, d):
 @query
 def top_artists_hours(s, d):
     best = trends.top_n(trends.artists(_long(s, d)), "hours", [ARTIST], 10, ascending_display=True)
-    return best.select(ARTIST, text.shorten(F.concat(F.lit("The artist named "), ARTIST)).alias("label"), "hours", "play_count")
+    return best.select(ARTIST, text.shorten(f"concat('The artist named ', {ARTIST})").alias("label"), "hours", "play_count")
 
 
 @query
@@ -590,7 +585,7 @@ ROLLED = ["energy", "valence", "danceability", "acousticness"]
 def _daily_features(s, d):
     p = _long(s, d).withColumn("day", F.to_date("ts"))
     rolled = trends.rollup_features(p, tables.catalog(s, d), ["day"], ROLLED)
-    return rolled.groupBy("day").agg(*[trends.weighted_mean(f, 9).alias(f) for f in ROLLED])
+    return rolled.groupBy("day").agg(*[trends.weighted_mean(f, 9) for f in ROLLED])
 
 
 @query
@@ -693,16 +688,13 @@ def season_stats(s, d):
 
 @query
 def volume_delta(s, d):
-    return insights.volume_delta(dashboard.monthly_minutes(_long(s, d)))
+    return insights.volume_delta(dashboard.monthly_minutes(_long(s, d)), "month", "minutes")
 
 
 @query
 def yearly_delta(s, d):
     """Hours per year and the change against the year before it."""
-    by = trends.yearly(_long(s, d)).select("year", F.col("total_hours").alias("minutes"))
-    return insights.volume_delta(by.withColumnRenamed("year", "month")).select(
-        F.col("month").alias("year"), F.col("minutes").alias("hours"), "delta"
-    )
+    return insights.volume_delta(trends.yearly(_long(s, d)).selectExpr("year", "total_hours as hours"), "year", "hours")
 
 
 @query

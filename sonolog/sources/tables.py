@@ -1,29 +1,42 @@
 """The test tables seen through the listening-history data model.
 
 Each view is a projection (the catalogue also a join) over one base table, so column pruning
-and filters reach the Parquet scan.
+and filters reach the Parquet scan. Schemas are given, which saves a job per table to infer
+them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import composite_key, norm_sql
+from ..functions.text import composite_key_sql, norm_plain_sql
 from ..schemas import ARTIST, TRACK
 
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _named(prefix: str, number: Column, suffix: str = "") -> Column:
-    parts = [F.lit(prefix), number.cast("string")] + ([F.lit(suffix)] if suffix else [])
-    return F.concat(*parts)
+def _artist_number(k: str, spread: str) -> str:
+    return f"(({k}) % 20) * 5 + ({spread}) % 5"
 
 
-def _artist_number(k: Column, spread: Column) -> Column:
-    return (k % 20) * 5 + spread % 5
+def _whole(x: str) -> str:
+    """Nearest whole number of a length, which is never negative; ``round`` goes through decimals."""
+    return f"floor({x} + 0.5D)"
 
 
 def plays(spark: SparkSession, sf_dir: str, min_ms: int | None = None) -> DataFrame:
@@ -37,169 +50,106 @@ def plays_from_events(e: DataFrame, min_ms: int | None = None) -> DataFrame:
     ``min_ms`` keeps plays of at least that length. Next to the exact test on ``ms_played`` a
     slightly wider one on the stored column goes along, which the Parquet reader can use.
     """
+    ms = _whole("value * 1000")
     if min_ms is not None:
-        e = e.where(F.col("value") >= (min_ms - 1) / 1000.0)
-    e = e.withColumns(
-        {
-            "k": F.regexp_extract("props", r"(\d+)", 1).try_cast("int"),
-            "ms_played": F.round(F.col("value") * 1000).cast("long"),
-        }
-    )
-    if min_ms is not None:
-        e = e.where(F.col("ms_played") >= min_ms)
-    song = F.col("event_type") != "error"
-    kind = F.col("event_id") % 3
-    name = (
-        F.when(kind == 0, _named(" TRACK ", F.col("k"), " "))
-        .when(kind == 1, _named("Track ", F.col("k")))
-        .otherwise(_named("track ", F.col("k")))
-    )
-    return e.select(
-        F.col("event_id").alias("play_id"),
+        e = e.where(f"value >= {(min_ms - 1) / 1000.0}D and {ms} >= {min_ms}")
+    return e.selectExpr(
+        "*", f"{ms} as ms_played", r"try_cast(regexp_extract(props, '(\\d+)', 1) as int) as k"
+    ).selectExpr(
+        "event_id as play_id",
         "ts",
         "ms_played",
-        F.col("event_type").alias("platform"),
-        F.when(song, name).alias(TRACK),
-        F.when(song, _named("Artist ", _artist_number(F.col("k"), F.col("user_id")))).alias(ARTIST),
-        F.when(~song, _named("Episode ", F.col("k"))).alias("episode_name"),
-        F.when(~song & (F.col("event_id") % 5 == 0), _named("Show ", F.col("k") % 10)).alias("episode_show_name"),
-        F.when(~song & (F.col("event_id") % 2 == 0), _named("spotify:episode:", F.col("k")))
-        .otherwise("")
-        .alias("spotify_episode_uri"),
+        "event_type as platform",
+        f"""case when event_type <> 'error' then case event_id % 3 when 0 then concat(' TRACK ', k, ' ')
+            when 1 then concat('Track ', k) else concat('track ', k) end end as {TRACK}""",
+        f"if(event_type <> 'error', concat('Artist ', {_artist_number('k', 'user_id')}), null) as {ARTIST}",
+        "if(event_type = 'error', concat('Episode ', k), null) as episode_name",
+        "if(event_type = 'error' and event_id % 5 = 0, concat('Show ', k % 10), null) as episode_show_name",
+        "if(event_type = 'error' and event_id % 2 = 0, concat('spotify:episode:', k), '') as spotify_episode_uri",
     )
 
 
 def plays_long(spark: SparkSession, sf_dir: str, min_ms: int | None = None) -> DataFrame:
     """Plays spread over several years, out of ``lineitem``."""
     li = table(spark, sf_dir, "lineitem")
+    ms = _whole("l_quantity * 6000")
     if min_ms is not None:
-        li = li.where(F.col("l_quantity") >= (min_ms - 1) / 6000.0)
-    li = li.withColumns(
-        {
-            "k": F.col("l_partkey") % 100,
-            "ms_played": F.round(F.col("l_quantity") * 6000).cast("long"),
-        }
-    )
-    if min_ms is not None:
-        li = li.where(F.col("ms_played") >= min_ms)
-    return li.select(
-        F.col("l_shipdate").alias("ts"),
-        "ms_played",
-        _named("Track ", F.col("k")).alias(TRACK),
-        _named("Artist ", _artist_number(F.col("k"), F.col("l_suppkey"))).alias(ARTIST),
+        li = li.where(f"l_quantity >= {(min_ms - 1) / 6000.0}D and {ms} >= {min_ms}")
+    return li.selectExpr(
+        "l_shipdate as ts",
+        f"{ms} as ms_played",
+        f"concat('Track ', l_partkey % 100) as {TRACK}",
+        f"concat('Artist ', {_artist_number('l_partkey % 100', 'l_suppkey')}) as {ARTIST}",
     )
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio-feature catalogue out of ``part`` and ``embeddings``; ``src_order`` is file order."""
-    k = F.col("p_partkey") % 100
     parts = (
         table(spark, sf_dir, "part")
-        .where((k % 5 < 3) & (F.col("p_size") <= 40))
-        .withColumn("vec_id", F.col("p_partkey") % 500)
+        .where("p_partkey % 100 % 5 < 3 and p_size <= 40")
+        .selectExpr("*", "p_partkey % 500 as vec_id")
     )
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(0, 499))
-
-    def feature(i: int) -> Column:
-        return F.abs(F.col("embedding").getItem(i).cast("double"))
-
-    return parts.join(vectors, "vec_id").select(
-        F.col("p_partkey").alias("src_order"),
-        _named("K", F.col("p_partkey")).alias("track_id"),
-        _named("Track ", k).alias("track_name"),
-        _named("Artist ", _artist_number(k, F.floor(F.col("p_partkey") / 100))).alias("artist_name"),
-        F.lower("p_type").alias("genre"),
-        F.col("p_size").cast("long").alias("popularity"),
-        feature(0).alias("energy"),
-        feature(1).alias("valence"),
-        feature(2).alias("danceability"),
-        feature(3).alias("acousticness"),
-        (F.col("p_retailprice") / F.lit(10)).alias("tempo"),
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id between 0 and 499")
+    return parts.join(vectors, "vec_id").selectExpr(
+        "p_partkey as src_order",
+        "concat('K', p_partkey) as track_id",
+        "concat('Track ', p_partkey % 100) as track_name",
+        f"concat('Artist ', {_artist_number('p_partkey % 100', 'p_partkey div 100')}) as artist_name",
+        "lower(p_type) as genre",
+        "cast(p_size as bigint) as popularity",
+        "abs(cast(embedding[0] as double)) as energy",
+        "abs(cast(embedding[1] as double)) as valence",
+        "abs(cast(embedding[2] as double)) as danceability",
+        "abs(cast(embedding[3] as double)) as acousticness",
+        "p_retailprice / 10 as tempo",
     )
 
 
-def _meta_columns() -> dict[str, Column]:
-    ck = F.col("c_custkey")
-    k = ck % 100
-    year = (1995 + ck % 7).cast("string")
-    month = F.lpad((1 + ck % 12).cast("string"), 2, "0")
-    day = F.lpad((1 + ck % 28).cast("string"), 2, "0")
-    genres = F.concat(
-        F.lower("c_mktsegment"),
-        F.when(ck % 2 == 0, ", r&b").otherwise(""),
-        F.when(ck % 3 == 0, ",k-pop").otherwise(""),
-    )
-    return {
-        "spotify_id": _named("S", ck),
-        TRACK: _named("track ", k),
-        ARTIST: _named("ARTIST ", _artist_number(k, F.floor(ck / 100))),
-        "track_popularity": ck % 101,
-        "api_genres": genres,
-        "album_release_date": F.when(ck % 3 == 0, F.concat_ws("-", year, month, day))
-        .when(ck % 3 == 1, F.concat_ws("-", year, month))
-        .otherwise(year),
-        "album_release_date_precision": F.when(ck % 3 == 0, "day").when(ck % 3 == 1, "month").otherwise("year"),
-    }
+_META = {
+    "spotify_id": "concat('S', c_custkey)",
+    TRACK: "concat('track ', c_custkey % 100)",
+    ARTIST: f"concat('ARTIST ', {_artist_number('c_custkey % 100', 'c_custkey div 100')})",
+    "track_popularity": "c_custkey % 101",
+    "api_genres": """concat(lower(c_mktsegment), if(c_custkey % 2 = 0, ', r&b', ''), if(c_custkey % 3 = 0, ',k-pop', ''))""",
+    "album_release_date": """left(concat_ws('-', 1995 + c_custkey % 7, lpad(1 + c_custkey % 12, 2, '0'),
+        lpad(1 + c_custkey % 28, 2, '0')), element_at(array(10, 7, 4), cast(c_custkey % 3 as int) + 1))""",
+    "album_release_date_precision": "element_at(array('day', 'month', 'year'), cast(c_custkey % 3 as int) + 1)",
+}
 
 
 def api_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lookup metadata out of ``customer``; keys repeat, as in an append-only table."""
-    k = F.col("c_custkey") % 100
-    kept = table(spark, sf_dir, "customer").where((k % 7 < 4) & (F.col("c_acctbal") > 0))
-    return kept.select(*[c.alias(n) for n, c in _meta_columns().items()])
+    kept = table(spark, sf_dir, "customer").where("c_custkey % 100 % 7 < 4 and c_acctbal > 0")
+    return kept.selectExpr(*[f"{e} as {name}" for name, e in _META.items()])
 
 
 def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw search documents, one per customer; an empty ``items`` list is a miss."""
-    ck = F.col("c_custkey")
-    m = _meta_columns()
-    item = F.struct(
-        m["spotify_id"].alias("id"),
-        _named("spotify:track:S", ck).alias("uri"),
-        m["track_popularity"].alias("popularity"),
-        (180000 + ck % 1000).alias("duration_ms"),
-        (ck % 4 == 0).alias("explicit"),
-        F.lit(None).cast("string").alias("preview_url"),
-        F.array(F.struct(_named("A", ck % 50).alias("id"))).alias("artists"),
-        F.struct(
-            F.col("c_name").alias("name"),
-            m["album_release_date"].alias("release_date"),
-            m["album_release_date_precision"].alias("release_date_precision"),
-            (1 + ck % 15).alias("total_tracks"),
-            F.when(ck % 2 == 0, "album").otherwise("single").alias("album_type"),
-        ).alias("album"),
-    )
-    return table(spark, sf_dir, "customer").select(
-        m[TRACK].alias(TRACK),
-        m[ARTIST].alias(ARTIST),
-        ck.alias("request_id"),
-        composite_key(norm_sql(m[TRACK]), norm_sql(m[ARTIST])).alias("key"),
-        F.when(
-            F.col("c_acctbal") > 0,
-            F.to_json(F.struct(F.struct(F.array(item).alias("items")).alias("tracks"))),
-        )
-        .otherwise('{"tracks":{"items":[]}}')
-        .alias("body"),
+    item = f"""named_struct('id', {_META["spotify_id"]}, 'uri', concat('spotify:track:S', c_custkey),
+        'popularity', c_custkey % 101, 'duration_ms', 180000 + c_custkey % 1000, 'explicit', c_custkey % 4 = 0,
+        'preview_url', cast(null as string), 'artists', array(named_struct('id', concat('A', c_custkey % 50))),
+        'album', named_struct('name', c_name, 'release_date', {_META["album_release_date"]},
+          'release_date_precision', {_META["album_release_date_precision"]}, 'total_tracks', 1 + c_custkey % 15,
+          'album_type', if(c_custkey % 2 = 0, 'album', 'single')))"""
+    hit = f"to_json(named_struct('tracks', named_struct('items', array({item}))))"
+    key = composite_key_sql(norm_plain_sql(_META[TRACK]), norm_plain_sql(_META[ARTIST]))
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"{_META[TRACK]} as {TRACK}",
+        f"{_META[ARTIST]} as {ARTIST}",
+        "c_custkey as request_id",
+        f"{key} as key",
+        f"""if(c_acctbal > 0, {hit}, '{{"tracks":{{"items":[]}}}}') as body""",
     )
 
 
 def artist_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw artist documents, one per supplier; ids past 39 have none stored."""
-    sk = F.col("s_suppkey")
-    body = F.to_json(
-        F.struct(
-            (sk % 100).alias("popularity"),
-            F.struct((sk * 1000).alias("total")).alias("followers"),
-            F.when(
-                sk % 5 == 0,
-                F.array().cast("array<string>"),
-            )
-            .otherwise(F.array(F.lit("r&b"), _named("genre ", sk % 7)))
-            .alias("genres"),
-        )
-    )
+    genres = "if(s_suppkey % 5 = 0, cast(array() as array<string>), array('r&b', concat('genre ', s_suppkey % 7)))"
+    body = f"""to_json(named_struct('popularity', s_suppkey % 100,
+        'followers', named_struct('total', s_suppkey * 1000), 'genres', {genres}))"""
     return (
         table(spark, sf_dir, "supplier")
-        .where(sk < 40)
-        .select(_named("A", sk).alias("artist_id"), body.alias("body"))
+        .where("s_suppkey < 40")
+        .selectExpr("concat('A', s_suppkey) as artist_id", f"{body} as body")
     )
