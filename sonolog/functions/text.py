@@ -18,6 +18,7 @@ SPACES = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACES_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "'"
+_SPACE_LIST = "(" + ", ".join(f"'\\u{ord(c):04x}'" for c in SPACES) + ")"
 # Letters that have a case, as Python's str.title sees them.
 _CASED_SQL = r"'[\\p{IsUppercase}\\p{IsLowercase}\\p{Lt}]'"
 
@@ -25,7 +26,9 @@ KEY_SEPARATOR = "|||"
 
 
 def strip_sql(e: str) -> str:
-    return f"btrim({e}, {_SPACES_SQL})"
+    # Trimming a set of characters walks the whole string; most names do not need it.
+    padded = f"left({e}, 1) in {_SPACE_LIST} or right({e}, 1) in {_SPACE_LIST}"
+    return f"if({padded}, btrim({e}, {_SPACES_SQL}), {e})"
 
 
 def norm_full_sql(e: str) -> str:

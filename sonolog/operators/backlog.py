@@ -29,7 +29,7 @@ def enriched_signal(df: DataFrame):
 def external_keys(enriched: DataFrame, normaliser: str = "full") -> DataFrame:
     """Distinct keys of the rows the catalogue matched."""
     rows = enriched.where(enriched_signal(enriched)).select(*PAIR).dropna().dropDuplicates()
-    return with_keys(rows, normaliser).selectExpr(f"{composite_key_sql(*KEYS)} as key").distinct()
+    return with_keys(rows, normaliser, no_nulls=True).selectExpr(f"{composite_key_sql(*KEYS)} as key").distinct()
 
 
 def completed_keys(ledger: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def completed_keys(ledger: DataFrame) -> DataFrame:
 
 def work_queue(plays: DataFrame, external: DataFrame, completed: DataFrame, normaliser: str = "full") -> DataFrame:
     """Unique raw pairs of the plays that neither source covers, with their key."""
-    keyed = with_keys(unique_pairs(plays), normaliser).selectExpr(*PAIR, f"{composite_key_sql(*KEYS)} as key")
+    keyed = with_keys(unique_pairs(plays), normaliser, no_nulls=True).selectExpr(*PAIR, f"{composite_key_sql(*KEYS)} as key")
     return keyed.join(external, "key", "left_anti").join(completed, "key", "left_anti")
 
 

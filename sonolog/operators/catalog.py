@@ -29,7 +29,7 @@ def keyed_catalog(catalog: DataFrame, normaliser: str = "unquoted", order: list[
 
 def match_pairs(plays: DataFrame, catalog: DataFrame, normaliser: str = "unquoted") -> DataFrame:
     """Every unique raw pair of the plays with its catalogue row, if it has one, and ``matched``."""
-    pairs = with_keys(unique_pairs(plays), normaliser)
+    pairs = with_keys(unique_pairs(plays), normaliser, no_nulls=True)
     firsts = keyed_catalog(catalog, normaliser).selectExpr("*", "true as __hit")
     out = pairs.join(firsts, KEYS, "left").selectExpr("*", "coalesce(__hit, false) as matched")
     return out.drop(*KEYS, "__hit")

@@ -38,8 +38,8 @@ def pair_flags(plays: DataFrame, catalog: DataFrame, meta: DataFrame) -> DataFra
         .where("spotify_id is not null")
         .selectExpr(*KEYS, "true as __api")
     )
-    flagged = with_keys(pair_counts(plays), "unquoted").join(cat, KEYS, "left").drop(*KEYS)
-    flagged = with_keys(flagged, "sql").join(api, KEYS, "left")
+    flagged = with_keys(pair_counts(plays), "unquoted", no_nulls=True).join(cat, KEYS, "left").drop(*KEYS)
+    flagged = with_keys(flagged, "sql", no_nulls=True).join(api, KEYS, "left")
     return flagged.selectExpr(
         *PAIR,
         "plays",

@@ -21,7 +21,7 @@ def rollup_genres(plays: DataFrame, meta: DataFrame, period: list[str] | None =
     counted = plays.groupBy(*(period or []), *PAIR).agg(
         F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"), F.expr("min(ts) as first_ts")
     )
-    keyed = with_keys(counted, "sql").drop(*PAIR)
+    keyed = with_keys(counted, "sql", no_nulls=True).drop(*PAIR)
     return keyed.join(dedup(meta).select(*KEYS, "api_genres"), KEYS, "left")
 
 

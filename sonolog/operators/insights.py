@@ -130,7 +130,7 @@ def popularity_band(popularity: str) -> Column:
 def pair_rollup(plays: DataFrame) -> DataFrame:
     """Plays and milliseconds per raw pair, under the normalised key; NULL keys are left out."""
     counted = plays.dropna(subset=PAIR).groupBy(*PAIR).agg(F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"))
-    return with_keys(counted, "sql")
+    return with_keys(counted, "sql", no_nulls=True)
 
 
 def with_meta(plays: DataFrame, meta: DataFrame, columns: list[str]) -> DataFrame:

@@ -82,8 +82,8 @@ def enriched_pairs(
     cat = _suffixed(cat, taken, "_k")
     api = dedup(meta, api_normaliser).select(*KEYS, *api_columns(meta))
     api = _suffixed(api, [*taken, *cat.columns], "_api")
-    first = with_keys(pairs, catalog_normaliser).join(cat, KEYS, "left").drop(*KEYS)
-    return with_keys(first, api_normaliser).join(api, KEYS, "left").drop(*KEYS)
+    first = with_keys(pairs, catalog_normaliser, no_nulls=True).join(cat, KEYS, "left").drop(*KEYS)
+    return with_keys(first, api_normaliser, no_nulls=True).join(api, KEYS, "left").drop(*KEYS)
 
 
 def enrich_final(plays: DataFrame, catalog: DataFrame, meta: DataFrame, strategy: str = "auto") -> DataFrame:

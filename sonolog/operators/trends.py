@@ -82,7 +82,7 @@ def rollup_features(plays: DataFrame, catalog: DataFrame, period: list[str], fea
     more than any other. ``n`` is the number of plays a row stands for.
     """
     counted = plays.groupBy(*period, *PAIR).agg(F.expr("count(1) as n"), F.expr(f"{SUM_MS} as ms"))
-    counted = with_keys(counted, "unquoted").drop(*PAIR)
+    counted = with_keys(counted, "unquoted", no_nulls=True).drop(*PAIR)
     firsts = keyed_catalog(catalog).select(*KEYS, *features)
     return counted.join(firsts, KEYS, "left")
 
