@@ -90,12 +90,13 @@ def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def release_date(text: str, precision: str) -> Column:
-    """Partial date + precision -> first day it can mean; unusable text -> NULL."""
+    """Partial date + precision -> first day it can mean; unusable text and year 0000 -> NULL."""
     return F.expr(
-        f"""try_cast(case {precision} when 'day' then {text} when 'month' then concat({text}, '-01')
-            when 'year' then concat({text}, '-01-01') end as date)"""
+        f"""try_cast(case when left({text}, 4) = '0000' then null when {precision} = 'day' then {text}
+            when {precision} = 'month' then concat({text}, '-01')
+            when {precision} = 'year' then concat({text}, '-01-01') end as date)"""
     )
 
 
 def release_year(text: str) -> Column:
-    return F.expr(f"try_cast(left({text}, 4) as int)")
+    return F.expr(f"nullif(try_cast(left({text}, 4) as int), 0)")
