@@ -44,9 +44,12 @@ def _any_null(keys: list[str]) -> Column:
 
 
 def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding at least ``share`` of all rows: at most ``1 / share`` rows come out."""
-    counts = facts.where(~_any_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = facts.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """Keys holding at least ``share`` of all rows that have one: at most ``1 / share`` rows come out.
+
+    The total is summed over the counts, so the facts are counted once and the shuffle is reused.
+    """
+    counts = facts.where(~_any_null(keys)).groupBy(*keys).agg(F.expr("count(1) as n"))
+    total = counts.agg(F.expr("sum(n)")).scalar()
     return counts.where(F.col("n") >= total * F.lit(share)).select(*keys)
 
 
