@@ -87,9 +87,10 @@ def rollup_features(plays: DataFrame, catalog: DataFrame, period: list[str], fea
     return counted.join(firsts, KEYS, "left")
 
 
-def weighted_mean(column: str, digits: int = 6) -> Column:
-    """Mean over plays out of counted rows; NULLs are skipped."""
-    return F.expr(f"round(try_divide(sum({column} * n), sum(if({column} is null, null, n))), {digits}) as {column}")
+def weighted_mean(column: str, digits: int | None = 6) -> Column:
+    """Mean over plays out of counted rows; NULLs are skipped. No rounding with ``digits=None``."""
+    mean = f"try_divide(sum({column} * n), sum(if({column} is null, null, n)))"
+    return F.expr(f"{mean} as {column}" if digits is None else f"round({mean}, {digits}) as {column}")
 
 
 def yearly_features(rolled: DataFrame, digits: int = 6) -> DataFrame:

@@ -173,9 +173,8 @@ _CTES: dict[str, tuple[str, list[str]]] = {
         [],
     ),
     "daily": (
-        """SELECT dt AS day, round(avg(energy), 9) AS energy, round(avg(valence), 9) AS valence,
-            round(avg(danceability), 9) AS danceability, round(avg(acousticness), 9) AS acousticness
-            FROM long_cat GROUP BY dt""",
+        """SELECT dt AS day, avg(energy) AS energy, avg(valence) AS valence, avg(danceability) AS danceability,
+            avg(acousticness) AS acousticness FROM long_cat GROUP BY dt""",
         ["long_cat"],
     ),
     "daily_tall": (

@@ -585,7 +585,7 @@ ROLLED = ["energy", "valence", "danceability", "acousticness"]
 def _daily_features(s, d):
     p = _long(s, d).withColumn("day", F.to_date("ts"))
     rolled = trends.rollup_features(p, tables.catalog(s, d), ["day"], ROLLED)
-    return rolled.groupBy("day").agg(*[trends.weighted_mean(f, 9) for f in ROLLED])
+    return rolled.groupBy("day").agg(*[trends.weighted_mean(f, None) for f in ROLLED])
 
 
 @query

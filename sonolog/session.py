@@ -34,14 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is only ever used under a ``local`` master, where driver and
     executors are one process; on a cluster without the setting this raises.
     """
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or context.getConf().get(CHECKPOINT_CONF)
+        or context.getCheckpointDir()
+    )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="sonolog-")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    context.setCheckpointDir(root)
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -132,7 +132,7 @@ def test_shared_dir_is_refused_without_setting(spark, monkeypatch):
     from sonolog import session
 
     conf = SimpleNamespace(get=lambda *_: None)
-    context = SimpleNamespace(master="spark://host:1", getCheckpointDir=lambda: None)
+    context = SimpleNamespace(master="spark://host:1", getCheckpointDir=lambda: None, getConf=lambda: {})
     with pytest.raises(RuntimeError):
         session.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
     named = SimpleNamespace(get=lambda *_: "/mnt/shared/")
