@@ -75,12 +75,13 @@ def salted_left_join(
     hot keys themselves are broadcast; ``hot_keys`` bounds their number.
     """
     hot = F.broadcast(hot_keys(facts, keys, share).withColumn(HOT, F.lit(True)))
+    hashable = [name for name, kind in facts.dtypes if "map<" not in kind]
     left = (
         facts.join(hot, keys, "left")
         .withColumn(
             SALT,
-            F.when(_any_null(keys), spread(facts.columns, null_salts))
-            .when(F.col(HOT), spread(facts.columns, salts))
+            F.when(_any_null(keys), spread(hashable, null_salts))
+            .when(F.col(HOT), spread(hashable, salts))
             .otherwise(F.lit(0)),
         )
         .drop(HOT)

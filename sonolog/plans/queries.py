@@ -194,29 +194,21 @@ def catalog_enriched_plays(s, d):
 @query
 def catalog_enriched_count(s, d):
     """Plays that carry catalogue data, out of counted pairs."""
-    p = _plays(s, d)
-    joined = coverage.pair_counts(p).join(
-        catalog.match_pairs(p, tables.catalog(s, d)).select(*PAIR, "matched"), PAIR, "left"
-    )
-    return joined.agg(
-        F.sum("plays").alias("plays"),
-        F.coalesce(F.sum(F.when(F.col("matched"), F.col("plays"))), F.lit(0)).alias("enriched"),
-    )
+    rolled = trends.rollup_features(_plays(s, d), tables.catalog(s, d), [], ["track_id"])
+    return rolled.agg(F.expr("sum(n) as plays"), F.expr("sum(if(track_id is null, 0, n)) as enriched"))
 
 
 @query
 def catalog_genre_value_counts(s, d):
-    p = _plays(s, d)
-    matched = catalog.match_pairs(p, tables.catalog(s, d)).select(*PAIR, "genre")
-    return catalog.value_counts(coverage.pair_counts(p).join(matched, PAIR), "genre", weight="plays")
+    rolled = trends.rollup_features(_plays(s, d), tables.catalog(s, d), [], ["genre"])
+    return catalog.value_counts(rolled, "genre", weight="n")
 
 
 @query
 def field_coverage(s, d):
-    p = _plays(s, d)
     fields = ["genre", "popularity", "danceability", "energy", "valence", "tempo", "acousticness"]
-    matched = catalog.match_pairs(p, tables.catalog(s, d)).select(*PAIR, *fields)
-    return coverage.fields(coverage.pair_counts(p).join(matched, PAIR, "left"), fields, "plays")
+    rolled = trends.rollup_features(_plays(s, d), tables.catalog(s, d), [], fields)
+    return coverage.fields(rolled, fields, "n")
 
 
 @query
@@ -291,9 +283,8 @@ def final_enriched(s, d):
 def final_with_collisions(s, d):
     """Columns both sides have: the right side's gets a suffix, the play's own stays."""
     own = _plays(s, d).select("play_id", *PAIR, F.lit("own").alias("genre"), F.lit("own").alias("spotify_id"))
-    return metadata.enrich_final(own, tables.catalog(s, d).drop("track_id").withColumn("track_id", F.lit("x")), tables.api_meta(s, d)).select(
-        "play_id", "genre", "genre_k", "spotify_id", "spotify_id_api"
-    )
+    both = metadata.enrich_final(own, tables.catalog(s, d), tables.api_meta(s, d))
+    return both.select("play_id", "genre", "genre_k", "spotify_id", "spotify_id_api")
 
 
 @query
@@ -354,14 +345,14 @@ def media_inferred(s, d):
 
 @query
 def media_from_flag(s, d):
-    flagged = _plays(s, d).select("play_id", F.when(F.col("platform") == "error", "True").otherwise("False").alias("is_podcast"))
+    flagged = _plays(s, d).selectExpr("play_id", "if(platform = 'error', 'True', 'False') as is_podcast")
     return media.with_media(flagged).select("play_id", "media")
 
 
 @query
 def media_from_label(s, d):
-    label = F.when(F.col("platform") == "error", "Podcast").when(F.col("platform") == "click", "SONG").otherwise(F.col("platform"))
-    return media.with_media(_plays(s, d).select("play_id", label.alias("content_type"))).select("play_id", "media")
+    label = "case platform when 'error' then 'Podcast' when 'click' then 'SONG' else platform end as content_type"
+    return media.with_media(_plays(s, d).selectExpr("play_id", label)).select("play_id", "media")
 
 
 # --- backlog and ledger --------------------------------------------------------------------
@@ -649,7 +640,8 @@ def monthly_by_top_genre(s, d):
 
 
 def _canonical(s, d):
-    enriched = catalog.attach_catalog(_plays(s, d).drop("platform", "year", "month", "day", "weekday", "hour"), tables.catalog(s, d))
+    plays = _plays(s, d).drop("platform", "year", "month", "day", "weekday", "hour")
+    enriched = catalog.attach_catalog(plays, tables.catalog(s, d))
     return cleaning.canonicalise(cleaning.blank_to_null(enriched, EPISODE_COLUMNS))
 
 

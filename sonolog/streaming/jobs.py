@@ -59,7 +59,11 @@ def append_cleaned(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def suppress_repeats(plays: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Drop plays that a later export repeats, as long as the watermark remembers them."""
+    """Drop plays that a later export repeats, as long as the watermark remembers them.
+
+    All copies of one play meet in one task, but only those of one micro-batch, whose size
+    ``max_files`` bounds.
+    """
     identity = [c for c in ["ts", "ms_played", *PAIR, "spotify_track_uri", "spotify_episode_uri"] if c in plays.columns]
     timed = plays.withColumn(EVENT_TIME, temporal.instant("ts")).withWatermark(EVENT_TIME, delay)
     return timed.dropDuplicatesWithinWatermark(identity).drop(EVENT_TIME)
