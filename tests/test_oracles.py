@@ -26,3 +26,20 @@ def test_entry(spark):
     rows = entry(spark).collect()
     assert len(rows) == 20
     assert rows[0]["minutes"] >= rows[-1]["minutes"]
+
+
+@pytest.mark.parametrize(
+    "name", ["clean_plays", "canonical_plays", "repeat_gaps", "json_history_ingest", "stream_daily_minutes", "heatmap_dense"]
+)
+def test_results_do_not_depend_on_zone_or_ansi(spark, con, sf_dir, name):
+    settings = {"spark.sql.session.timeZone": "America/New_York", "spark.sql.ansi.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = queries()[name](spark, sf_dir).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    verdict = compare(got, con.execute(oracle_sql()[name]).fetchdf())
+    assert verdict.startswith("ok"), verdict
