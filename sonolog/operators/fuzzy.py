@@ -10,7 +10,6 @@ and the exact distance is only computed for those.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..schemas import KEYS
 
