@@ -6,13 +6,14 @@ import pytest
 
 from __spark_entry__ import queries
 from sonolog.plans import materialised  # noqa: F401
+from sonolog.plans.queries import QUERIES
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = sorted(n for n, f in queries().items() if f.__wrapped__.__module__.endswith("queries"))
+LAZY = sorted(n for n, f in QUERIES.items() if f.__wrapped__.__module__.endswith("queries"))
 
 
 @pytest.mark.parametrize("name", LAZY)
