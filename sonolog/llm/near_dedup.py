@@ -55,8 +55,9 @@ def word_hashes(text: str) -> np.ndarray:
     if len(_HASHES) > CACHE_WORDS:
         _HASHES.clear()
     known = _HASHES
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
     return np.array([known[w] for w in words], U)
 
 

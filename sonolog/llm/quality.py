@@ -27,7 +27,7 @@ from . import grams
 from .common import cut, text_or_empty
 
 FOLDS = 5
-WIDTH = 3.0
+WIDTH = 4.0
 SHRINK = 50
 LEAST = 30
 UNIT = 16

@@ -3,8 +3,8 @@
 Confirmed toxic examples are the positives; all other training text is unlabelled, whatever its label. A
 logistic model minimises ``prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))``: what toxic text
 adds to the unlabelled risk is taken off, and where that would go below zero the step is turned
-round. The features are the words of a text, in lower case, and their beginnings, each counted once;
-those that tell positives from unlabelled best are kept. Scoring reads every whole text.
+round. The features are the distinct words of a text, in lower case, and their beginnings, once, and again
+where two or three words share one; those that tell positives from unlabelled best are kept. Scoring reads every whole text.
 
 The model is fitted on a bounded sample of the labelled rows (``Bounds``, the smallest id hashes of each
 kind); only features and examples within these bounds are brought together in one task.
@@ -32,7 +32,11 @@ from pyspark.sql import types as T
 from .common import cut, text_or_empty
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+# A beginning that two or three of a text's words share is a feature of its own.
+REPEATS = (2, 3)
+# A feature must be this many times likelier among positives than among negatives, by this many deviations.
+RATIO, DEVIATIONS = 10, 2
 FOLDS = 5
 THRESHOLD = 0.5
 DEFAULT_PRIOR = 0.05
@@ -60,11 +64,13 @@ def fold(key: str = "doc_id") -> Column:
 
 
 def features(text: str) -> set[str]:
-    """Words, and with a mark their beginnings."""
+    """Words (``word.``), beginnings, and beginnings shared by several words (``begin2``, ``begin3``)."""
     words = set(LETTERS.findall(text.lower()))
     found = {w + "." for w in words}
     for n in BEGINNINGS:
-        found.update([w[:n] for w in words if len(w) >= n])
+        for begin, times in Counter([w[:n] for w in words if len(w) >= n]).items():
+            found.add(begin)
+            found.update([f"{begin}{r}" for r in REPEATS if times >= r])
     return found
 
 
@@ -85,17 +91,20 @@ def _chosen(sample: DataFrame, prior: float, positives: int, unlabelled: int, bo
     counts = sample.mapInPandas(_counts, "feature string, u bigint, p bigint").groupBy("feature").agg(
         F.sum("u").alias("u"), F.sum("p").alias("p")
     )
+    unlabelled = max(unlabelled, 1)
     a = F.col("p") / positives
-    b = F.col("u") / max(unlabelled, 1)
+    b = F.col("u") / unlabelled
     negative = F.greatest(F.lit(0.0), (b - prior * a) / (1 - prior))
-    z = (a - negative) / F.sqrt(a / positives + negative / max(unlabelled, 1) + 1 / positives**2)
-    best = counts.where(F.col("p") >= bounds.least_texts).select("feature", z.alias("z")).where("z > 0")
+    z = (a - negative) / F.sqrt(a / positives + negative / unlabelled + 1 / positives**2)
+    least = a - DEVIATIONS * F.sqrt("p") / positives
+    most = F.greatest(F.lit(0.0), (b + DEVIATIONS * F.sqrt(F.col("u") + 1) / unlabelled - prior * a) / (1 - prior))
+    best = counts.where((F.col("p") >= bounds.least_texts) & (least > RATIO * most)).select("feature", z.alias("z"))
     return [r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(bounds.features).collect()]
 
 
 def fit_nnpu(
     rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, width: int, prior: float,
-    steps: int = 300, rate: float = 0.1, decay: float = 1e-4,
+    steps: int = 300, rate: float = 0.1, decay: float = 3e-4,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model; ``rows`` and ``columns`` list the features present."""
     p, u = positive, ~positive
@@ -169,16 +178,18 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), key: st
 
 
 def _score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The same sums as over ``features``, looking at the model's own features only."""
     whole = {x[:-1]: w for x, w in model.weights.items() if x[-1] == "."}
-    begin = {x: w for x, w in model.weights.items() if x[-1] != "."}
-    stems = {n: {x for x in begin if len(x) == n} for n in BEGINNINGS}
+    rest = {x: w for x, w in model.weights.items() if x[-1] != "."}
+    stems = {n: {x.rstrip("23") for x in rest if len(x.rstrip("23")) == n} for n in BEGINNINGS}
     out = np.empty(len(texts))
     for i, text in enumerate(texts):
         words = set(LETTERS.findall((text or "").lower()))
-        z = model.bias + sum([whole[w] for w in words & whole.keys()])
+        z = model.bias + sum([whole[w] for w in words if w in whole])
         for n, known in stems.items():
-            if known:
-                z += sum([begin[x] for x in {w[:n] for w in words} & known])
+            found = [x for x in [w[:n] for w in words] if x in known]
+            for begin, times in Counter(found).items() if found else ():
+                z += rest.get(begin, 0.0) + sum([rest.get(f"{begin}{r}", 0.0) for r in REPEATS if times >= r])
         out[i] = z
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
