@@ -37,7 +37,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 U = np.uint64
 _HASHES: dict[str, int] = {}
 
@@ -186,8 +186,11 @@ def near_sizes(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def open_pairs(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and not proven apart by their first node."""
+def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a bucket that are in different components and not proven apart by their first node.
+
+    A pair that shares several bands comes out of the smallest one only, and in one order.
+    """
     # Stored similarities are exact; the bins only bring together what may differ by 1 - SIMILARITY.
     reach = 1 - SIMILARITY
     placed = (
@@ -199,17 +202,21 @@ def open_pairs(members: DataFrame, known: DataFrame, roots: DataFrame) -> DataFr
         )
     )
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = cut(placed.join(mixed.select("band"), "band").withColumn("bin", F.floor(F.col("s") / reach).cast("int")))
+    unclear = placed.join(mixed.select("band"), "band").withColumn("bin", F.floor(F.col("s") / reach).cast("int"))
+    left = cut(unclear.join(nodes.select("node", "bands"), "node"))
     near = F.when(F.col("s").isNull(), F.sequence(F.lit(0), F.lit(int(1 / reach) + 1))).otherwise(
         F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)
     )
-    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s")])
+    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands")])
     apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > reach + 1e-9, F.lit(False))
     # A member whose similarity to the first is not known meets all bins from its own side.
     paired = left.where("s is not null").join(right, ["band", "bin"]).unionByName(
         left.where("s is null").join(right.where("s_ is null and bin = 0").drop("bin"), "band")
     )
-    once = paired.where((F.col("root") != F.col("root_")) & near_sizes("size", "size_") & ~apart)
+    # Where only the left similarity is known the pair comes from that side alone, so its order is free.
+    ordered = (F.col("node") < F.col("node_")) | (F.col("s").isNotNull() & F.col("s_").isNull())
+    smallest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
+    once = paired.where((F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest)
     return once.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
@@ -233,7 +240,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     known = cut(verified(fitting, texts))
     is_link = F.col("similarity") >= SIMILARITY
     edges = known.where(is_link)
-    more = cut(verified(open_pairs(members, known, components(edges)), texts)).where(is_link)
+    more = cut(verified(open_pairs(members, nodes, known, components(edges)), texts)).where(is_link)
     edges = cut(edges.unionByName(more).select("a", "b").distinct())
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     grouped = nodes.select("node").join(components(edges), "node", "left").join(links, "node", "left")
