@@ -2,9 +2,9 @@
 
 Texts are cut at white space, which the vocabulary's own rules drop and never join across, so a text's
 ids are those of its words one after the other. Documents form blocks; a block keeps its texts as
-positions in a list of its own distinct words. The words of all blocks are shuffled by word and
-sorted, each distinct word is encoded once, and its ids go back to the blocks, where they are put
-together by position. Ids become text again by looking each one up in the id-to-piece table,
+positions in a list of its own distinct words. These lists are dealt out by word, packed by block; where
+all blocks' lists for the same share of words meet, they form the table of distinct words, each
+word is encoded once, and the ids go back to the blocks, where they are put together by position. Ids become text again by looking each one up in the id-to-piece table,
 which is as large as the vocabulary and therefore broadcast.
 
 Defined results: NULL text equals empty text, which has no ids; text of any length is taken whole;
@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ BLOCK_CHARS = 32_000_000
 _LOADED: dict[int, WordEncoder] = {}
 
 DOCS = "block string, keys array<bigint>, counts array<int>, codes binary"
-WORDS = "block string, code int, word string"
-CODED = "block string, code int, ids binary"
+WORDS = "share int, block string, codes binary, words binary"
+CODED = "block string, codes binary, sizes binary, ids binary"
+# About so many bytes of text to a share of the distinct words.
+SHARE_BYTES = 16_000_000
 
 
 def byte_letters() -> list[str]:
@@ -153,38 +156,58 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list, list[l
 
 def _doc_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for block, keys, counts, codes, _ in _blocks(batches):
-        planes = np.concatenate(codes).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-        row = {"block": block, "keys": keys, "counts": counts, "codes": zstandard.compress(planes, 1)}
+        row = {"block": block, "keys": keys, "counts": counts, "codes": _packed(np.concatenate(codes))}
         yield pd.DataFrame([row])
 
 
-def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for block, _, _, _, table in _blocks(batches):
-        words = list(table)
-        for i in range(0, len(words), 50_000):
-            some = words[i : i + 50_000]
-            yield pd.DataFrame({"block": block, "code": np.arange(i, i + len(some), dtype=np.int32), "word": some})
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def _encode_sorted(vocabulary) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _word_rows(shares: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, _, _, _, table in _blocks(batches):
+            words = list(table)
+            share = np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64) % shares
+            order = np.argsort(share, kind="stable")
+            edges = np.searchsorted(share[order], np.arange(shares + 1))
+            rows = []
+            for i in range(shares):
+                own = order[edges[i] : edges[i + 1]]
+                if len(own):
+                    text = " ".join([words[c] for c in own]).encode()
+                    rows.append((i, block, _packed(np.diff(own, prepend=0)), zstandard.compress(text, 3)))
+            yield pd.DataFrame(rows, columns=["share", "block", "codes", "words"])
+
+    return run
+
+
+def _encode_share(vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(part: pd.DataFrame) -> pd.DataFrame:
         known = encoder(vocabulary.value)
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in batch["word"]:
-                if word != last:
-                    last, ids = word, known.encode(word)
-                out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "code": batch["code"], "ids": out})
+        distinct: dict[str, bytes] = {}
+        sizes, ids = [], []
+        for raw in part["words"]:
+            own = zstandard.decompress(raw).decode().split(" ")
+            for w in own:
+                if w not in distinct:
+                    distinct[w] = known.encode(w)
+            found = [distinct[w] for w in own]
+            sizes.append(_packed(np.array([len(x) for x in found])))
+            ids.append(zstandard.compress(b"".join(found), 3))
+        return pd.DataFrame({"block": part["block"], "codes": part["codes"], "sizes": sizes, "ids": ids})
 
     return run
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """``block, code, word``: the distinct words of every block, equal words next to each other."""
-    words = docs.mapInPandas(_word_rows, WORDS)
-    return words.repartition(F.col("word")).sortWithinPartitions("word")
+def encoded_words(docs: DataFrame, vocabulary, shares: int) -> DataFrame:
+    """The ids of the distinct words of every block, each word encoded once in its share."""
+    words = docs.mapInPandas(_word_rows(shares), WORDS)
+    return words.groupBy("share").applyInPandas(_encode_share(vocabulary), CODED)
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -209,21 +232,26 @@ def encode_blocks(
     shared = spark.sparkContext.broadcast(vocabulary)
     table = spark.sparkContext.broadcast(pieces(vocabulary))
     flat = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    coded = distinct_words(flat).mapInPandas(_encode_sorted(shared), CODED)
+    size = flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE_BYTES + 1)
+    coded = encoded_words(flat, shared, shares)
     blocks = flat.mapInPandas(_doc_blocks, DOCS)
 
     def join_back(block: pd.DataFrame, words: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
         dtype = encoder(shared.value).dtype
         piece = table.value
-        ids: list = [b""] * len(words)
-        shown: list = [""] * len(words)
-        for code, raw in zip(words["code"], words["ids"], strict=True):
-            ids[code] = raw
-            shown[code] = " ".join([piece[i] for i in np.frombuffer(raw, dtype).tolist()])
-        nothing = {i for i, raw in enumerate(ids) if not raw}
+        ids: dict[int, bytes] = {}
+        shown: dict[int, str] = {}
+        for packed in words.itertuples():
+            codes = np.cumsum(_unpacked(packed.codes).astype(np.int64)).tolist()
+            raw, end = zstandard.decompress(packed.ids), 0
+            for code, n in zip(codes, _unpacked(packed.sizes).tolist(), strict=True):
+                ids[code] = own = raw[end : end + n]
+                shown[code] = " ".join([piece[i] for i in np.frombuffer(own, dtype).tolist()])
+                end += n
+        nothing = {i for i, own in ids.items() if not own}
         row = block.iloc[0]
-        planes = np.frombuffer(zstandard.decompress(row["codes"]), np.uint8).reshape(4, -1)
-        codes = planes.T.copy().view("<u4").ravel()
+        codes = _unpacked(row["codes"])
         ends = np.cumsum(row["counts"])
         keys, raws, texts = [], [], []
         for k, end, n in zip(row["keys"], ends, row["counts"], strict=True):
