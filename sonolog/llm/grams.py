@@ -132,20 +132,23 @@ def sums(texts: DataFrame, values: DataFrame, width: int) -> DataFrame:
     def run(block: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
         units, sizes = open_block(row)
-        grams, counts = _whole(units, sizes)
         order = np.argsort(table["gram"].to_numpy())
         known = table["gram"].to_numpy()[order]
-        if len(known):
-            value = np.vstack(table["value"].to_numpy())[order]
-            at = np.concatenate(
-                [np.searchsorted(known, grams[i : i + CHUNK_UNITS]) for i in range(0, len(grams), CHUNK_UNITS)]
-            )
-        ends = np.cumsum(counts)
+        value = np.vstack(table["value"].to_numpy())[order] if len(known) else np.zeros((0, width))
+        ends = np.cumsum(sizes)
         total = np.zeros((len(sizes), width))
-        for k in range(width if len(known) else 0):
-            upto = np.concatenate([[0.0], np.cumsum(value[:, k][at])])
-            total[:, k] = upto[ends] - upto[ends - counts]
-        return pd.DataFrame({"key": list(row["keys"]), "n": counts, "total": list(total)})
+        first = 0
+        while first < len(sizes):  # some texts at a time
+            start = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + CHUNK_UNITS)))
+            grams, counts = _whole(units[start : ends[last - 1]], sizes[first:last])
+            at = np.searchsorted(known, grams)
+            upto = np.cumsum(counts)
+            for k in range(width if len(grams) else 0):
+                summed = np.concatenate([[0.0], np.cumsum(value[:, k][at])])
+                total[first:last, k] = summed[upto] - summed[upto - counts]
+            first = last
+        return pd.DataFrame({"key": list(row["keys"]), "n": sizes - (ORDER - 1), "total": list(total)})
 
     grouped = blocks(texts).groupBy("block").cogroup(valued.groupBy("block"))
     return grouped.applyInPandas(run, "key bigint, n bigint, total array<double>")

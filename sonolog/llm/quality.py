@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import cut, text_or_empty
+from .common import cut, release, text_or_empty
 
 FOLDS = 5
 WIDTH = 4.0
@@ -107,8 +107,11 @@ def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame, list[float]]]:
 
 
 def probabilities(distinct: DataFrame, counts: DataFrame) -> DataFrame:
-    """``gram, value``: the log probability of a gram's last unit after the others, as an array of one."""
-    found = levels(cut(counts))
+    """``gram, value``: the log probability of a gram's last unit after the others, as an array of one.
+
+    ``counts`` is read several times and should be stored.
+    """
+    found = levels(counts)
     alphabet = found[-1][0].count() + 1
     out = distinct.withColumn("p0", F.lit(1.0 / alphabet))
     for order, (seen, contexts, d) in zip(range(1, grams.ORDER + 1), reversed(found), strict=True):
@@ -126,7 +129,8 @@ def probabilities(distinct: DataFrame, counts: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` (a long of all columns), ``n`` and ``loss``, the mean negative log probability; equal rows once."""
-    counts = trusted_counts(docs, trusted_ids(labels, key), key, text)
+    counts = cut(trusted_counts(docs, trusted_ids(labels, key), key, text))
+    release(docs.sparkSession)
     texts = docs.select(grams.row_key(docs).alias("key"), text_or_empty(text).alias("text"))
     distinct = grams.block_grams(texts).select("gram").distinct()
     found = grams.sums(texts, probabilities(distinct, counts), 1)
