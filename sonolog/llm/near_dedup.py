@@ -11,7 +11,8 @@ Nodes that share a band form a bucket. No bucket is ever expanded into all its p
 member is verified against the bucket's first node only, and components are formed. Then pairs of one
 bucket that are still in different components are verified, unless their known similarities to the
 first node differ by more than the distance allowed, in which case the triangle inequality of the Jaccard
-distance proves that they are no link. Every pair that shares a bucket is thus verified, proven apart or
+distance proves that they are no link, or the numbers of their elements by hash class leave too little
+room for an overlap. Every pair that shares a bucket is thus verified, proven apart or
 already connected.
 
 Defined results: NULL text equals empty text, and all empty texts are copies of each other; texts of fewer
@@ -37,6 +38,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
+# Classes of elements whose numbers bound an overlap from above.
+CLASSES = 256
 CACHE_WORDS = 300_000
 U = np.uint64
 _HASHES: dict[str, int] = {}
@@ -113,6 +116,12 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def class_counts(elements: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
+    """How many elements fall into each class; None for texts too long for a byte each."""
+    counts = np.bincount((elements >> U(20)).astype(np.int64) % CLASSES, weights, CLASSES)
+    return counts.astype(np.int8) if counts.max() <= 127 else None
+
+
 def node_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -130,9 +139,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, text in zip(batch["key"], batch["text"], strict=True):
             hashes = word_hashes(text)
-            own = bands(bag_minhash(*shingles(hashes))) if len(hashes) else None
-            rows.append((key, node_of(hashes), max(len(hashes) - WORDS + 1, min(len(hashes), 1)), own))
-        yield pd.DataFrame(rows, columns=["key", "node", "size", "bands"])
+            bag = shingles(hashes)
+            own = (bands(bag_minhash(*bag)), class_counts(*bag)) if len(hashes) else (None, None)
+            rows.append((key, node_of(hashes), int(bag[1].sum()), *own))
+        yield pd.DataFrame(rows, columns=["key", "node", "size", "bands", "classes"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,11 +213,11 @@ def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: Da
     )
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     unclear = placed.join(mixed.select("band"), "band").withColumn("bin", F.floor(F.col("s") / reach).cast("int"))
-    left = cut(unclear.join(nodes.select("node", "bands"), "node"))
+    left = cut(unclear.join(nodes.select("node", "bands", "classes"), "node"))
     near = F.when(F.col("s").isNull(), F.sequence(F.lit(0), F.lit(int(1 / reach) + 1))).otherwise(
         F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)
     )
-    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands")])
+    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "classes")])
     apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > reach + 1e-9, F.lit(False))
     # A member whose similarity to the first is not known meets all bins from its own side.
     paired = left.where("s is not null").join(right, ["band", "bin"]).unionByName(
@@ -216,7 +226,10 @@ def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: Da
     # Where only the left similarity is known the pair comes from that side alone, so its order is free.
     ordered = (F.col("node") < F.col("node_")) | (F.col("s").isNotNull() & F.col("s_").isNull())
     smallest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
-    once = paired.where((F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest)
+    each = F.zip_with("classes", "classes_", lambda x, y: F.least(x, y).cast("bigint"))
+    most = F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    room = F.coalesce(most >= SIMILARITY * (F.col("size") + F.col("size_") - most) - 1e-6, F.lit(True))
+    once = paired.where((F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest & room)
     return once.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
@@ -224,11 +237,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """Rows ``key, row_key, node`` of all documents, and ``node, root, links`` of all nodes."""
     identity = row_key(docs)
     flat = docs.select(identity.alias("key"), text_or_empty(text).alias("text"))
-    signed = cut(flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>"))
+    signed = cut(flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>, classes array<tinyint>"))
     rows = docs.select(F.col(key).alias("id"), identity.alias("key")).join(
         signed.groupBy("key").agg(F.first("node").alias("node")), "key"
     )
-    nodes = signed.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("key").alias("key"))
+    nodes = signed.groupBy("node").agg(
+        F.first("size").alias("size"), F.first("bands").alias("bands"),
+        F.first("classes").alias("classes"), F.min("key").alias("key"),
+    )
     members = cut(buckets(nodes))
     first = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
