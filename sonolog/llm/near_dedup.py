@@ -167,20 +167,23 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component, for all nodes that have an edge.
 
-    Labels move along edges and then to the label of the label, so their number of steps grows with the
-    logarithm of a component's width; what is stored in between is one label per node.
+    A node takes the smallest label around it, hands it on to the node that its old label names, and then takes
+    the label of its label, so that long chains shrink by a factor in every step.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
         other = labels.select(F.col("node").alias("other"), F.col("root").alias("theirs"))
         near = both.join(other, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        moved = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "theirs").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        stepped = moved.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root"))
-        stored = cut(stepped)
-        labels = stored.select("node", "root")
-        if not stored.where("root <> old").limit(1).count():
+        seen = labels.join(near, "node")
+        hooks = seen.groupBy(F.col("root").alias("node")).agg(F.min("theirs").alias("hook"))
+        hooked = cut(
+            seen.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "theirs", "hook").alias("root"))
+        )
+        jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        stepped = cut(hooked.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")))
+        labels = stepped.select("node", "root")
+        if not stepped.where("root <> old").limit(1).count():
             return labels
 
 
