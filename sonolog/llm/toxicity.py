@@ -11,7 +11,7 @@ kind); only features and examples within these bounds are brought together in on
 
 Defined results: NULL and empty texts have no features and score what the bias gives; NULL ids have
 no label; repeated labels count as toxic if one says so, NULL labels do not count; without any
-positive the score is the prior's for all; an empty table gives no rows; other columns, whatever
+positive, or any feature that tells them apart, the score is the prior's for all; an empty table gives no rows; other columns, whatever
 their names, are not looked at and pass through ``keep`` as they are.
 """
 
@@ -80,7 +80,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, positive in zip(batch["text"], batch["positive"], strict=True):
             seen[int(positive)].update(features(text))
     names = list(seen[0].keys() | seen[1].keys())
-    yield pd.DataFrame({"feature": names, "u": [seen[0][x] for x in names], "p": [seen[1][x] for x in names]})
+    if names:
+        yield pd.DataFrame({"feature": names, "u": [seen[0][x] for x in names], "p": [seen[1][x] for x in names]})
 
 
 def _chosen(sample: DataFrame, prior: float, positives: int, unlabelled: int, bounds: Bounds) -> list[str]:
@@ -157,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), key: st
     spread = cut(texts.select("positive", "text").repartition(24))
     sizes = {r["positive"]: r["count"] for r in spread.groupBy("positive").count().collect()}
     names = _chosen(spread, prior, sizes.get(True, 1), sizes.get(False, 0), bounds)
+    if not names:
+        return Model({}, float(np.log(prior / (1 - prior))), prior)
     place = {x: i for i, x in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
