@@ -94,7 +94,8 @@ def rolling(daily: DataFrame, features: list[str], by: str = "rows") -> DataFram
     return long.selectExpr("day", "feature", f"{value} as value")
 
 
-def genre_options(canonical: DataFrame, limit: int = 2000) -> DataFrame:
-    """Sorted distinct genres to choose from."""
+def genre_options(canonical: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sorted distinct genres to choose from, the first ``limit`` of them if given."""
     known = canonical.where("genre_std not in ('', 'nan')").select("genre_std").distinct()
-    return known.orderBy("genre_std").limit(limit)
+    known = known.orderBy("genre_std")
+    return known if limit is None else known.limit(limit)

@@ -52,6 +52,23 @@ def by_year_matrix(counts: DataFrame, genres: list[str]) -> DataFrame:
     return kept.groupBy("year").pivot("genre", genres).agg(F.sum("plays")).fillna(0, genres)
 
 
+def by_year_wide(counts: DataFrame, n: int = 5) -> DataFrame:
+    """Year x the ``n`` genres with most plays overall: ``genre_1, plays_1``, ..., the most played first.
+
+    Zero where a genre was not played; years without any of them are left out.
+    """
+    best = top_genres(counts, n).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("plays")).alias("less"), "genre")))["genre"].alias("names")
+    )
+    ranked = counts.withColumn("names", best.scalar())
+    placed = ranked.withColumn("rank", F.array_position("names", F.col("genre"))).where("rank > 0")
+    columns = []
+    for i in range(1, n + 1):
+        columns.append(F.first(F.get("names", F.lit(i - 1))).alias(f"genre_{i}"))
+        columns.append(F.sum(F.when(F.col("rank") == i, F.col("plays")).otherwise(0)).alias(f"plays_{i}"))
+    return placed.groupBy("year").agg(*columns)
+
+
 def minutes(rolled: DataFrame) -> DataFrame:
     """Minutes per Title Case genre, blanks dropped.
 

@@ -1,9 +1,10 @@
 """Left join of a large fact table to a dimension with one row per key.
 
 Three things hurt such a join at scale: NULL keys all land in one partition, one hot key does
-the same, and a broadcast of a dimension that has grown fails. ``left_lookup`` therefore leaves
-a dimension that Spark's own statistics put below the broadcast threshold to a plain join (no
-shuffle of the facts at all) and spreads NULL and hot keys otherwise.
+the same, and a broadcast of a dimension that has grown fails. ``left_lookup`` leaves the choice
+to adaptive execution, which goes by the dimension's real size: it broadcasts a small one and
+splits skewed partitions of the facts for a large one. Where adaptive execution or broadcasts are
+off, NULL and hot keys are spread here.
 """
 
 from __future__ import annotations
@@ -19,12 +20,6 @@ HOT_SALTS = 512
 NULL_SALTS = 4096
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of the optimised plan's output as Spark estimates it from file sizes; runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
 def broadcast_threshold(df: DataFrame) -> int:
     """The session's ``autoBroadcastJoinThreshold`` in bytes."""
     raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
@@ -35,8 +30,11 @@ def broadcast_threshold(df: DataFrame) -> int:
     return int(raw)
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= broadcast_threshold(df)
+def left_to_spark(df: DataFrame) -> bool:
+    """Whether Spark, which sees real sizes while it runs, may broadcast and else splits skewed partitions."""
+    conf = df.sparkSession.conf
+    splits = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return broadcast_threshold(df) >= 0 and all(conf.get(name, "true").lower() == "true" for name in splits)
 
 
 def _any_null(keys: list[str]) -> Column:
@@ -94,12 +92,12 @@ def salted_left_join(
 def left_lookup(facts: DataFrame, dim: DataFrame, keys: list[str], strategy: str = "auto") -> DataFrame:
     """Attach ``dim`` (unique on ``keys``) to ``facts``; no fact row is lost or multiplied.
 
-    ``strategy``: ``plain`` (Spark picks the join), ``salted``, or ``auto`` (by size).
+    ``strategy``: ``plain`` (Spark picks the join), ``salted``, or ``auto`` (plain where Spark adapts).
     """
     if strategy not in ("auto", "plain", "salted"):
         raise ValueError(f"unknown strategy {strategy!r}")
     columns = facts.columns + [c for c in dim.columns if c not in keys]
-    if strategy == "plain" or (strategy == "auto" and fits_broadcast(dim)):
+    if strategy == "plain" or (strategy == "auto" and left_to_spark(facts)):
         joined = facts.join(dim, keys, "left")
     else:
         joined = salted_left_join(facts, dim, keys)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import ARTIST_RESPONSE, KEYS, LOOKUP_FIELDS, PAIR, SEARCH_RESPONSE
 from .catalog import attach_catalog, catalog_columns, keep_first, keyed_catalog
 from .cleaning import unique_pairs, with_keys
-from .lookup import fits_broadcast, left_lookup
+from .lookup import left_lookup, left_to_spark
 
 API_FIELDS = LOOKUP_FIELDS.fieldNames()
 # Provenance texts written with every lookup result.
@@ -89,11 +89,11 @@ def enriched_pairs(
 def enrich_final(plays: DataFrame, catalog: DataFrame, meta: DataFrame, strategy: str = "auto") -> DataFrame:
     """Plays with both sources, one row per play.
 
-    Every right side has one row per key, so nothing fans out. Sources that can be broadcast
-    are joined to the plays one after the other. Otherwise they are put together on the unique
+    Every right side has one row per key, so nothing fans out. Where Spark adapts its joins the
+    sources are joined to the plays one after the other. Otherwise they are put together on the unique
     raw pairs, which are few, so that the plays are shuffled once and not once per source.
     """
-    if strategy == "plain" or (strategy == "auto" and fits_broadcast(catalog) and fits_broadcast(meta)):
+    if strategy == "plain" or (strategy == "auto" and left_to_spark(plays)):
         out = enrich(attach_catalog(plays, catalog, strategy=strategy), meta, strategy=strategy)
     else:
         fields = enriched_pairs(unique_pairs(plays), catalog, meta, plays.columns)

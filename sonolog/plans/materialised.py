@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import media
 from ..operators import cleaning, ledger, metadata
 from ..operators.numbering import number_rows
-from ..schemas import ARTIST, EPISODE_COLUMNS, KEYS, LEDGER, PAIR, PLAYS_RAW, TRACK
+from ..schemas import ARTIST, CATALOG, EPISODE_COLUMNS, KEYS, LEDGER, PAIR, PLAYS_RAW, TRACK
 from ..session import scratch_path
 from ..sources import readers, tables, writers
 from ..streaming import jobs
@@ -79,6 +79,58 @@ def csv_history_scan(s, d):
     return cleaning.clean(readers.read_csv(s, path, schema)).select("play_id", "ts", "ms_played", *PAIR)
 
 
+def _catalogue_file(s, d, name: str, artist: str) -> str:
+    """The catalogue as CSV: columns in another order than the schema's, and one that is not in it."""
+    path = scratch_path(s, name)
+    rows = tables.catalog(s, d).withColumnRenamed("artist_name", artist)
+    shuffled = ["genre", artist, "track_id", "tempo", "track_name", "popularity", "energy"]
+    writers.overwrite(rows.select(F.lit("x").alias("note"), *shuffled), path, "csv")
+    return path
+
+
+def _catalogue_by_genre(df: DataFrame) -> DataFrame:
+    return df.groupBy("genre").agg(
+        F.count("track_name").alias("tracks"),
+        F.count_distinct("artist_name").alias("artists"),
+        F.sum("popularity").alias("popularity"),
+        F.round(F.sum("tempo"), 3).alias("tempo"),
+        F.count("valence").alias("valences"),
+    )
+
+
+@query
+def catalog_csv_by_name(s, d):
+    return _catalogue_by_genre(readers.read_catalog(s, _catalogue_file(s, d, "catalogue", "artist_name"), CATALOG))
+
+
+@query
+def catalog_csv_legacy(s, d):
+    return _catalogue_by_genre(readers.read_catalog(s, _catalogue_file(s, d, "legacy", "artists"), CATALOG))
+
+
+@query
+def csv_strict_by_name(s, d):
+    path = _catalogue_file(s, d, "strict", "artist_name")
+    got = readers.read_csv_strict(s, path, ["track_id", "track_name", "artist_name"])
+    return got.where("filename is not null").select("track_id", "track_name", "artist_name")
+
+
+@query
+def csv_lenient_counted(s, d):
+    """Lines of which those of large parts have a field too many; both kinds are counted."""
+    path, stored = scratch_path(s, "lenient"), scratch_path(s, "marked")
+    line = F.concat_ws(",", "p_brand", "p_partkey", F.when(F.col("p_size") > 40, "x"), "p_size")
+    # One column whose name and values hold the separators, written as they are.
+    lines = tables.table(s, d, "part").select(line.alias("p_brand,p_partkey,p_size"))
+    lines.write.mode("overwrite").option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    rows = readers.read_csv_lenient(s, path, ["p_size", "p_partkey", "absent"], keep_bad=True)
+    writers.overwrite(rows.withColumn("malformed", F.col(readers.CORRUPT).isNotNull()), stored)
+    whole = F.when(~F.col("malformed"), F.col("p_size").cast("long"))
+    return s.read.parquet(stored).groupBy("malformed").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(whole).alias("sizes"), F.count("absent").alias("absent")
+    )
+
+
 @query
 def media_split_written(s, d):
     """Songs and podcasts in two folders, written in one pass and counted from storage."""
@@ -111,8 +163,8 @@ def stream_suppress_repeats(s, d):
     plays = tables.plays(s, d).select("ts", "ms_played", *PAIR, *EPISODE_COLUMNS)
     writers.overwrite(plays, source)
     writers.append(plays, source)
-    jobs.write_batches(jobs.suppress_repeats(jobs.table_stream(s, source)), out, state).awaitTermination()
-    return s.read.parquet(out).groupBy(F.to_date("ts").alias("day")).agg(
+    jobs.keep_once(jobs.table_stream(s, source, max_files=1), out, state).awaitTermination()
+    return jobs.read_once(s, out, plays.schema).groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms")
     )
 

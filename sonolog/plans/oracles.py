@@ -172,6 +172,10 @@ _CTES: dict[str, tuple[str, list[str]]] = {
             WHERE c_acctbal > 0""",
         [],
     ),
+    "genre_ranks": (
+        """SELECT genre, row_number() OVER (ORDER BY count(*) DESC, genre) AS r FROM long_genres GROUP BY genre""",
+        ["long_genres"],
+    ),
     "daily": (
         """SELECT dt AS day, avg(energy) AS energy, avg(valence) AS valence, avg(danceability) AS danceability,
             avg(acousticness) AS acousticness FROM long_cat GROUP BY dt""",
@@ -580,10 +584,10 @@ ORACLES: dict[str, str] = {
     "genre_by_year_pivot": _with(
         "SELECT yr AS year, "
         + ", ".join(
-            f"""count(*) FILTER (genre = '{g}') AS "{g}" """ for g in ["automobile", "building", "furniture", "r&b", "k-pop"]
+            f"(SELECT genre FROM genre_ranks WHERE r = {i}) AS genre_{i}, count(*) FILTER (r = {i}) AS plays_{i}" for i in range(1, 6)
         )
-        + """ FROM long_genres WHERE genre IN ('automobile', 'building', 'furniture', 'r&b', 'k-pop') GROUP BY yr""",
-        "long_genres",
+        + " FROM long_genres JOIN genre_ranks USING (genre) WHERE r <= 5 GROUP BY yr",
+        "genre_ranks",
     ),
     "genre_minutes": _with(
         f"""SELECT {_TITLE_SQL} AS genre, sum(ms_played)::BIGINT / 60000 AS minutes FROM long_genres WHERE genre <> ''
@@ -597,7 +601,7 @@ ORACLES: dict[str, str] = {
     ),
     "genre_options": _with(
         """SELECT DISTINCT coalesce(trim(string_split(genre, ',')[1]), 'Unknown') AS genre_std
-        FROM pairs LEFT JOIN cat1 USING (tk, ak) ORDER BY 1 LIMIT 2000""",
+        FROM pairs LEFT JOIN cat1 USING (tk, ak) ORDER BY 1""",
         "pairs",
         "cat1",
     ),
@@ -716,6 +720,21 @@ ORACLES.update(
             FROM plays GROUP BY 1""",
             "plays",
         ),
+        "catalog_csv_by_name": _with(
+            """SELECT genre, count(*) AS tracks, count(DISTINCT artist_name) AS artists,
+            sum(popularity)::BIGINT AS popularity, round(sum(tempo), 3) AS tempo, 0::BIGINT AS valences
+            FROM cat GROUP BY genre""",
+            "cat",
+        ),
+        "catalog_csv_legacy": _with(
+            """SELECT genre, count(*) AS tracks, count(DISTINCT artist_name) AS artists,
+            sum(popularity)::BIGINT AS popularity, round(sum(tempo), 3) AS tempo, 0::BIGINT AS valences
+            FROM cat GROUP BY genre""",
+            "cat",
+        ),
+        "csv_strict_by_name": _with("SELECT track_id, track_name, artist_name FROM cat", "cat"),
+        "csv_lenient_counted": """SELECT p_size > 40 AS malformed, count(*) AS n,
+            CAST(sum(p_size) FILTER (p_size <= 40) AS BIGINT) AS sizes, 0::BIGINT AS absent FROM part GROUP BY 1""",
         "stream_daily_minutes": _with(
             "SELECT CAST(ts AS DATE) AS day, sum(ms_played)::BIGINT / 60000 AS minutes FROM plays GROUP BY 1", "plays"
         ),

@@ -1,4 +1,4 @@
-"""Readers with explicit schemas.
+"""Readers that find columns by name and give them explicit types.
 
 Spark rows carry no order, so the file readers can add ``src_file``, ``src_block`` and
 ``src_row``: sorted by these three, rows come in file-name order and, inside a file, in file
@@ -7,10 +7,11 @@ order. They are read off the scan itself and so stay the same when a task is run
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +19,7 @@ from ..schemas import PLAYS_RAW
 
 SOURCE_ORDER = ["src_file", "src_block", "src_row"]
 CORRUPT = "_corrupt_record"
+HISTORY_GLOB = "Streaming_History*.json"
 
 
 def with_source_order(scan: DataFrame) -> DataFrame:
@@ -30,65 +32,144 @@ def with_source_order(scan: DataFrame) -> DataFrame:
     )
 
 
+def damage_options(keep_damaged: bool) -> dict[str, str]:
+    """Fail on a damaged file, or keep its text in ``_corrupt_record``."""
+    if keep_damaged:
+        return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return {"mode": "FAILFAST"}
+
+
+def marked(schema: T.StructType, keep_damaged: bool) -> T.StructType:
+    extra = [T.StructField(CORRUPT, T.StringType())] if keep_damaged else []
+    return T.StructType([*schema.fields, *extra])
+
+
+def _history_files(spark: SparkSession, name_glob: str):
+    return (
+        spark.read.option("multiLine", True)
+        .option("pathGlobFilter", name_glob)
+        .option("recursiveFileLookup", True)
+    )
+
+
+def history_schema(spark: SparkSession, path: str, name_glob: str = HISTORY_GLOB) -> T.StructType:
+    """The known columns and, as text, all others that any export below ``path`` has; reads the files once."""
+    found = _history_files(spark, name_glob).option("primitivesAsString", True).json(path).schema
+    known = {*PLAYS_RAW.fieldNames(), CORRUPT}
+    return T.StructType([*PLAYS_RAW.fields, *[f for f in found.fields if f.name not in known]])
+
+
 def read_history_json(
     spark: SparkSession,
     path: str,
-    schema: T.StructType = PLAYS_RAW,
-    name_glob: str = "Streaming_History*.json",
+    schema: T.StructType | None = PLAYS_RAW,
+    name_glob: str = HISTORY_GLOB,
     ordered: bool = False,
+    keep_damaged: bool = False,
 ) -> DataFrame:
-    """All history exports below ``path``; every file is one JSON array of plays."""
-    scan = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("pathGlobFilter", name_glob)
-        .option("recursiveFileLookup", True)
-        .json(path)
-    )
+    """All history exports below ``path``; every file is one JSON array of plays.
+
+    Without ``schema`` the files' other columns come along as text, for one more pass over the files.
+    A damaged file fails the job. With ``keep_damaged`` it becomes a row with its whole text in
+    ``_corrupt_record``, which ``split_damaged`` takes apart.
+    """
+    schema = schema or history_schema(spark, path, name_glob)
+    reader = _history_files(spark, name_glob).schema(marked(schema, keep_damaged))
+    scan = reader.options(**damage_options(keep_damaged)).json(path)
     return with_source_order(scan) if ordered else scan
 
 
-def _csv(spark: SparkSession, schema: T.StructType):
+def split_damaged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole rows, and damaged records with all their columns; store the latter before counting them."""
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
+
+
+def _csv(spark: SparkSession, **options):
     return (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .options(**options)
     )
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, ordered: bool = False) -> DataFrame:
-    """Typed CSV scan; only the empty field is NULL and malformed UTF-8 decodes to U+FFFD."""
-    scan = _csv(spark, schema).csv(path)
-    return with_source_order(scan) if ordered else scan
-
-
 def _all_text(columns: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _csv_text(spark: SparkSession, path: str | list[str], keep_damaged: bool = False, **options) -> DataFrame:
+    """Every column as text under its header name.
+
+    The first file's header names the columns. A file with another header fails, unless a column has no
+    name in the header: then Spark makes one up, and headers can't be compared.
+    """
+    names = _csv(spark, **options).csv(path).columns
+    unnamed = any(re.fullmatch(r"_c\d+", n) for n in names)
+    reader = _csv(spark, **options).option("enforceSchema", unnamed)
+    return reader.schema(marked(_all_text(names), keep_damaged)).csv(path)
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def by_name(
+    df: DataFrame, schema: T.StructType, required: Iterable[str] = (), also: Iterable[str] = ()
+) -> DataFrame:
+    """The columns of ``schema``, found by name in any case, cast to its types; then those of ``also``.
+
+    What cannot be cast and what is absent is NULL; an absent required column is an error.
+    """
+    there = {c.lower(): c for c in df.columns}
+    missing = [c for c in required if c.lower() not in there]
+    if missing:
+        raise ValueError(f"no column {missing} among {df.columns}")
+    typed = [
+        (_named(there[f.name.lower()]) if f.name.lower() in there else F.lit(None)).try_cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+    return df.select(*typed, *[_named(c) for c in also])
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    ordered: bool = False,
+    required: Iterable[str] = (),
+) -> DataFrame:
+    """Typed CSV scan by header name; only the empty field is NULL and malformed UTF-8 decodes to U+FFFD."""
+    scan = _csv_text(spark, path)
+    scan = with_source_order(scan) if ordered else scan
+    return by_name(scan, schema, required, SOURCE_ORDER if ordered else ())
+
+
 def read_csv_strict(spark: SparkSession, path: str | list[str], columns: Iterable[str]) -> DataFrame:
-    """All-text scan that fails on a malformed row; ``filename`` tells the source file."""
-    scan = _csv(spark, _all_text(columns)).option("mode", "FAILFAST").option("multiLine", True).csv(path)
-    return scan.select("*", F.col("_metadata.file_path").alias("filename"))
+    """All-text scan of named columns that fails on a malformed row or an absent column.
+
+    ``filename`` tells the source file.
+    """
+    columns = list(columns)
+    scan = _csv_text(spark, path, mode="FAILFAST", multiLine=True, columnPruning=False)
+    scan = scan.select("*", F.col("_metadata.file_path").alias("filename"))
+    return by_name(scan, _all_text(columns), columns, ["filename"])
 
 
 def read_csv_lenient(
     spark: SparkSession, path: str | list[str], columns: Iterable[str], keep_bad: bool = False
 ) -> DataFrame:
-    """All-text scan that leaves malformed rows out.
+    """All-text scan of named columns that leaves malformed rows out; absent columns are NULL.
 
     With ``keep_bad`` they stay, marked by their text in ``_corrupt_record``, so a caller can
-    store and count them.
+    store and count them. A row is malformed if it has more or fewer fields than the header.
     """
-    schema = _all_text(columns)
+    columns = list(columns)
+    # Without pruning the parser sees all fields of a row and so can tell their number.
     if not keep_bad:
-        return _csv(spark, schema).option("mode", "DROPMALFORMED").csv(path)
-    schema = schema.add(CORRUPT, T.StringType())
-    return (
-        _csv(spark, schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    )
+        return by_name(_csv_text(spark, path, mode="DROPMALFORMED", columnPruning=False), _all_text(columns))
+    options = damage_options(True) | {"columnPruning": False}
+    return by_name(_csv_text(spark, path, True, **options), _all_text(columns), also=[CORRUPT])
 
 
 def select_existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
@@ -100,10 +181,14 @@ def select_existing(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Catalogue CSV with source order, which "first occurrence" refers to.
 
-    The legacy catalogue calls the artist column ``artists``; it is renamed here.
+    The legacy catalogue calls the artist column ``artists``; either name will do, in the file as in
+    ``schema``. A file without track or artist names is an error.
     """
-    df = read_csv(spark, path, schema, ordered=True)
-    return df.withColumnRenamed("artists", "artist_name") if "artist_name" not in df.columns else df
+    scan = with_source_order(_csv_text(spark, path))
+    if "artist_name" not in {c.lower() for c in scan.columns}:
+        scan = scan.withColumnRenamed("artists", "artist_name")
+    fields = [T.StructField("artist_name" if f.name == "artists" else f.name, f.dataType) for f in schema.fields]
+    return by_name(scan, T.StructType(fields), ["track_name", "artist_name"], SOURCE_ORDER)
 
 
 def load_first_available(spark: SparkSession, candidates: Iterable[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 Every job runs to the end of what has arrived (``availableNow``) and continues from its
 checkpoint the next time. Results that change are written as one folder per micro-batch, which
-a repeated batch overwrites, and read back with the latest row of each key.
+a repeated batch overwrites, and put together on reading. Exports do not arrive in the order of
+time, so these results need no watermark and lose no play, however the files fall into batches.
+``suppress_repeats`` and ``windowed_minutes`` are the forms with a watermark, which keep bounded
+state and drop what comes later than their delay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import numbers, temporal
 from ..operators import cleaning, ledger
 from ..schemas import KEYS, PAIR, PLAYS_RAW
+from ..sources import readers
 
+# Files of one micro-batch; results do not depend on it.
 MAX_FILES = 1000
 BATCH = "batch"
+IDENTITY = ["ts", "ms_played", *PAIR, "spotify_track_uri", "spotify_episode_uri"]
 EVENT_TIME = "event_time"
 
 
@@ -25,12 +33,17 @@ def history_stream(
     spark: SparkSession,
     path: str,
     schema: T.StructType = PLAYS_RAW,
-    name_glob: str = "Streaming_History*.json",
+    name_glob: str = readers.HISTORY_GLOB,
     max_files: int = MAX_FILES,
+    keep_damaged: bool = False,
 ) -> DataFrame:
-    """History exports as they arrive in a folder."""
+    """History exports as they arrive in a folder.
+
+    A damaged file fails the stream; with ``keep_damaged`` its text is a row's ``_corrupt_record``.
+    """
     return (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(readers.marked(schema, keep_damaged))
+        .options(**readers.damage_options(keep_damaged))
         .option("multiLine", True)
         .option("pathGlobFilter", name_glob)
         .option("recursiveFileLookup", True)
@@ -58,19 +71,56 @@ def append_cleaned(raw: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def append_cleaned_aside(raw: DataFrame, out: str, damaged: str, checkpoint: str) -> StreamingQuery:
+    """Clean arriving plays; damaged files of a ``keep_damaged`` stream go to a folder of their own."""
+
+    def save(rows: DataFrame, batch_id: int) -> None:
+        rows.persist()
+        whole, broken = readers.split_damaged(rows)
+        cleaning.clean(whole).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        broken.write.mode("overwrite").parquet(f"{damaged}/{BATCH}={batch_id}")
+        rows.unpersist()
+
+    return _each_batch(raw, save, checkpoint)
+
+
+def identity_of(plays: DataFrame) -> list[str]:
+    """The columns that two exports of one play share."""
+    return [c for c in IDENTITY if c in plays.columns]
+
+
 def suppress_repeats(plays: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Drop plays that a later export repeats, as long as the watermark remembers them.
+    """Drop plays that a later export repeats, and those older than the watermark.
 
-    All copies of one play meet in one task, but only those of one micro-batch, whose size
-    ``max_files`` bounds.
+    For streams in the order of time only; ``keep_once`` is complete.
     """
-    identity = [c for c in ["ts", "ms_played", *PAIR, "spotify_track_uri", "spotify_episode_uri"] if c in plays.columns]
     timed = plays.withColumn(EVENT_TIME, temporal.instant("ts")).withWatermark(EVENT_TIME, delay)
-    return timed.dropDuplicatesWithinWatermark(identity).drop(EVENT_TIME)
+    return timed.dropDuplicatesWithinWatermark(identity_of(plays)).drop(EVENT_TIME)
+
+
+def keep_once(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Store each micro-batch's plays once; ``read_once`` drops what several batches hold.
+
+    Copies are reduced before each shuffle, so a play that is repeated very often is no hot key.
+    """
+
+    def save(rows: DataFrame, batch_id: int) -> None:
+        rows.dropDuplicates(identity_of(rows)).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    return _each_batch(plays, save, checkpoint)
+
+
+def read_once(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """Every play that ``keep_once`` has stored, once."""
+    rows = spark.read.schema(schema).parquet(out).select(*schema.fieldNames())
+    return rows.dropDuplicates(identity_of(rows))
 
 
 def windowed_minutes(plays: DataFrame, width: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Minutes per tumbling window; plays later than the watermark are dropped."""
+    """Milliseconds per tumbling window; plays later than the watermark are dropped.
+
+    For streams in the order of time only; ``daily_minutes`` is complete.
+    """
     return (
         plays.withColumn(EVENT_TIME, temporal.instant("ts"))
         .withWatermark(EVENT_TIME, delay)
@@ -85,6 +135,15 @@ def enrich_stream(plays: DataFrame, single: DataFrame) -> DataFrame:
     return cleaning.with_keys(plays).join(single, KEYS, "left").drop(*KEYS)
 
 
+def _each_batch(df: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        df.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(save)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def write_batches(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write each micro-batch to its own folder; running a batch again replaces its folder."""
 
@@ -107,20 +166,19 @@ def read_latest(spark: SparkSession, out: str, keys: list[str], schema: T.Struct
 
 
 def daily_minutes(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep minutes per day up to date: changed days are written in every micro-batch."""
-    return write_batches(windowed_minutes(plays), out, checkpoint, "update")
+    """Store each micro-batch's milliseconds per day; plays without a time belong to no day."""
+
+    def save(rows: DataFrame, batch_id: int) -> None:
+        days = rows.where("ts is not null").groupBy(F.to_date("ts").alias("day")).agg(F.sum("ms_played").alias("ms"))
+        days.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    return _each_batch(plays, save, checkpoint)
 
 
 def read_daily_minutes(spark: SparkSession, out: str) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("start", T.TimestampNTZType()),
-            T.StructField("end", T.TimestampNTZType()),
-            T.StructField("ms", T.LongType()),
-        ]
-    )
-    days = read_latest(spark, out, ["start"], schema)
-    return days.select(F.to_date("start").alias("day"), numbers.minutes("ms").alias("minutes"))
+    """Minutes per day over all micro-batches."""
+    stored = spark.read.schema("day date, ms long").parquet(out)
+    return stored.groupBy("day").agg(F.sum("ms").alias("ms")).select("day", numbers.minutes("ms").alias("minutes"))
 
 
 def ledger_stream(entries: DataFrame, out: str, checkpoint: str, remember_misses: bool = False) -> StreamingQuery:
@@ -130,12 +188,7 @@ def ledger_stream(entries: DataFrame, out: str, checkpoint: str, remember_misses
         nothing = rows.where(F.lit(False))
         ledger.upsert(nothing, rows, remember_misses).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
-    return (
-        entries.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(save)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(entries, save, checkpoint)
 
 
 def read_ledger(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:

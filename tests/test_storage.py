@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonolog.operators import cleaning
-from sonolog.schemas import ARTIST, PAIR, PLAYS_RAW, TRACK
-from sonolog.sources import readers, writers
+from sonolog.schemas import ARTIST, CATALOG, PAIR, PLAYS_RAW, TRACK
+from sonolog.sources import readers, tables, writers
 from sonolog.streaming import jobs
 
 
@@ -94,7 +94,7 @@ def test_stream_continues_from_its_checkpoint(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(out).select(cols).collect())) == sorted(map(str, batch.select(cols).collect()))
 
 
-def test_daily_minutes_update_and_late_rows(spark, tmp_path):
+def test_daily_minutes_add_up_late_rows_too(spark, tmp_path):
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     src.mkdir()
 
@@ -108,7 +108,7 @@ def test_daily_minutes_update_and_late_rows(spark, tmp_path):
     export(src, "Streaming_History_2.json", [play("2024-01-10T12:00:00Z"), play("2024-01-09T12:00:00Z")])
     assert run() == {"2024-01-10": 2.0, "2024-01-09": 1.0}
     export(src, "Streaming_History_3.json", [play("2024-01-01T12:00:00Z")])
-    assert run() == {"2024-01-10": 2.0, "2024-01-09": 1.0}
+    assert run() == {"2024-01-10": 2.0, "2024-01-09": 1.0, "2024-01-01": 1.0}
 
 
 def test_stream_drops_repeats_across_batches(spark, tmp_path):
@@ -126,6 +126,78 @@ def test_stream_drops_repeats_across_batches(spark, tmp_path):
     assert run() == 2
 
 
+def test_streams_lose_no_old_plays_in_small_batches(spark, sf_dir, tmp_path):
+    """Files newest first, one per micro-batch, every play exported twice."""
+    import os
+
+    plays = tables.plays_long(spark, sf_dir).select("ts", "ms_played", *PAIR).distinct().cache()
+    for i, years in enumerate(["year(ts) < 1995", "year(ts) between 1995 and 1996", "year(ts) > 1996"]):
+        part = plays.where(years)
+        part.unionAll(part).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    source = tmp_path / "in"
+    source.mkdir()
+    for age, i in enumerate([2, 1, 0]):
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            to = source / f"{i}-{f.name}"
+            to.write_bytes(f.read_bytes())
+            os.utime(to, (1_700_000_000 + age, 1_700_000_000 + age))
+    names = [str(tmp_path / n) for n in ("days", "s1", "once", "s2")]
+    stream = lambda: jobs.table_stream(spark, str(source), max_files=1)
+    jobs.daily_minutes(stream(), names[0], names[1]).awaitTermination()
+    jobs.keep_once(stream(), names[2], names[3]).awaitTermination()
+    assert len(list((tmp_path / "days").glob("batch=*"))) == 3
+    got = jobs.read_daily_minutes(spark, names[0]).agg(F.sum("minutes")).first()[0]
+    assert got == pytest.approx(plays.agg(F.sum("ms_played")).first()[0] * 2 / 60000)
+    assert jobs.read_once(spark, names[2], plays.schema).count() == plays.count()
+    plays.unpersist()
+
+
+def test_damaged_history_fails_or_is_kept_aside(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    export(src, "Streaming_History_1.json", [play("2024-01-01T00:00:00Z"), play("2024-01-02T00:00:00Z")])
+    whole = json.dumps([play("2024-01-03T00:00:00Z"), play("2024-01-04T00:00:00Z")])
+    (src / "Streaming_History_2.json").write_text(whole[:-20])
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST|parse"):
+        readers.read_history_json(spark, str(src)).collect()
+    rows = readers.read_history_json(spark, str(src), ordered=True, keep_damaged=True).cache()
+    good, bad = readers.split_damaged(rows)
+    assert good.count() == 2 and [r.src_file[-6:] for r in bad.collect()] == ["2.json"]
+    rows.unpersist()
+    out = [str(tmp_path / n) for n in ("out", "bad", "state", "state2")]
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        jobs.append_cleaned(jobs.history_stream(spark, str(src)), str(tmp_path / "o2"), out[3]).awaitTermination()
+    stream = jobs.history_stream(spark, str(src), max_files=1, keep_damaged=True)
+    jobs.append_cleaned_aside(stream, *out[:3]).awaitTermination()
+    assert spark.read.parquet(out[0]).count() == 2 and spark.read.parquet(out[1]).count() == 1
+
+
+def test_other_export_columns_come_along(spark, tmp_path):
+    export(tmp_path, "Streaming_History_1.json", [play("2024-01-01T00:00:00Z", shuffle=True)])
+    export(tmp_path, "Streaming_History_2.json", [play("2024-01-02T00:00:00Z", offline_timestamp=5)])
+    df = readers.read_history_json(spark, str(tmp_path), schema=None)
+    assert df.columns == [*PLAYS_RAW.fieldNames(), "offline_timestamp", "shuffle"]
+    got = [(r.shuffle, r.offline_timestamp) for r in cleaning.clean(df).orderBy("ts").collect()]
+    assert got == [("true", None), (None, "5")]
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("genre,artists,track_name,weird col,popularity\nPop,A,Song,x,55\nRock,B,Tune,y,bad\n")
+    rows = readers.read_catalog(spark, str(tmp_path / "c.csv"), CATALOG).orderBy(*readers.SOURCE_ORDER).collect()
+    got = [(r.track_name, r.artist_name, r.genre, r.popularity, r.energy) for r in rows]
+    assert got == [("Song", "A", "Pop", 55, None), ("Tune", "B", "Rock", None, None)]
+    lenient = readers.read_csv_lenient(spark, str(tmp_path / "c.csv"), ["track_name", "genre"]).orderBy("genre")
+    assert [tuple(r) for r in lenient.collect()] == [("Song", "Pop"), ("Tune", "Rock")]
+    (tmp_path / "d.csv").write_text("genre,track_name\nPop,Song\n")
+    with pytest.raises(ValueError, match="artist_name"):
+        readers.read_catalog(spark, str(tmp_path / "d.csv"), CATALOG)
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two" / "2.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "two"), readers._all_text(["a", "b"])).collect()
+
+
 def test_shared_dir_is_refused_without_setting(spark, monkeypatch):
     from types import SimpleNamespace
 
