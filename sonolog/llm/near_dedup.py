@@ -8,11 +8,11 @@ counts if the element is that heavy. Each component of the signature is the earl
 it, so two nodes agree in a component with their weighted Jaccard similarity as probability.
 
 Nodes that share a band form a bucket. No bucket is ever expanded into all its pairs: first each
-member is verified against the bucket's first node only, and components are formed. Then pairs of one
-bucket that are still in different components are verified, unless their known similarities to the
-first node differ by more than the distance allowed, in which case the triangle inequality of the Jaccard
-distance proves that they are no link, or the numbers of their elements by hash class leave too little
-room for an overlap. Every pair that shares a bucket is thus verified, proven apart or
+member is verified against one node only, the one that meets most others over all its buckets, and
+components are formed. Then pairs of one bucket that are still in different components are verified, unless
+their known similarities to that first node differ by more than the distance allowed, in which case the
+triangle inequality of the Jaccard distance proves that they are no link, or too many hash classes hold
+elements of only one of them. Every pair that shares a bucket is thus verified, proven apart or
 already connected.
 
 Defined results: NULL text equals empty text, and all empty texts are copies of each other; texts of fewer
@@ -38,8 +38,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 COMPONENTS = BANDS * ROWS
-# Classes of elements whose numbers bound an overlap from above.
-CLASSES = 256
+# Hash classes of elements: so many for each element, a power of two within these bounds. A class that only one
+# of two texts marks holds an element that they do not share; beyond the upper bound that only proves less.
+MARKS_EACH, MARKS_MIN, MARKS_MAX = 8, 1024, 8192
 CACHE_WORDS = 300_000
 U = np.uint64
 _HASHES: dict[str, int] = {}
@@ -116,10 +117,14 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def class_counts(elements: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
-    """How many elements fall into each class; None for texts too long for a byte each."""
-    counts = np.bincount((elements >> U(20)).astype(np.int64) % CLASSES, weights, CLASSES)
-    return counts.astype(np.int8) if counts.max() <= 127 else None
+def marks(elements: np.ndarray, size: int) -> np.ndarray:
+    """Bits, as longs, of the hash classes that hold an element."""
+    classes = MARKS_MIN
+    while classes < min(MARKS_EACH * size, MARKS_MAX):
+        classes *= 2
+    bits = np.zeros(classes, bool)
+    bits[((elements >> U(20)) % U(classes)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def node_of(hashes: np.ndarray) -> bytes:
@@ -140,9 +145,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text in zip(batch["key"], batch["text"], strict=True):
             hashes = word_hashes(text)
             bag = shingles(hashes)
-            own = (bands(bag_minhash(*bag)), class_counts(*bag)) if len(hashes) else (None, None)
-            rows.append((key, node_of(hashes), int(bag[1].sum()), *own))
-        yield pd.DataFrame(rows, columns=["key", "node", "size", "bands", "classes"])
+            size = int(bag[1].sum())
+            own = (bands(bag_minhash(*bag)), marks(bag[0], size)) if size else (None, None)
+            rows.append((key, node_of(hashes), size, *own))
+        yield pd.DataFrame(rows, columns=["key", "node", "size", "bands", "marks"])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,10 +194,36 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``band, node, size, first``: members of all bands that have at least two nodes."""
+    """``band, node, size, first``: members of all bands that have at least two nodes.
+
+    ``first`` is the member that meets most others over all its bands, as the original of many copies does;
+    the smallest node of several.
+    """
     members = nodes.where("bands is not null").select(F.explode("bands").alias("band"), "node", "size")
-    shared = members.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(shared.drop("n"), "band")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(members.join(shared, "band"))
+    crowd = met.groupBy("node").agg(F.sum("n").alias("crowd"))
+    rank = F.struct(-F.col("crowd"), F.col("node"))
+    first = met.select("band", "node").join(crowd, "node").groupBy("band").agg(F.min_by("node", rank).alias("first"))
+    return met.drop("n").join(first, "band")
+
+
+def room(size: str, marked: str, size_: str, marked_: str) -> Column:
+    """Two multisets may be similar enough, going by the classes that only one of them marks."""
+    n = F.least(F.size(marked), F.size(marked_))
+
+    def folded(c: str) -> Column:
+        # Numbers of classes are powers of two, so the halves of the larger one lie over the smaller one.
+        halves = F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseOR(y))
+        return F.when(F.size(c) > n, halves).otherwise(F.col(c))
+
+    def alone(a: Column, b: Column) -> Column:
+        each = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.aggregate(each, F.lit(0), lambda total, x: total + x)
+
+    a, b = folded(marked), folded(marked_)
+    most = F.least(F.col(size) - alone(a, b), F.col(size_) - alone(b, a))
+    return most >= SIMILARITY * (F.col(size) + F.col(size_) - most) - 1e-6
 
 
 def near_sizes(a: str, b: str) -> Column:
@@ -216,11 +248,11 @@ def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: Da
     )
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     unclear = placed.join(mixed.select("band"), "band").withColumn("bin", F.floor(F.col("s") / reach).cast("int"))
-    left = cut(unclear.join(nodes.select("node", "bands", "classes"), "node"))
+    left = cut(unclear.join(nodes.select("node", "bands", "marks"), "node"))
     near = F.when(F.col("s").isNull(), F.sequence(F.lit(0), F.lit(int(1 / reach) + 1))).otherwise(
         F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)
     )
-    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "classes")])
+    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "marks")])
     apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > reach + 1e-9, F.lit(False))
     # A member whose similarity to the first is not known meets all bins from its own side.
     paired = left.where("s is not null").join(right, ["band", "bin"]).unionByName(
@@ -229,10 +261,8 @@ def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: Da
     # Where only the left similarity is known the pair comes from that side alone, so its order is free.
     ordered = (F.col("node") < F.col("node_")) | (F.col("s").isNotNull() & F.col("s_").isNull())
     smallest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
-    each = F.zip_with("classes", "classes_", lambda x, y: F.least(x, y).cast("bigint"))
-    most = F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    room = F.coalesce(most >= SIMILARITY * (F.col("size") + F.col("size_") - most) - 1e-6, F.lit(True))
-    once = paired.where((F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest & room)
+    open_ = (F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest
+    once = paired.where(open_ & room("size", "marks", "size_", "marks_"))
     return once.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
@@ -240,13 +270,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """Rows ``key, row_key, node`` of all documents, and ``node, root, links`` of all nodes."""
     identity = row_key(docs)
     flat = docs.select(identity.alias("key"), text_or_empty(text).alias("text"))
-    signed = cut(flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>, classes array<tinyint>"))
+    signed = cut(flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>, marks array<bigint>"))
     rows = docs.select(F.col(key).alias("id"), identity.alias("key")).join(
         signed.groupBy("key").agg(F.first("node").alias("node")), "key"
     )
     nodes = signed.groupBy("node").agg(
         F.first("size").alias("size"), F.first("bands").alias("bands"),
-        F.first("classes").alias("classes"), F.min("key").alias("key"),
+        F.first("marks").alias("marks"), F.min("key").alias("key"),
     )
     members = cut(buckets(nodes))
     first = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()

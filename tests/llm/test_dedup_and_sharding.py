@@ -193,3 +193,28 @@ def test_sharding_odd_rows(spark, odd_docs):
 def test_sharding_runs_no_python(spark, sf_dir):
     text = queries.op7_sharding(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+def test_marks_never_prove_a_link_apart(spark):
+    """The bound from marked classes against true overlaps, also where the numbers of classes differ."""
+    import numpy as np
+
+    from sonolog.llm import near_dedup
+
+    rng = np.random.default_rng(3)
+    rows, truth = [], []
+    for size in (3, 127, 129, 260, 1030, 3000):
+        a = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for change in (0.0, 0.05, 0.11, 0.3, 0.6):
+            n = int(size * change)
+            b = np.concatenate([a[n:], rng.integers(0, 1 << 63, n + int(size * change / 4)).astype(np.uint64)])
+            bags = [np.unique(x, return_counts=True) for x in (a, b)]
+            sizes = [int(x[1].sum()) for x in bags]
+            marked = [near_dedup.marks(x[0], n).tolist() for x, n in zip(bags, sizes, strict=True)]
+            rows.append((len(rows), sizes[0], marked[0], sizes[1], marked[1]))
+            truth.append(near_dedup.overlap(*bags))
+    df = spark.createDataFrame(rows, "i int, size int, marks array<bigint>, size_ int, marks_ array<bigint>")
+    got = {r.i: r.room for r in df.select("i", near_dedup.room("size", "marks", "size_", "marks_").alias("room")).collect()}
+    assert all(got[i] for i, t in enumerate(truth) if t >= 0.8)
+    assert not any(got[i] for i, t in enumerate(truth) if t < 0.5 and rows[i][1] > 100)
+    assert len({(len(r[2]), len(r[4])) for r in rows if len(r[2]) != len(r[4])}) > 0
