@@ -43,14 +43,14 @@ _CTES: dict[str, tuple[str, list[str]]] = {
     ),
     "cat": (
         """SELECT p_partkey AS src_order, 'K' || p_partkey AS track_id,
-            'Track ' || (p_partkey % 100) AS track_name,
+            CASE WHEN (p_partkey % 100) % 5 < 3 AND p_size <= 40 THEN 'Track ' || (p_partkey % 100)
+              ELSE 'Unplayed ' || p_partkey END AS track_name,
             'Artist ' || (((p_partkey % 100) % 20) * 5 + (p_partkey // 100) % 5) AS artist_name,
             lower(p_type) AS genre, CAST(p_size AS BIGINT) AS popularity,
             abs(CAST(embedding[1] AS DOUBLE)) AS energy, abs(CAST(embedding[2] AS DOUBLE)) AS valence,
             abs(CAST(embedding[3] AS DOUBLE)) AS danceability, abs(CAST(embedding[4] AS DOUBLE)) AS acousticness,
             p_retailprice / 10 AS tempo
-            FROM part JOIN embeddings ON vec_id = p_partkey % 500
-            WHERE (p_partkey % 100) % 5 < 3 AND p_size <= 40""",
+            FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)""",
         [],
     ),
     "cat1": (
@@ -60,7 +60,9 @@ _CTES: dict[str, tuple[str, list[str]]] = {
         ["cat"],
     ),
     "meta": (
-        f"""SELECT 'S' || c_custkey AS spotify_id, 'track ' || (c_custkey % 100) AS {TRACK},
+        f"""SELECT 'S' || c_custkey AS spotify_id,
+            CASE WHEN (c_custkey % 100) % 7 < 4 AND c_acctbal > 0 THEN 'track ' || (c_custkey % 100)
+              ELSE 'unplayed ' || c_custkey END AS {TRACK},
             'ARTIST ' || (((c_custkey % 100) % 20) * 5 + (c_custkey // 100) % 5) AS {ARTIST},
             c_custkey % 101 AS track_popularity,
             lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN ', r&b' ELSE '' END
@@ -70,7 +72,7 @@ _CTES: dict[str, tuple[str, list[str]]] = {
               WHEN 1 THEN printf('%d-%02d', 1995 + c_custkey % 7, 1 + c_custkey % 12)
               ELSE printf('%d', 1995 + c_custkey % 7) END AS album_release_date,
             CASE c_custkey % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'month' ELSE 'year' END AS album_release_date_precision
-            FROM customer WHERE (c_custkey % 100) % 7 < 4 AND c_acctbal > 0""",
+            FROM customer""",
         [],
     ),
     "meta1": (
@@ -168,7 +170,7 @@ _CTES: dict[str, tuple[str, list[str]]] = {
             s_suppkey % 100 AS artist_popularity, s_suppkey * 1000 AS artist_followers,
             CASE WHEN s_suppkey % 5 <> 0 THEN 'r&b, genre ' || (s_suppkey % 7) WHEN s_suppkey IS NOT NULL THEN '' END
               AS legacy_genres
-            FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey < 40) ON s_suppkey = c_custkey % 50
+            FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey
             WHERE c_acctbal > 0""",
         [],
     ),

@@ -8,6 +8,7 @@ them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import composite_key_sql, norm_plain_sql
 from ..schemas import ARTIST, TRACK
@@ -84,17 +85,19 @@ def plays_long(spark: SparkSession, sf_dir: str, min_ms: int | None = None) -> D
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audio-feature catalogue out of ``part`` and ``embeddings``; ``src_order`` is file order."""
-    parts = (
-        table(spark, sf_dir, "part")
-        .where("p_partkey % 100 % 5 < 3 and p_size <= 40")
-        .selectExpr("*", "p_partkey % 500 as vec_id")
-    )
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id between 0 and 499")
+    """Audio-feature catalogue out of ``part`` and ``embeddings``; ``src_order`` is file order.
+
+    Every part is a row, with one of all the vectors. Some have a track that no play has, so that the
+    catalogue covers the plays in part only.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    count = vectors.agg(F.count(F.lit(1))).scalar()
+    parts = table(spark, sf_dir, "part").withColumn("vec_id", F.col("p_partkey") % count)
+    known = "p_partkey % 100 % 5 < 3 and p_size <= 40"
     return parts.join(vectors, "vec_id").selectExpr(
         "p_partkey as src_order",
         "concat('K', p_partkey) as track_id",
-        "concat('Track ', p_partkey % 100) as track_name",
+        f"if({known}, concat('Track ', p_partkey % 100), concat('Unplayed ', p_partkey)) as track_name",
         f"concat('Artist ', {_artist_number('p_partkey % 100', 'p_partkey div 100')}) as artist_name",
         "lower(p_type) as genre",
         "cast(p_size as bigint) as popularity",
@@ -108,7 +111,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _META = {
     "spotify_id": "concat('S', c_custkey)",
-    TRACK: "concat('track ', c_custkey % 100)",
+    TRACK: "if(c_custkey % 100 % 7 < 4 and c_acctbal > 0, concat('track ', c_custkey % 100), concat('unplayed ', c_custkey))",
     ARTIST: f"concat('ARTIST ', {_artist_number('c_custkey % 100', 'c_custkey div 100')})",
     "track_popularity": "c_custkey % 101",
     "api_genres": """concat(lower(c_mktsegment), if(c_custkey % 2 = 0, ', r&b', ''), if(c_custkey % 3 = 0, ',k-pop', ''))""",
@@ -120,22 +123,22 @@ _META = {
 
 def api_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lookup metadata out of ``customer``; keys repeat, as in an append-only table."""
-    kept = table(spark, sf_dir, "customer").where("c_custkey % 100 % 7 < 4 and c_acctbal > 0")
-    return kept.selectExpr(*[f"{e} as {name}" for name, e in _META.items()])
+    return table(spark, sf_dir, "customer").selectExpr(*[f"{e} as {name}" for name, e in _META.items()])
 
 
 def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw search documents, one per customer; an empty ``items`` list is a miss."""
     item = f"""named_struct('id', {_META["spotify_id"]}, 'uri', concat('spotify:track:S', c_custkey),
         'popularity', c_custkey % 101, 'duration_ms', 180000 + c_custkey % 1000, 'explicit', c_custkey % 4 = 0,
-        'preview_url', cast(null as string), 'artists', array(named_struct('id', concat('A', c_custkey % 50))),
+        'preview_url', cast(null as string), 'artists', array(named_struct('id', concat('A', c_custkey))),
         'album', named_struct('name', c_name, 'release_date', {_META["album_release_date"]},
           'release_date_precision', {_META["album_release_date_precision"]}, 'total_tracks', 1 + c_custkey % 15,
           'album_type', if(c_custkey % 2 = 0, 'album', 'single')))"""
     hit = f"to_json(named_struct('tracks', named_struct('items', array({item}))))"
-    key = composite_key_sql(norm_plain_sql(_META[TRACK]), norm_plain_sql(_META[ARTIST]))
+    track = "concat('track ', c_custkey % 100)"
+    key = composite_key_sql(norm_plain_sql(track), norm_plain_sql(_META[ARTIST]))
     return table(spark, sf_dir, "customer").selectExpr(
-        f"{_META[TRACK]} as {TRACK}",
+        f"{track} as {TRACK}",
         f"{_META[ARTIST]} as {ARTIST}",
         "c_custkey as request_id",
         f"{key} as key",
@@ -144,12 +147,8 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def artist_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw artist documents, one per supplier; ids past 39 have none stored."""
+    """Raw artist documents, one per supplier; artists of other numbers have none stored."""
     genres = "if(s_suppkey % 5 = 0, cast(array() as array<string>), array('r&b', concat('genre ', s_suppkey % 7)))"
     body = f"""to_json(named_struct('popularity', s_suppkey % 100,
         'followers', named_struct('total', s_suppkey * 1000), 'genres', {genres}))"""
-    return (
-        table(spark, sf_dir, "supplier")
-        .where("s_suppkey < 40")
-        .selectExpr("concat('A', s_suppkey) as artist_id", f"{body} as body")
-    )
+    return table(spark, sf_dir, "supplier").selectExpr("concat('A', s_suppkey) as artist_id", f"{body} as body")
