@@ -9,7 +9,9 @@ it, so two nodes agree in a component with their weighted Jaccard similarity as
 
 Nodes that share a band form a bucket. No bucket is ever expanded into all its pairs: first each
 member is verified against one node only, the one that meets most others over all its buckets, and
-components are formed. Then pairs of one bucket that are still in different components are verified, unless
+components are formed. In ``TURNS`` rounds the members of each bucket of several components are held
+against one more member, another one in every bucket, which joins most of the rest.
+Then pairs of one bucket that are still in different components are verified, unless
 their known similarities to that first node differ by more than the distance allowed, in which case the
 triangle inequality of the Jaccard distance proves that they are no link, or too many hash classes hold
 elements of only one of them. Every pair that shares a bucket is thus verified, proven apart or
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, text_or_empty
+from .common import cut, hot_join, release, text_or_empty
 from .grams import row_key
 
 WORDS = 5
@@ -41,6 +45,8 @@ COMPONENTS = BANDS * ROWS
 # Hash classes of elements: so many for each element, a power of two within these bounds. A class that only one
 # of two texts marks holds an element that they do not share; beyond the upper bound that only proves less.
 MARKS_EACH, MARKS_MIN, MARKS_MAX = 8, 1024, 8192
+# Rounds in which each bucket of several components is held against one more of its members.
+TURNS = 2
 CACHE_WORDS = 300_000
 U = np.uint64
 _HASHES: dict[str, int] = {}
@@ -223,7 +229,29 @@ def room(size: str, marked: str, size_: str, marked_: str) -> Column:
 
     a, b = folded(marked), folded(marked_)
     most = F.least(F.col(size) - alone(a, b), F.col(size_) - alone(b, a))
-    return most >= SIMILARITY * (F.col(size) + F.col(size_) - most) - 1e-6
+    return most * (1 + SIMILARITY) >= SIMILARITY * (F.col(size) + F.col(size_)) - 1e-6
+
+
+def coarse(marked: str) -> Column:
+    """Marks put together to ``MARKS_MIN`` classes."""
+    words = MARKS_MIN // 64
+
+    def folded(i: Column) -> Column:
+        own = F.transform(F.sequence(i, F.size(marked) - 1, F.lit(words)), lambda j: F.get(marked, j))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total.bitwiseOR(x))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), folded)
+
+
+def coarse_room(size: str, marked: str, size_: str, marked_: str) -> Column:
+    """As ``room`` for marks of ``MARKS_MIN`` classes: it proves less, but Spark compiles it."""
+
+    def alone(a: str, b: str) -> Column:
+        each = [F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(MARKS_MIN // 64)]
+        return reduce(add, each)
+
+    most = F.least(F.col(size) - alone(marked, marked_), F.col(size_) - alone(marked_, marked))
+    return most * (1 + SIMILARITY) >= SIMILARITY * (F.col(size) + F.col(size_)) - 1e-6
 
 
 def near_sizes(a: str, b: str) -> Column:
@@ -231,39 +259,53 @@ def near_sizes(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
+def mixed(members: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame:
+    """``band, node, size, first, root`` of the buckets that have several components, and a ``pivot`` of each.
+
+    The pivot is any member, another one in every bucket and turn.
+    """
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    any_of = F.min_by("node", F.xxhash64("band", "node", F.lit(turn)))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), any_of.alias("pivot"))
+    return placed.join(several.where("low <> high").select("band", "pivot"), "band")
+
+
+def pivot_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Every member of a mixed bucket with the bucket's pivot, unless connected or proven apart."""
+    placed = mixed(members, roots, turn)
+    pivots = members.select(F.col("node").alias("pivot"), F.col("size").alias("size_")).distinct()
+    pivots = pivots.join(roots.toDF("pivot", "root_"), "pivot", "left").withColumn("root_", F.coalesce("root_", "pivot"))
+    met = placed.join(pivots, "pivot").where((F.col("root") != F.col("root_")) & near_sizes("size", "size_"))
+    once = met.select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    ).distinct()
+    own = nodes.select("node", "size", "marks")
+    both = once.join(own.toDF("b", "size_", "marks_"), "b").join(own.toDF("a", "size", "marks"), "a")
+    return both.where(room("size", "marks", "size_", "marks_")).select("a", "b")
+
+
 def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components and not proven apart by their first node.
+    """Pairs of a bucket that are in different components and not proven apart.
 
-    A pair that shares several bands comes out of the smallest one only, and in one order.
+    A pair that shares several mixed bands comes out of the smallest one only.
     """
-    # Stored similarities are exact; the bins only bring together what may differ by 1 - SIMILARITY.
-    reach = 1 - SIMILARITY
-    placed = (
-        members.join(known.select(F.col("a").alias("first"), F.col("b").alias("node"), "similarity"), ["first", "node"], "left")
-        .join(roots, "node", "left")
-        .select(
-            "band", "node", "size", F.coalesce("root", "node").alias("root"),
-            F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity")).alias("s"),
-        )
-    )
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    unclear = placed.join(mixed.select("band"), "band").withColumn("bin", F.floor(F.col("s") / reach).cast("int"))
-    left = cut(unclear.join(nodes.select("node", "bands", "marks"), "node"))
-    near = F.when(F.col("s").isNull(), F.sequence(F.lit(0), F.lit(int(1 / reach) + 1))).otherwise(
-        F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)
-    )
-    right = left.select("band", F.explode(near).alias("bin"), *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "marks")])
-    apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > reach + 1e-9, F.lit(False))
-    # A member whose similarity to the first is not known meets all bins from its own side.
-    paired = left.where("s is not null").join(right, ["band", "bin"]).unionByName(
-        left.where("s is null").join(right.where("s_ is null and bin = 0").drop("bin"), "band")
+    placed = cut(mixed(members, roots))
+    shared = placed.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    to_first = known.select(F.col("a").alias("first"), F.col("b").alias("node"), "similarity")
+    s = F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity"))
+    left = cut(
+        placed.join(to_first, ["first", "node"], "left")
+        .select("band", "node", "size", "root", s.alias("s"))
+        .join(shared.join(nodes.select("node", "marks", coarse("marks").alias("coarse")), "node"), "node")
     )
-    # Where only the left similarity is known the pair comes from that side alone, so its order is free.
-    ordered = (F.col("node") < F.col("node_")) | (F.col("s").isNotNull() & F.col("s_").isNull())
+    right = left.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "marks", "coarse")])
+    apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > 1 - SIMILARITY + 1e-9, F.lit(False))
     smallest = F.array_min(F.array_intersect("bands", "bands_")) == F.col("band")
-    open_ = (F.col("root") != F.col("root_")) & ordered & near_sizes("size", "size_") & ~apart & smallest
-    once = paired.where(open_ & room("size", "marks", "size_", "marks_"))
-    return once.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
+    # The dearer a test, the later.
+    cheap = (F.col("node") < F.col("node_")) & (F.col("root") != F.col("root_")) & near_sizes("size", "size_") & ~apart
+    cheap = cheap & coarse_room("size", "coarse", "size_", "coarse_")
+    paired = left.join(right, "band").where(cheap & smallest & room("size", "marks", "size_", "marks_"))
+    return paired.select(F.col("node").alias("a"), F.col("node_").alias("b"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -288,9 +330,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     )
     known = cut(verified(fitting, texts))
     is_link = F.col("similarity") >= SIMILARITY
-    edges = known.where(is_link)
-    more = cut(verified(open_pairs(members, nodes, known, components(edges)), texts)).where(is_link)
-    edges = cut(edges.unionByName(more).select("a", "b").distinct())
+    edges = known.where(is_link).select("a", "b")
+    roots = components(edges)
+    for turn in range(TURNS):
+        release(docs.sparkSession)
+        edges = edges.unionByName(cut(verified(pivot_pairs(members, nodes, roots, turn), texts)).where(is_link).select("a", "b"))
+        roots = components(edges)
+    release(docs.sparkSession)
+    more = cut(verified(open_pairs(members, nodes, known, roots), texts)).where(is_link)
+    release(docs.sparkSession)
+    edges = cut(edges.unionByName(more.select("a", "b")).select("a", "b").distinct())
     links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     grouped = nodes.select("node").join(components(edges), "node", "left").join(links, "node", "left")
     return cut(rows), grouped.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
