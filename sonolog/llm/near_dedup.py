@@ -334,7 +334,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     roots = components(edges)
     for turn in range(TURNS):
         release(docs.sparkSession)
-        edges = edges.unionByName(cut(verified(pivot_pairs(members, nodes, roots, turn), texts)).where(is_link).select("a", "b"))
+        joined = cut(verified(pivot_pairs(members, nodes, roots, turn), texts)).where(is_link).select("a", "b")
+        if joined.isEmpty():
+            break
+        edges = edges.unionByName(joined)
         roots = components(edges)
     release(docs.sparkSession)
     more = cut(verified(open_pairs(members, nodes, known, roots), texts)).where(is_link)
