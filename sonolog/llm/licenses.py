@@ -6,6 +6,12 @@ without anchors takes equal words from both ends and then, as gaps are no longer
 common subsequence. Coverage is the share of the template's words that are aligned. Long texts are first
 narrowed down to the stretches in which the template's words stand close enough together.
 
+The templates are files in ``license_texts``, taken from the published licences and not from any table: whole bodies
+(``... text``: MIT, BSD, ISC, zlib, Boost, Unlicense, Apache, GPL, LGPL, AGPL, MPL, CC0), standard headers (``... header``) and
+one-line notices in several wordings, of which a document gives one row. A licence's words are often nearly another's,
+so a wording names runs of words that must stand in the stretch (its name, version or own clause). The two-clause BSD body is
+a part of the three-clause one, which gives rows for both. SPDX lines give ``spdx:`` and the identifier in lower case.
+
 Defined results: NULL and empty texts and templates without words give no match; a template that occurs
 several times gives one row with the best stretch and the number of stretches; repeated rows and NULL ids
 each give their own rows; an empty table gives no rows; other columns are ignored.
@@ -17,26 +23,48 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-# Usual one-line licence notices.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-}
+TEXTS = Path(__file__).parent / "license_texts"
+# Spellings that mean the same in licence texts.
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense"}
 COVERAGE = 0.8
 WORD = re.compile(r"\w+")
+SPDX = re.compile(
+    r"(?i:spdx-license-identifier):[ \t]*(\(*[A-Za-z0-9][\w.+:-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][\w.+:-]*\)*)*)"
+)
 MATCH = "template string, coverage double, start int, stop int, stretches int"
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case and one spelling."""
+    return [SPELLINGS.get(w, w) for w in WORD.findall(text.lower())]
+
+
+def read_wordings() -> list[tuple[str, list[str], str]]:
+    """``name, must, text`` of all notices, headers and bodies in ``license_texts``."""
+    found = []
+    for line in (TEXTS / "notices.tsv").read_text("utf-8").splitlines():
+        name, must, text = line.split("\t")
+        found.append((name, must.split("|"), text))
+    for path in sorted(TEXTS.glob("*.txt")):
+        head, _, text = path.read_text("utf-8").partition("---\n")
+        found.append((path.stem, [x.removeprefix("must: ") for x in head.splitlines()], text))
+    return found
+
+
+WORDINGS = read_wordings()
+# The first wording of each name.
+TEMPLATES = {name: text for name, _, text in reversed(WORDINGS)}
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Positions of a longest strictly increasing run, by patience piles with links back."""
     tops: list[int] = []
@@ -59,13 +87,16 @@ def longest_increasing(values: list[int]) -> list[int]:
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence; ``b`` is a part of a template."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a column of the table in the bits of one number."""
+    where: dict[str, int] = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        both = row & where.get(x, 0)
+        row = (row + both | row - both) & full
+    return len(b) - row.bit_count()
 
 
 def aligned(a: list[str], b: list[str]) -> int:
@@ -116,12 +147,21 @@ def windows(start: int, stop: int, size: int) -> Iterator[tuple[int, int]]:
     yield start, stop
 
 
-def best_match(words: list[str], template: list[str], coverage: float) -> tuple[float, int, int, int] | None:
+def holds(words: list[str], must: list[list[str]]) -> bool:
+    """Each run of ``must`` stands in the words."""
+    return all(any(words[i : i + len(run)] == run for i, w in enumerate(words) if w == run[0]) for run in must)
+
+
+def best_match(
+    words: list[str], template: list[str], coverage: float, must: list[list[str]] = ()
+) -> tuple[float, int, int, int] | None:
     """Best coverage, its words from and to, and how many stretches reach ``coverage``."""
     best, count = None, 0
     for whole in stretches(words, template, coverage):
         top = None
         for start, stop in windows(*whole, len(template)):
+            if not holds(words[start:stop], must):
+                continue
             share = aligned(words[start:stop], template) / len(template)
             if share >= coverage and (top is None or share > top[0]):
                 top = (share, start, stop)
@@ -132,38 +172,71 @@ def best_match(words: list[str], template: list[str], coverage: float) -> tuple[
     return (*best, count) if best else None
 
 
-def needed(template: list[str], coverage: float, spread: Counter) -> list[str]:
-    """Words of which a text that reaches ``coverage`` has at least one; those in few templates first."""
-    order = sorted(set(template), key=lambda w: (spread[w], -len(w), w))
-    chosen, missed = [], 0
-    for w in order:
-        chosen.append(w)
-        missed += template.count(w)
-        if missed > (1 - coverage) * len(template) + 1e-9:
-            break
-    return chosen
+def identifiers(body: str) -> Iterator[tuple[str, float, int, int, int]]:
+    """A row for each licence that SPDX lines of a text name; exceptions after WITH are no licences."""
+    found: dict[str, list] = {}
+    for line in SPDX.finditer(body):
+        start = len(WORD.findall(body[: line.start()]))
+        stop = start + len(WORD.findall(line[0]))
+        parts = re.findall(r"[^\s()]+", line[1])
+        own = [p for i, p in enumerate(parts) if p not in ("AND", "OR", "WITH") and (i == 0 or parts[i - 1] != "WITH")]
+        for name in {f"spdx:{p.rstrip('.:-').lower()}" for p in own}:
+            row = found.setdefault(name, [start, stop, 0])
+            row[2] += 1
+    for name in sorted(found):
+        yield name, 1.0, *found[name]
+
+
+class Finder:
+    """Matches of all wordings in one text; a name takes its best wording."""
+
+    def __init__(self, wordings: list[tuple[str, list[str], str]], coverage: float):
+        known = [(name, words_of(text), [words_of(m) for m in must]) for name, must, text in wordings]
+        self.known = [(name, words, must) for name, words, must in known if words]
+        self.coverage = coverage
+        self.place = {w: i for i, w in enumerate(sorted({w for _, words, _ in self.known for w in words}))}
+        self.counts = np.zeros((len(self.known), len(self.place)), np.int32)
+        for row, (_, words, _) in zip(self.counts, self.known, strict=True):
+            for w, n in Counter(words).items():
+                row[self.place[w]] = n
+        self.least = coverage * self.counts.sum(axis=1) - 1e-9
+
+    def find(self, body: str) -> Iterator[tuple[str, float, int, int, int]]:
+        words = words_of(body)
+        own = [(self.place[w], n) for w, n in Counter(words).items() if w in self.place]
+        if not own:
+            return
+        at, n = np.array(own).T
+        # No alignment matches more than the words that both hold.
+        possible = np.flatnonzero(np.minimum(self.counts[:, at], n).sum(axis=1) >= self.least)
+        best: dict[str, tuple[float, int, int, int]] = {}
+        for i in possible:
+            name, template, must = self.known[i]
+            match = best_match(words, template, self.coverage, must)
+            if match and (name not in best or match[0] > best[name][0]):
+                best[name] = match
+        for name, match in best.items():
+            yield name, *match
 
 
 def scan(
     docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """A row for every document and template with at least ``coverage`` of its words; no shuffle."""
-    found = {name: WORD.findall(t.lower()) for name, t in (templates or TEMPLATES).items()}
-    known = {name: words for name, words in found.items() if words}
-    spread = Counter(w for words in known.values() for w in set(words))
-    first = {name: needed(words, coverage, spread) for name, words in known.items()}
+    """A row for every document and template with at least ``coverage`` of its words; no shuffle.
+
+    Without ``templates`` these are all of ``WORDINGS``, and licences named by SPDX lines.
+    """
+    finder = Finder([(name, [], t) for name, t in templates.items()] if templates else WORDINGS, coverage)
+    named = not templates
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k, body in zip(batch["key"], batch["text"], strict=True):
-                low = body.lower()
-                names = [name for name, some in first.items() if any(w in low for w in some)]
-                words = WORD.findall(low) if names else []
-                for name in names:
-                    match = best_match(words, known[name], coverage)
-                    if match:
-                        rows.append((None if pd.isna(k) else int(k), name, *match))
+                own = None if pd.isna(k) else int(k)
+                rows += [(own, *match) for match in finder.find(body)]
+                if named and "spdx" in body.lower():
+                    rows += [(own, *match) for match in identifiers(body)]
             yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in MATCH.split(", ")]]).astype({key: "Int64"})
 
     flat = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))

@@ -264,6 +264,65 @@ def test_licences_odd_rows(spark, odd_docs):
     assert licenses.scan(df, {"none": "..."}).count() == 0
 
 
+# Written independently of the templates: reworded, cut and broken up.
+INDEPENDENT = {
+    "mit text": """Permission is granted hereby, free of charge, to any person who obtains a copy of this library and associated
+        documentation files, to deal in the Software with no restriction, including the rights to use, copy, modify, merge,
+        publish, distribute, sublicense and/or sell copies of it, and to permit persons to whom the Software is
+        furnished to do so, subject to the following: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NON-INFRINGEMENT. IN NO EVENT SHALL JANE DOE BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR ITS USE.""",
+    "isc text": """Permission to use, copy, modify, and/or distribute this code for any purpose with or without fee is hereby
+        granted, provided that the above notice and this permission notice appear in all copies. # THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. # IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OF THIS SOFTWARE.""",
+    "gpl-2.0 header": """# This file is free software; you can redistribute it and/or modify
+        # it under the terms of the GNU General Public License as published by
+        # the Free Software Foundation; version 2 of the License, or any later version.
+        # It is distributed in the hope that it will be useful, WITHOUT ANY WARRANTY; without even
+        # the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License.""",
+    "apache-2.0 header": """Licensed under the Apache License, Version 2.0; you may not use this module except in compliance with the
+        License. You may get a copy of the License at https://www.apache.org/licenses/LICENSE-2.0 . Unless required by law or agreed
+        to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+        OF ANY KIND, express or implied. See the License for the language governing permissions and limitations.""",
+    "mpl-2.0": "All code here is released under the Mozilla Public Licence, version 2.0, unless stated.",
+    "lgpl-2.1": "This library is licensed under the GNU Lesser General Public License (LGPL), version 2.1 only.",
+    "agpl-3.0": "The server is licensed under the GNU Affero General Public License, version 3.",
+    "bsd-3-clause": "Released under the 3-clause BSD license: released under the BSD 3 clause licence.",
+    "unlicense": "Everything is released under the Unlicense, really.",
+    "spdx:bsd-2-clause": "// SPDX-License-Identifier: (BSD-2-Clause OR GPL-2.0-only WITH Classpath-exception-2.0) and prose",
+}
+
+
+def test_licences_of_general_wordings(spark):
+    rows = list(enumerate(f"Intro words. {t} Last words." for t in INDEPENDENT.values()))
+    found = defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found[r.doc_id].add(r.template)
+    for i, name in enumerate(INDEPENDENT):
+        assert name in found[i], (name, found[i])
+    assert found[2] <= {"gpl-2.0 header", "gpl-2.0"} and found[5] == {"lgpl-2.1"} and found[6] == {"agpl-3.0"}
+    assert found[9] == {"spdx:bsd-2-clause", "spdx:gpl-2.0-only"}
+
+
+def test_near_wordings_are_told_apart():
+    finder = licenses.Finder(licenses.WORDINGS, licenses.COVERAGE)
+
+    def names(text):
+        return {m[0] for m in finder.find(text)}
+
+    assert names("Released under the BSD License.") == {"bsd"}
+    assert names("Licensed under CC BY 4.0.") == {"cc-by-4.0"}
+    assert names("This work is licensed under the GNU General Public License, version 2.") == {"gpl-2.0"}
+    for name, _, text in licenses.WORDINGS:
+        extra = {x.split()[0] for x in names(f"a b c. {text} d e f.")} - {name.split()[0]}
+        assert not extra or name.startswith("bsd-") and extra <= {"bsd", "bsd-2-clause"}, (name, extra)
+
+
 # Pipeline
 
 
