@@ -61,8 +61,8 @@ def read_wordings() -> list[tuple[str, list[str], str]]:
 
 
 WORDINGS = read_wordings()
-# The first wording of each name.
-TEMPLATES = {name: text for name, _, text in reversed(WORDINGS)}
+# The first wording of each notice.
+TEMPLATES = {name: text for name, _, text in reversed(WORDINGS) if not name.endswith((" text", " header"))}
 
 
 def longest_increasing(values: list[int]) -> list[int]:

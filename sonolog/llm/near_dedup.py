@@ -101,7 +101,8 @@ def bag_minhash(elements: np.ndarray, weights: np.ndarray, m: int = COMPONENTS)
             points = int(1.2 * limit * rate.mean()) + 1
             state = mix(seed[:, None] + np.arange(step + 1, step + points + 1, dtype=U) * U(0x9E3779B97F4A7C15))
             gap = -np.log(((state >> U(11)).astype(float) + 0.5) / (1 << 53)) / rate[:, None]
-            time = now[:, None] + np.cumsum(gap, axis=1)
+            # One running sum: the bits of a time do not depend on where a step ends.
+            time = np.cumsum(np.concatenate([now[:, None], gap], axis=1), axis=1)[:, 1:]
             other = mix(state ^ U(0xD1B54A32D192ED03))
             place = first[:, None] + 1 + ((other >> U(32)) % rate.astype(U)[:, None]).astype(np.int64)
             counts = (time <= limit) & (place <= heavy[:, None])

@@ -147,6 +147,21 @@ def test_chain_of_links_is_one_class(spark):
     assert got == brute_classes(rows) and set(got.values()) == {0}
 
 
+def test_points_of_an_element_are_bit_equal_in_all_bags():
+    rng = np.random.default_rng(5)
+    unlike = lost = 0
+    for light, high, low in ((300, 2000, 1620), (40, 1000, 820), (60, 500, 405), (3, 9000, 9000)):
+        for _ in range(15):
+            elements = rng.integers(0, 1 << 63, light + 5).astype(np.uint64)
+            a = near_dedup.bag_minhash(elements[: light + 1], np.r_[high, np.ones(light, np.int64)])
+            b = near_dedup.bag_minhash(elements, np.r_[low, np.ones(light + 4, np.int64)])
+            close = np.isclose(a, b, rtol=1e-11, atol=0)
+            assert close.any()
+            unlike += int((a[close] != b[close]).sum())
+            lost += not (near_dedup.bands(a) == near_dedup.bands(b)).any()
+    assert (unlike, lost) == (0, 0)
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(7)
     elements = rng.integers(0, 1 << 62, 120, dtype=np.int64).astype(np.uint64)
