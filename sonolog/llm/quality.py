@@ -5,13 +5,15 @@ documents and summed by gram; the lower orders count the distinct units seen bef
 has its three discounts from its counts of counts, and what they take off goes to the next lower order,
 down to a uniform share for unseen units. The distinct grams of all documents get their
 probabilities by joins sharded by gram, by context and by the shorter grams; ``grams.sums`` brings them to the
-documents. Bounds come from trusted documents that were not counted (fold 0), by language: the
-median, and ``WIDTH`` times the distance to the 5 % and 95 % quantiles on either side, because junk can
-be less likely than clean text or, as endless repetition, more likely. A text's distance to the median is
-shrunk by ``n / (n + SHRINK)``, so that a few letters alone decide nothing.
+documents. Bounds come from trusted documents that were not counted (fold 0). A loss is taken as its distance to the
+median of its language, in units of the language's distance from the median to its 5 % or 95 % quantile; junk can
+be less likely than clean text or, as endless repetition, more likely. The bounds are the quantiles ``LEVEL`` and
+``1 - LEVEL`` of that distance among the held-out texts of about the same length (by powers of four, joined until a
+class has ``LEAST``), so clean loss should be ``2 * LEVEL``, or two texts of a class smaller than that can tell. Counted
+texts are likelier than others of their kind and have bounds from each other.
 
 Defined results: NULL and empty texts have no perplexity and are not kept; a language with less
-than ``LEAST`` trusted documents or 1/1000 of them, or NULL, gets the bounds of all languages together;
+than ``LEAST`` held-out trusted documents or 1/1000 of them, or NULL, gets the quantiles of all languages together;
 without trusted text every text that is not empty is kept; equal rows get equal results; an empty table
 gives no rows; extra columns pass through ``keep``.
 """
@@ -24,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import cut, release, text_or_empty
+from .common import cut, hot_join, release, text_or_empty
 
 FOLDS = 5
-WIDTH = 4.0
-SHRINK = 50
+LEVEL = 0.005
 LEAST = 30
+# Ranks are exact up to so many documents, and off by no more than their number over this beyond.
+ACCURACY = 10_000
+# Lengths up to 4 ** 16.
+CLASSES = 16
 UNIT = 16
 
 
@@ -138,32 +143,67 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return found.groupBy("key").agg(F.first("n").alias("n"), F.first(loss).alias("loss"))
 
 
-def _bounds(rows: DataFrame) -> list[Column]:
-    q = F.percentile("loss", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return [q.alias("q"), F.count(F.lit(1)).alias("m")]
+def _quantiles(column: str, shares: list[float]) -> list[Column]:
+    q = F.percentile_approx(column, F.array(*[F.lit(x) for x in shares]), F.lit(ACCURACY))
+    return [q.alias("q"), F.count(column).alias("m")]
+
+
+def joined_classes(sizes: dict[int, int]) -> list[int]:
+    """For each length class, the number of the joined class: neighbours until each has ``LEAST``."""
+    found, number, m = [], 0, 0
+    for c in range(CLASSES + 1):
+        found.append(number)
+        m += sizes.get(c, 0)
+        if m >= LEAST and sum(n for x, n in sizes.items() if x > c) >= LEAST:
+            number, m = number + 1, 0
+    return found
+
+
+def _class_bounds(sample: DataFrame) -> list[Column]:
+    """Lowest and highest distance to the median for a row's length class."""
+    sizes = {r["class"]: r["count"] for r in sample.groupBy("class").count().collect()}
+    into = joined_classes(sizes)
+    number = F.get(F.array(*[F.lit(x) for x in into]), F.col("class"))
+    q = {r["g"]: r["q"] for r in sample.groupBy(number.alias("g")).agg(*_quantiles("z", [LEVEL, 1 - LEVEL])).collect()}
+    return [F.get(F.array(*[F.lit(q[g][i]) for g in into]), F.col("class")) for i in (0, 1)]
 
 
 def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: its row key, id, language, size, perplexity, bounds and whether it stays."""
     light = docs.select(grams.row_key(docs).alias("key"), F.col(key).alias(key), F.col(lang).alias(lang))
     scored = cut(light.join(perplexities(docs, labels, key, text), "key"))
-    held = trusted_ids(labels, key).where("held_out").select(key)
-    sample = scored.where("loss is not null").join(held, key, "left_semi")
-    overall = sample.agg(*_bounds(sample)).first()
+    known = cut(scored.where("loss is not null").join(trusted_ids(labels, key), key).select("key", lang, "loss", "held_out"))
+    sample = known.where("held_out")
+    overall = sample.agg(*_quantiles("loss", [0.05, 0.5, 0.95])).first()
     if not overall["m"]:
         flags = [F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")]
         return scored.select("*", F.exp("loss").alias("perplexity"), *flags, F.col("loss").isNotNull().alias("kept"))
-    # Languages with at least 1/1000 of the sample: at most 1000 rows.
-    least = max(LEAST, overall["m"] / 1000)
-    own = sample.groupBy(lang).agg(*_bounds(sample)).where(F.col("m") >= least).select(lang, "q")
-    q = F.coalesce(F.col("q"), F.array(*[F.lit(x) for x in overall["q"]]))
-    low = q[1] - WIDTH * (q[1] - q[0])
-    high = q[1] + WIDTH * (q[2] - q[1])
-    shrunk = q[1] + (F.col("loss") - q[1]) * F.col("n") / (F.col("n") + SHRINK)
-    kept = F.coalesce((shrunk >= low) & (shrunk <= high), F.lit(False))
-    return scored.join(F.broadcast(own), lang, "left").select(
-        *scored.columns, F.exp("loss").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"),
-        kept.alias("kept"),
+    # The language as a key that is never NULL; every language of the rows has its quantiles.
+    tag = F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
+    own = sample.groupBy(tag.alias("__lang")).agg(*_quantiles("loss", [0.05, 0.5, 0.95]))
+    own = own.where((F.col("m") >= max(LEAST, overall["m"] / 1000)) & (F.col("__lang") != ""))
+    q = F.coalesce("q", F.array(*[F.lit(x) for x in overall["q"]])).alias("q")
+    rows = scored.groupBy(tag.alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))
+    table = cut(rows.join(own, "__lang", "left").select("__lang", "__rows", q))
+    marked = known.groupBy("key").agg((~F.max("held_out")).alias("__counted"))
+    placed = hot_join(scored.withColumn("__lang", tag), table, "__lang", counted="__rows").join(marked, "key", "left")
+    d = F.col("loss") - F.col("q")[1]
+    below = F.greatest(F.lit(1e-9), F.col("q")[1] - F.col("q")[0])
+    above = F.greatest(F.lit(1e-9), F.col("q")[2] - F.col("q")[1])
+    length = F.least(F.lit(CLASSES), F.floor(F.log(4.0, F.greatest(F.lit(1), "n")))).cast("int")
+    placed = cut(placed.select("*", F.when(d < 0, d / below).otherwise(d / above).alias("z"), length.alias("class")))
+    others = _class_bounds(placed.where("loss is not null and not __counted"))
+    counted = placed.where("loss is not null and __counted")
+    bounds = list(zip(_class_bounds(counted), others, strict=True)) if counted.limit(1).count() else [(x, x) for x in others]
+    limits = [F.when(F.col("__counted"), mine).otherwise(theirs) for mine, theirs in bounds]
+
+    def loss_at(z: Column) -> Column:
+        return F.col("q")[1] + F.when(z < 0, z * below).otherwise(z * above)
+
+    kept = F.coalesce((F.col("z") >= limits[0]) & (F.col("z") <= limits[1]), F.lit(False))
+    return placed.select(
+        *scored.columns, F.exp("loss").alias("perplexity"), F.exp(loss_at(limits[0])).alias("low"),
+        F.exp(loss_at(limits[1])).alias("high"), kept.alias("kept"),
     )
 
 

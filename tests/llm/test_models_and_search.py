@@ -183,6 +183,27 @@ def test_quality_odd_rows(spark, odd_docs, labels):
     assert quality.keep(odd_docs.where("false"), labels).count() == 0
 
 
+def known_losses(monkeypatch, spark, rows, more=None, wanted="true"):
+    """``assess`` over rows of ``doc_id, lang, n, loss``, all trusted but those with a negative id."""
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, size int, given double")
+    docs = docs.union(more) if more else docs
+    found = docs.select(grams.row_key(docs).alias("key"), F.col("size").alias("n"), F.col("given").alias("loss"))
+    monkeypatch.setattr(quality, "perplexities", lambda *args: found)
+    labels = docs.where("doc_id > 0").select("doc_id", F.lit(1).alias("quality"))
+    return {r.doc_id: r for r in quality.assess(docs, labels).where(wanted).collect()}
+
+
+def test_short_junk_is_judged_by_short_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "en", 2000, float(rng.normal(1.6, 0.05))) for i in range(1, 3001)]
+    rows += [(5000 + i, "en", 50, float(rng.normal(1.8, 0.1))) for i in range(600)]
+    rows += [(-1, "en", 50, 1.9), (-2, "en", 50, 2.4), (-3, "en", 2000, 1.9), (-4, "en", 2000, 1.65)]
+    got = known_losses(monkeypatch, spark, rows)
+    assert [got[-i].kept for i in range(1, 5)] == [True, False, False, True]
+    clean = [r.kept for i, r in got.items() if i > 0]
+    assert sum(clean) >= 0.98 * len(clean)
+
+
 # Language
 
 
