@@ -13,7 +13,7 @@ class has ``LEAST``), so clean loss should be ``2 * LEVEL``, or two texts of a c
 texts are likelier than others of their kind and have bounds from each other.
 
 Defined results: NULL and empty texts have no perplexity and are not kept; a language with less
-than ``LEAST`` held-out trusted documents or 1/1000 of them, or NULL, gets the quantiles of all languages together;
+than ``LEAST`` held-out trusted documents, or NULL, gets the quantiles of all languages together;
 without trusted text every text that is not empty is kept; equal rows get equal results; an empty table
 gives no rows; extra columns pass through ``keep``.
 """
@@ -181,7 +181,7 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     # The language as a key that is never NULL; every language of the rows has its quantiles.
     tag = F.coalesce(F.concat(F.lit("="), F.col(lang)), F.lit(""))
     own = sample.groupBy(tag.alias("__lang")).agg(*_quantiles("loss", [0.05, 0.5, 0.95]))
-    own = own.where((F.col("m") >= max(LEAST, overall["m"] / 1000)) & (F.col("__lang") != ""))
+    own = own.where((F.col("m") >= LEAST) & (F.col("__lang") != ""))
     q = F.coalesce("q", F.array(*[F.lit(x) for x in overall["q"]])).alias("q")
     rows = scored.groupBy(tag.alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))
     table = cut(rows.join(own, "__lang", "left").select("__lang", "__rows", q))

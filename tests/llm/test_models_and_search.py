@@ -193,6 +193,16 @@ def known_losses(monkeypatch, spark, rows, more=None, wanted="true"):
     return {r.doc_id: r for r in quality.assess(docs, labels).where(wanted).collect()}
 
 
+def test_small_language_has_its_own_bounds(spark, monkeypatch):
+    """Held out: about 50,000 texts in one language and 40 in another, whose clean texts are all less likely."""
+    rng = np.random.default_rng(2)
+    rows = [(300000 + i, "small", 500, float(rng.normal(3.0, 0.05))) for i in range(200)]
+    rows += [(-1, "small", 500, 3.0), (-2, "small", 500, 1.5), (-3, "big", 500, 3.0), (-4, "big", 500, 1.5), (-5, None, 500, 1.5)]
+    big = spark.range(1, 250001).select("id", F.lit("big"), F.lit(500), 1.5 + 0.05 * F.randn(1)).checkpoint()
+    got = known_losses(monkeypatch, spark, rows, big, "doc_id < 0")
+    assert [got[-i].kept for i in range(1, 6)] == [True, False, False, True, True]
+
+
 def test_short_junk_is_judged_by_short_texts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, "en", 2000, float(rng.normal(1.6, 0.05))) for i in range(1, 3001)]
