@@ -9,7 +9,8 @@ smoothed towards those of all pages. The second pass adds the logarithms up.
 Defined results: without text the priors and the markup decide; NULL or broken markup or addresses
 count as the value ``''``; equal scores go to the first language of the alphabet; repeated rows each
 get a row; without training text no language is known and the result is NULL; an empty table gives no
-rows. Languages with less than 1/1000 of the training documents are not told apart.
+rows. Languages with less than ``LEAST`` training documents, at any size of the others, are not told apart; their pages
+get another language.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import cut, hot_join, text_or_empty
 TEMPER = 0.25
 ALPHA = 0.1
 KAPPA = 5.0
+# Fewest documents that make a language known.
+LEAST = 5
 
 
 def page_text(html: Column) -> Column:
@@ -44,10 +47,9 @@ def host(url: Column) -> Column:
 
 
 def language_names(docs: DataFrame, lang: str = "lang") -> list[str]:
-    """Languages with at least 1/1000 of the documents that have one: at most 1000."""
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r["l"] for r in counts.where(F.col("count") >= total / 1000).collect())
+    """Languages with at least ``LEAST`` documents, or all if none has as many."""
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()
+    return sorted(r["l"] for r in counts if r["count"] >= LEAST) or sorted(r["l"] for r in counts)
 
 
 def gram_likelihoods(docs: DataFrame, names: list[str], wanted: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

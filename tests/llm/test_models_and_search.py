@@ -264,6 +264,15 @@ def test_language_odd_rows(spark, sf_dir):
     assert {r.lang for r in langid.identify(pages, docs.where("false")).collect()} == {None}
 
 
+def test_a_language_beside_a_thousand_times_larger_one_is_known(spark):
+    small = [(i, f"zyx wvu qpo zyx{i} tsr wvu qpo", "xx") for i in range(8)]
+    docs = spark.range(9000).select("id", F.concat(F.lit("the and of some words "), F.col("id").cast("string")), F.lit("en"))
+    docs = docs.union(spark.createDataFrame(small, "id bigint, text string, lang string")).toDF("doc_id", "text", "lang")
+    pages = [(1, "http://a.example/", "<p>tsr wvu qpo zyx wvu</p>"), (2, "http://b.example/", "<p>some of the words and</p>")]
+    got = langid.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), docs)
+    assert {r.page_id: r.lang for r in got.collect()} == {1: "xx", 2: "en"}
+
+
 # Licences
 
 
