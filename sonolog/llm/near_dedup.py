@@ -15,7 +15,8 @@ Then pairs of one bucket that are still in different components are verified, un
 their known similarities to that first node differ by more than the distance allowed, in which case the
 triangle inequality of the Jaccard distance proves that they are no link, or too many hash classes hold
 elements of only one of them. Every pair that shares a bucket is thus verified, proven apart or
-already connected.
+already connected. ``verified_links`` counts the links of a node that were verified on the way to the classes; it is not the
+number of all its similar texts, because pairs that are connected already are not verified.
 
 Defined results: NULL text equals empty text, and all empty texts are copies of each other; texts of fewer
 than five words are one element; a class is named by its smallest id, NULL if it has none, and the row of
@@ -356,7 +357,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     whole = nodes.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     table = cut(nodes.join(whole, "root").select("node", "n", "class_id", "class_size", "links"))
     return hot_join(rows, table, "node", counted="n").select(
-        F.col("id").alias(key), "class_id", "class_size", F.col("links").alias("n_links"),
+        F.col("id").alias(key), "class_id", "class_size", F.col("links").alias("verified_links"),
         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
     )
 

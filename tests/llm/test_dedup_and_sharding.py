@@ -132,6 +132,12 @@ def test_near_on_odd_rows(spark, odd_docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 10, 13, 14, 16, None])
 
 
+def test_links_are_named_as_what_was_verified(spark):
+    rows = [(1, "a b c d e f g"), (2, "other words")]
+    got = near_dedup.find(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.columns == ["doc_id", "class_id", "class_size", "verified_links", "kept"]
+
+
 def test_near_large_group_of_near_copies(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*words, f"tail{i}"])) for i in range(300)] + [(1000 + i, f"own{i} " * 9) for i in range(50)]
