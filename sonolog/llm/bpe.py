@@ -91,7 +91,9 @@ class WordEncoder:
         if got is None:
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
-            mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            # Below 128, all that a part can hold are their own byte letters, but for U+007F.
+            plain = part.isascii() and "\x7f" not in part
+            mapped = part if plain else part.encode().decode("latin-1").translate(self.letters)
             got = self.parts[part] = self._pack([t.id for t in self.model.tokenize(mapped)])
         return got
 

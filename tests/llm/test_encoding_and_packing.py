@@ -44,6 +44,13 @@ def test_words_have_the_ids_of_the_whole_text(text):
     assert got == known.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("code", range(0x80))
+def test_every_ascii_character_alone_and_in_a_word(code):
+    known = bpe.encoder(VOCABULARY)
+    for text in (chr(code), f"ab{chr(code)}cd", f"{chr(code)}x", f"7{chr(code)}", f"{chr(code)}{chr(code)} é{chr(code)}"):
+        assert np.frombuffer(known.text_ids(text), known.dtype).tolist() == known.whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("space", list("\t\n\x0b\x0c\r \x85\xa0        　᠎​\x1c"))
 def test_every_kind_of_space(space):
     known = bpe.encoder(VOCABULARY)
