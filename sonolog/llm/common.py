@@ -14,6 +14,7 @@ TOKENIZER = "word_bpe_49k.json"
 # A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 1000
 ROWS_PER_BUCKET = 2_000
+ROWS_PER_RANGE = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +90,39 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], bucket: Column,
     )
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one, that is none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, rows: int, first: int = 1) -> DataFrame:
+    """Add ``name``: ``first``, ``first + 1``... over all rows of ``df`` in the given order.
+
+    One range shuffle brings the rows into order over tasks of about ``ROWS_PER_RANGE`` of the ``rows``; the
+    place inside a task is then shifted by the sizes of the tasks before it. Equal rows, however many, are
+    spread by a random number that decides last.
+    """
+    from pyspark.sql import Window as W
+
+    place, part, start = (unused([*df.columns, name], c) for c in ("place", "part", "start"))
+    spread = unused([*df.columns, name], "spread")
+    full = [*order, F.asc(spread)]
+    parts = rows // ROWS_PER_RANGE + 1
+    sorted_ = df.withColumn(spread, F.rand(7)).repartitionByRange(parts, *full).sortWithinPartitions(*full).drop(spread)
+    # The row number holds the task in its upper bits and the place inside the task in its lower 33.
+    sorted_ = cut(sorted_.withColumn(place, F.monotonically_increasing_id()))
+    sorted_ = sorted_.withColumn(part, F.shiftright(place, 33))
+    sizes = sorted_.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)
+    starts = sizes.select(part, (F.sum("n").over(before) - F.col("n")).alias(start))  # one row per task
+    inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    out = sorted_.join(F.broadcast(starts), part)
+    return out.withColumn(name, F.col(start) + inside + first).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def hex_digits(rows: int) -> int:
     """Hex digits of a digest that make buckets of at most about ``ROWS_PER_BUCKET`` rows."""
     return max(1, math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET + 1, 16)))

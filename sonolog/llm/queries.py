@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, near_dedup, packing, quality, sharding, topk, toxicity
+from . import bpe, exact_dedup, langid, licenses, near_dedup, packing, quality, resample, sharding, topk, toxicity
 from .common import table, tokenizer_path
 
 SHARDS = 16
@@ -78,11 +78,17 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark, table(spark, d, "documents"), tokenizer_path())
 
 
+def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
+    scored = resample.scores(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return resample.draw_ranks(scored, 5).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_bpe, op3_quality, op4_near_dedup, op5_language,
         op6_toxicity, op7_sharding, op8_exact_dedup, op9_licenses, op10_packing,
+        op12_resampling,
     )
 }
 
