@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, near_dedup, packing, quality, resample, sharding, topk, toxicity
+from . import bpe, exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, resample, sharding, topk, toxicity
 from .common import table, tokenizer_path
 
 SHARDS = 16
@@ -78,6 +78,11 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark, table(spark, d, "documents"), tokenizer_path())
 
 
+def op11_mixing(spark: SparkSession, d: str) -> DataFrame:
+    found = mixing.take(table(spark, d, "documents"), (3, 1, 2), 1.5, 2.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
     scored = resample.scores(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return resample.draw_ranks(scored, 5).select("doc_id", "n_features", "weight", "score", "rank")
@@ -88,7 +93,7 @@ QUERIES = {
     for f in (
         op1_exact_topk, op2_bpe, op3_quality, op4_near_dedup, op5_language,
         op6_toxicity, op7_sharding, op8_exact_dedup, op9_licenses, op10_packing,
-        op12_resampling,
+        op11_mixing, op12_resampling,
     )
 }
 
@@ -152,4 +157,39 @@ ORACLES = {
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256
         from n join g using (text_sha256)
     """,
+    "op11_mixing": """
+        with d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents
+        ), s as (
+            select source, cast(sum(size) as bigint) as source_size,
+                [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+            from d group by source
+        ), o as (
+            select *, 2.0 * source_size / weight as ratio,
+                row_number() over (order by 2.0 * source_size / weight, source) as k,
+                sum(2.0 * source_size) over (order by 2.0 * source_size / weight, source rows unbounded preceding) as caps,
+                sum(weight) over (order by 2.0 * source_size / weight, source rows unbounded preceding) as used
+            from s
+        ), levels as (
+            select k, (1.5 * sum(source_size) over () - caps) / nullif(sum(weight) over () - used, 0) as level,
+                lead(ratio) over (order by k) as next_ratio from o
+            union all
+            select 0, 1.5 * sum(source_size) / sum(weight), min(ratio) from o
+        ), t as (
+            select source, source_size, least(2.0 * source_size, weight * coalesce(
+                (select level from levels where next_ratio > level order by k limit 1), 0)) as target
+            from s
+        ), n as (
+            select doc_id, size, d.source as d_source, source_size, target, target / nullif(source_size, 0) as rate,
+                row_number() over (partition by doc_id, d.source, size) as number
+            from d join t on d.source is not distinct from t.source
+        ), u as (
+            select *, (cast(cast('0x' || substr(md5(concat('mix:', coalesce(cast(doc_id as varchar), 'null'), ':', number)), 1, 13)
+                as bigint) as double) + 0.5) / 4503599627370496.0 as draw
+            from n
+        )
+        select doc_id, size, source_size, cast(target as double) as target, d_source as source,
+            cast(size * coalesce(floor(rate) + if(draw < rate - floor(rate), 1, 0), 0) as bigint) as taken
+        from u
+    """,
 }

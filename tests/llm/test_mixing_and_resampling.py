@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonolog.llm import queries, resample
+from sonolog.llm import mixing, queries, resample
 from sonolog.llm.common import ranked, table
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -130,3 +130,106 @@ def test_ranks_are_gapless_over_many_tasks(spark, monkeypatch):
     got = ranked(df, [F.desc("x"), F.asc("place")], "rank", 1000).collect()
     rows = sorted(got, key=lambda r: (-r.x, r.place))
     assert [r["rank"] for r in rows] == list(range(1, 1001))
+
+
+# Mixing
+
+
+def plain_targets(sizes, weights, share, cap):
+    """The excess over ``cap`` is reshared by weight among the others, round by round, as the rule says."""
+    budget = share * sum(sizes)
+    got, full = [0.0] * len(sizes), set()
+    while len(full) < len(sizes):
+        free = [i for i in range(len(sizes)) if i not in full]
+        left = budget - sum(cap * sizes[i] for i in full)
+        for i in free:
+            got[i] = left * weights[i] / sum(weights[j] for j in free)
+        above = {i for i in free if got[i] >= cap * sizes[i]}
+        for i in above:
+            got[i] = cap * sizes[i]
+        full |= above
+        if not above:
+            break
+    return got
+
+
+def plain_mix(docs):
+    """``doc_id, source, size, source_size, target, taken`` of (doc_id, source, text) rows."""
+    rows = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, s, t in docs]
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    goal = dict(zip(names, plain_targets([total[s] for s in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5, 2.0), strict=True))
+    seen, out = Counter(), []
+    for i, s, n in rows:
+        seen[i, s, n] += 1
+        rate = goal[s] / total[s] if total[s] else 0.0
+        digest = hashlib.md5(f"mix:{'null' if i is None else i}:{seen[i, s, n]}".encode()).hexdigest()
+        extra = (int(digest[:13], 16) + 0.5) / 2**52 < rate - math.floor(rate)
+        out.append((i, s, n, total[s], pytest.approx(goal[s], rel=1e-12), n * (math.floor(rate) + extra)))
+    return sorted(out, key=lambda r: str(r[:4]) + str(r[5]))
+
+
+def taken_rows(df):
+    rows = df.select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    return sorted(map(tuple, rows), key=lambda r: str(r[:4]) + str(r[5]))
+
+
+def test_mixing_query_against_plain_python(spark, sf_dir):
+    docs = [(r.doc_id, r.source, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    got = taken_rows(queries.op11_mixing(spark, sf_dir))
+    assert got == plain_mix(docs)
+    assert all(taken <= 2 * size for _, _, size, _, _, taken in got)
+
+
+@pytest.mark.parametrize("per_task", [10_000, 3])
+def test_mixing_odd_rows(spark, monkeypatch, per_task):
+    """NULLs, empty and long texts, and one row that makes up a third of the table."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", per_task)
+    rows = [(1, "b", None), (2, "b", ""), (3, None, "some words \t\v\f here"), (None, "a", "x"), (None, None, " \n ")]
+    rows += [(4, "hot", "same row here")] * 40 + [(i, "hot", "y " * i) for i in range(5, 60)]
+    rows += [(60, "é", "\u00a0 \u3000z"), (61, "z", "word " * 300_000), (62, "Z", "\x00 \x1f")]
+    docs = spark.createDataFrame([(i, t, None, s, None) for i, s, t in rows], SCHEMA)
+    docs = docs.withColumns({c: F.lit(c) for c in ("key", "size", "n", "rate", "own", "copy", "target")})
+    assert taken_rows(mixing.take(docs)) == plain_mix(rows)
+    assert mixing.take(docs.where("false")).count() == 0
+    nothing = docs.where("doc_id = 2")
+    assert [(r.size, r.source_size, r.target, r.taken) for r in mixing.take(nothing).collect()] == [(0, 0, 0.0, 0)]
+
+
+def test_the_mix_holds_whole_documents_as_often_as_taken(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumns({"rate": F.lit(1), "own": F.lit(2), "m": F.create_map(F.lit(1), F.lit(2))})
+    got = mixing.emit(docs)
+    assert got.columns == docs.columns
+    times = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    expect = {r.doc_id: r.copies for r in mixing.take(docs).collect() if r.copies}
+    assert times == expect
+    assert all(text[r.doc_id] == r.text for r in got.collect())
+
+
+def test_targets_are_those_of_resharing_round_by_round(spark, monkeypatch):
+    from sonolog.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_RANGE", 5)
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 17, 60):
+        for spread in (1.0, 8.0):
+            sizes = [int(x) for x in np.exp(rng.uniform(0, spread, n)) * 3]
+            rows = spark.createDataFrame([(i, f"s{i:03}", m, 1) for i, m in enumerate(sizes)], "key int, source string, size long, n long")
+            got = {r.source: r.target for r in mixing.targets(rows).collect()}
+            expect = plain_targets(sizes, [(3, 1, 2)[i % 3] for i in range(n)], 1.5, 2.0)
+            assert [got[f"s{i:03}"] for i in range(n)] == pytest.approx(expect, rel=1e-9)
+            assert sum(got.values()) == pytest.approx(1.5 * sum(sizes))
+    rows = spark.createDataFrame([(1, "a", 10, 1)], "key int, source string, size long, n long")
+    assert mixing.targets(rows, share=3.0).first().target == 20.0
+    with pytest.raises(ValueError):
+        mixing.targets(rows, weights=(1, 0))
+
+
+def test_every_source_comes_near_its_target(spark):
+    d = "/root/testdata/sf0.1"
+    by = queries.op11_mixing(spark, d).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    off = [(r.taken - r.target) / r.target for r in by.collect()]
+    assert max(map(abs, off)) < 0.06 and abs(sum(off)) / len(off) < 0.01
