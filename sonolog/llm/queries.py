@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, mixing, near_dedup, packing, quality, resample, sharding, topk, toxicity
+from . import bpe, exact_dedup, hard_negatives, langid, licenses, mixing, near_dedup, packing, quality, resample, sharding, topk, toxicity
 from .common import table, tokenizer_path
 
 SHARDS = 16
@@ -88,12 +88,19 @@ def op12_resampling(spark: SparkSession, d: str) -> DataFrame:
     return resample.draw_ranks(scored, 5).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").where(topk.usable())
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), topk.quantised().alias("v"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, 5, 10, 30, 90)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_bpe, op3_quality, op4_near_dedup, op5_language,
         op6_toxicity, op7_sharding, op8_exact_dedup, op9_licenses, op10_packing,
-        op11_mixing, op12_resampling,
+        op11_mixing, op12_resampling, op13_hard_negatives,
     )
 }
 
@@ -192,4 +199,27 @@ ORACLES = {
             cast(size * coalesce(floor(rate) + if(draw < rate - floor(rate), 1, 0), 0) as bigint) as taken
         from u
     """,
+    "op13_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and vec_id is not null and label is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, c.vec_id as vec_id, a.label = c.label as same, cast(list_sum(list_transform(
+                list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+            from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+        ), positives as (
+            select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        ), ranked as (
+            select p.*, n.vec_id as negative_id, n.score as negative_score,
+                row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id) as r
+            from positives p join scored n on p.anchor_id = n.anchor_id and not n.same
+                and 30 * positive_score <= 100 * n.score and 100 * n.score <= 90 * positive_score
+        )
+        select anchor_id, positive_id, cast(r as integer) as rank, negative_id, positive_score, negative_score
+        from ranked where r <= 10
+    """,
 }

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonolog.llm import mixing, queries, resample
+from sonolog.llm import hard_negatives, mixing, queries, resample
 from sonolog.llm.common import ranked, table
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -233,3 +233,78 @@ def test_every_source_comes_near_its_target(spark):
     by = queries.op11_mixing(spark, d).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"))
     off = [(r.taken - r.target) / r.target for r in by.collect()]
     assert max(map(abs, off)) < 0.06 and abs(sum(off)) / len(off) < 0.01
+
+
+# Hard negatives
+
+
+def plain_negatives(rows, positives=5, negatives=10):
+    """All results for (vec_id, label, vector) rows, told apart by their place."""
+    out = []
+    for at, (a, label, v) in enumerate(rows):
+        if a % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w, strict=True)), i, lab) for p, (i, lab, w) in enumerate(rows) if p != at]
+        for p, positive, _ in sorted(s for s in scored if s[2] == label)[:positives]:
+            own = sorted(s for s in scored if s[2] != label and 30 * -p <= 100 * -s[0] <= 90 * -p)
+            out += [(a, positive, r, i, -p, -s) for r, (s, i, _) in enumerate(own[:negatives], 1)]
+    return sorted(out)
+
+
+def mined(df):
+    return sorted(tuple(r) for r in hard_negatives.mine(df, F.col("vec_id") % 100 == 0).collect())
+
+
+def test_negatives_query_against_plain_python(spark, sf_dir):
+    rows = []
+    for r in table(spark, sf_dir, "embeddings").orderBy("vec_id").collect():
+        label = (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label
+        rows.append((r.vec_id, label, [math.floor(256 * float(x)) for x in r.embedding]))
+    got = sorted(tuple(r) for r in queries.op13_hard_negatives(spark, sf_dir).collect())
+    assert got == plain_negatives(rows)
+
+
+@pytest.mark.parametrize("per_block", [8_192, 40])
+def test_negatives_with_ties_repeats_and_hot_labels(spark, monkeypatch, per_block):
+    monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", per_block)
+    rng = np.random.default_rng(per_block)
+    rows = [(i, int(i % 3 and rng.integers(0, 4)), rng.integers(-3, 4, 5).tolist()) for i in range(401)]
+    rows += [(100, 0, [1, 1, 1, 1, 1]), (100, 0, [1, 1, 1, 1, 1]), (7, 1, [0] * 5), (200, 9, [3] * 5), (500, 2, [0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, v array<bigint>").withColumn("rid", F.lit("clash"))
+    assert mined(df) == plain_negatives(rows)
+
+
+def test_negatives_of_odd_tables(spark):
+    rows = [(0, 1, [1, 2]), (None, 1, [1, 2]), (100, None, [1, 2]), (1, 1, None), (2, 1, [3]), (3, 2, []), (200, 2, [1]), (4, 2, [0, 1])]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, v array<bigint>")
+    plain = [(0, 1, [1, 2]), (2, 1, [3, 0]), (3, 2, [0, 0]), (200, 2, [1, 0]), (4, 2, [0, 1])]
+    assert mined(df) == plain_negatives(plain)
+    assert mined(df.where("false")) == [] and mined(df.where("vec_id = 0")) == []
+    large = spark.createDataFrame([(0, 1, [2**40]), (1, 1, [2**40])], "vec_id bigint, label int, v array<bigint>")
+    with pytest.raises(Exception, match="OverflowError"):
+        mined(large)
+
+
+def test_windows_hold_whole_scores():
+    for p in (-7, -1, 0, 1, 3, 10, 33):
+        low, high = hard_negatives.window(p, 30, 90)
+        assert [s for s in range(-20, 60) if 30 * p <= 100 * s <= 90 * p] == list(range(low, high + 1))
+
+
+def test_threshold_stops_before_all_rows_are_met():
+    """On vectors with falling components far fewer rows are looked up than there are, and none is missed."""
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((4000, 16)) * 300 / np.arange(1, 17) ** 2).astype(np.int64)
+    lists = hard_negatives.SortedLists(x, np.arange(4000), np.arange(4000))
+    met = []
+    for i in range(0, 4000, 200):
+        best, n = hard_negatives._Best(5), 0
+        for rows, scores, threshold in lists.stretches(x[i]):
+            n += len(rows)
+            best.add(scores[rows != i], rows[rows != i])
+            if best.done(threshold):
+                break
+        met.append(n)
+        expect = sorted((-int(x[j] @ x[i]), j) for j in range(4000) if j != i)[:5]
+        assert list(zip((-best.scores).tolist(), best.ids.tolist(), strict=True)) == expect
+    assert np.median(met) < 2000

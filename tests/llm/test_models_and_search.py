@@ -45,30 +45,83 @@ def test_search_query_against_brute_force(spark, sf_dir):
     assert got == plain_search(rows, 5)
 
 
+def vectors_of(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
+    return df.where(topk.usable()).select("vec_id", topk.quantised().alias("v"))
+
+
+def plain_rows(rows, k):
+    """Like ``plain_search``, but rows are told apart by their place."""
+    out = []
+    for at, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for p, (i, w) in enumerate(rows) if p != at)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
 def test_search_ties_repeats_and_bad_vectors(spark):
+    """Rows with the same id, and the same content, are all candidates; only a query's own row is not."""
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, -1.0]), (50, [0.5, 0.5]), (7, [1.0, -1.0]), (3, [1.0, -1.0]), (3, [1.0, -1.0]), (9, [0.0, 0.0])]
-    rows += [(100, None), (11, [nan, 1.0]), (12, [inf, 1.0]), (13, [None, 1.0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("clash"))
-    vectors = df.where(topk.usable()).select("vec_id", topk.quantised().alias("v"))
+    rows = [(0, [1.0, -1.0]), (50, [0.5, 0.5]), (7, [1.0, -1.0]), (3, [1.0, -1.0]), (3, [1.0, -1.0]), (9, [0.0, 0.0]), (0, [2.0])]
+    rows += [(100, None), (11, [nan, 1.0]), (12, [inf, 1.0]), (13, [None, 1.0]), (None, [1.0, 1.0]), (50, []), (3, [-1.0, 1.0])]
+    vectors = vectors_of(spark, rows)
     got = sorted(tuple(r) for r in topk.search(vectors, F.col("vec_id") % 50 == 0, 5).collect())
-    once = [(0, [256, -256]), (50, [128, 128]), (7, [256, -256]), (3, [256, -256]), (9, [0, 0])]
-    assert got == plain_search(once, 5)
+    plain = [(0, [256, -256]), (50, [128, 128]), (7, [256, -256]), (3, [256, -256]), (3, [256, -256]), (9, [0, 0]), (0, [512, 0])]
+    plain += [(50, [0, 0]), (3, [-256, 256])]
+    assert got == plain_rows(plain, 5)
     assert topk.search(vectors.where("false"), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
-def test_search_stops_early_only_on_proof(monkeypatch):
+def test_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(-4, 5, 6).tolist()) for i in range(150)] + [(50, [9, 9, 9, 9, 9, 9])]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 7).collect())
+    assert got == plain_rows(rows, 7)
+
+
+def test_search_is_exact_for_large_components_and_refuses_larger_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [int(x) for x in rng.integers(-(2**29), 2**29, 8)]) for i in range(200)]
+    rows += [(1000 + i, [x + (d == i) for d, x in enumerate(rows[0][1])]) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == plain_rows(rows, 5)
+    large = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 1])], "vec_id bigint, v array<bigint>")
+    with pytest.raises(Exception, match="OverflowError"):
+        topk.search(large, F.col("vec_id") % 50 == 0, 5).collect()
+
+
+def index_of(x):
+    return topk.ImpactIndex(x, np.arange(len(x)), np.arange(len(x)))
+
+
+def test_search_stops_early_on_vectors_of_unequal_impact():
+    """Few large components decide: most queries stop before the last segments, with the right rows."""
     rng = np.random.default_rng(3)
-    import pandas as pd
-
-    x = rng.integers(-3, 4, (900, 64))
-    x[np.arange(900), rng.integers(0, 64, 900)] = 120
-    part = pd.DataFrame({"vblock": 0, "vec_id": np.arange(900), "v": list(x)})
-    index = topk._build(part)
-    got = topk.search_block(index, np.arange(0, 900, 50), x[::50], 5)
-    expect = plain_search([(i, x[i].tolist()) for i in range(900)], 5)
-    got["rank"] = got.groupby("query_id").cumcount() + 1
-    assert sorted(zip(got.query_id, got["rank"], got.vec_id, got.score, strict=True)) == expect
+    heavy = rng.integers(-3, 4, (900, 64))
+    heavy[np.arange(900), rng.integers(0, 64, 900)] = 120 + rng.integers(0, 9, 900)
+    falling = (rng.standard_normal((900, 64)) * 400 / np.arange(1, 65) ** 1.5).astype(np.int64)
+    for x in (heavy, falling):
+        places, scores, read = index_of(x).search(x[::50], np.arange(0, 900, 50), 5)
+        expect = plain_search([(i, x[i].tolist()) for i in range(900)], 5)
+        got = [(50 * q, r, p, s) for q in range(18) for r, (p, s) in enumerate(zip(places[q].tolist(), scores[q].tolist(), strict=True), 1)]
+        assert sorted(got) == expect
+        assert (read < 0.99).mean() > 0.8
+
+
+def test_search_of_any_vectors_in_any_number_of_levels(monkeypatch):
+    rng = np.random.default_rng(4)
+    for levels in (1, 3, 8):
+        monkeypatch.setattr(topk, "LEVELS", levels)
+        for n, dims, top in ((1, 3, 2), (4, 1, 1), (60, 5, 2), (300, 9, 50), (40, 4, 0)):
+            x = rng.integers(-top, top + 1, (n, dims))
+            places, scores, _ = index_of(x).search(x, np.arange(n), 4)
+            for i in range(n):
+                own = sorted((-int(x[j] @ x[i]), j) for j in range(n) if j != i)[:4]
+                assert list(zip((-scores[i]).tolist(), places[i].tolist(), strict=True)) == own
 
 
 # Toxicity
