@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, text_or_empty
+from .common import cut, hot_join, text_or_empty, unused
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEYS_PER_BUCKET = 20_000
@@ -182,9 +182,11 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Documents meet the winners on id and digest together, so copies of one text are spread.
     """
     label = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    inner = docs.withColumn("__id", F.concat(label, F.lit(":"), F.hex(digest(text))))
+    name = unused(docs.columns, "row")
+    inner = docs.withColumn(name, F.concat(label, F.lit(":"), F.hex(digest(text))))
     rows = cut(docs.select(F.col(key).alias(key), digest(text).alias("digest")))
     winner = F.coalesce(F.col("winner").cast("string"), F.lit("null"))
     groups = groups_of(rows, earlier_half(rows, key), key)
-    ids = groups.select(F.concat(winner, F.lit(":"), F.hex("digest")).alias("__id"))
-    return inner.join(ids, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    ids = groups.select(F.concat(winner, F.lit(":"), F.hex("digest")).alias(name))
+    once = inner.join(ids, name, "left_semi").dropDuplicates([name])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

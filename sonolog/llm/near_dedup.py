@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, release, text_or_empty
+from .common import cut, hot_join, release, text_or_empty, unused
 from .grams import row_key
 
 WORDS = 5
@@ -367,6 +367,7 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows, grouped = classes(docs, key, text)
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "key"))
     low = rows.groupBy("node").agg(first.alias("low")).join(grouped, "node")
-    stays = low.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("__key")).distinct()
-    inner = docs.withColumn("__key", row_key(docs)).join(cut(stays), "__key", "left_semi")
-    return inner.dropDuplicates(["__key"]).select(*docs.columns)
+    name = unused(docs.columns, "row")
+    stays = low.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias(name)).distinct()
+    inner = docs.withColumn(name, row_key(docs)).join(cut(stays), name, "left_semi")
+    return inner.dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ round. The features are the distinct words of a text, in lower case, and their b
 where two or three words share one; those that tell positives from unlabelled best are kept. Scoring reads every whole text.
 
 The model is fitted on a bounded sample of the labelled rows (``Bounds``, the smallest id hashes of each
-kind); only features and examples within these bounds are brought together in one task.
+kind, one text to an id); only features and examples within these bounds are brought together in one task.
 
 Defined results: NULL and empty texts have no features and score what the bias gives; NULL ids have
 no label; repeated labels count as toxic if one says so, NULL labels do not count; without any
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, unused
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -153,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds(), key: st
             .select(key, F.lit(False).alias("positive"))
         )
     )
-    # At most positives + unlabelled ids.
+    # At most positives + unlabelled ids, with one text each: the first by digest of those that share an id.
     texts = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(some), key)
+    texts = texts.groupBy(key, "positive").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     spread = cut(texts.select("positive", "text").repartition(24))
     sizes = {r["positive"]: r["count"] for r in spread.groupBy("positive").count().collect()}
     names = _chosen(spread, prior, sizes.get(True, 1), sizes.get(False, 0), bounds)
@@ -211,5 +212,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents scored below the threshold, in their own columns."""
-    scored = score(docs, train(docs, labels, key=key, text=text), text, "__toxic")
-    return scored.where(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    name = unused(docs.columns, "toxic_score")
+    scored = score(docs, train(docs, labels, key=key, text=text), text, name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)

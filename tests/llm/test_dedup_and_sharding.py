@@ -36,7 +36,9 @@ def odd_docs(spark):
         (1, None), (2, ""), (3, "Abc É"), (4, "abc É"), (4, "abc É"), (None, "abc É"), (None, "only null"), (5, "abc é"),
         (10, base), (11, base.upper()), (12, near), (13, far), (14, "two words"), (15, "two  WORDS"), (16, "w " * 30000),
     ]
-    return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).withColumn("winner", F.lit("clash"))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("winner", "__key", "__id", "row", "node")})
+    return docs.withColumn("a map", F.create_map(F.lit("x"), F.col("doc_id")))
 
 
 def test_exact_verdicts_on_odd_rows(spark, odd_docs):
