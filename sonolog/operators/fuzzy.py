@@ -1,4 +1,4 @@
-"""Second matching pass for keys that matched nothing exactly.
+"""Second matching pass for keys that matched nothing exactly: by edit distance, or by the words of the title.
 
 Candidates share the artist key and lie within a small edit distance. Comparing all tracks of
 an artist with each other would be quadratic in the artist's tracks. Instead each name is
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..schemas import KEYS
+from .token_join import similar_titles
 
 
 def deletion_variants(name: str, k: int) -> str:
@@ -33,9 +34,9 @@ def candidates(unmatched: DataFrame, catalog_keys: DataFrame, k: int = 1) -> Dat
     return near.selectExpr("*", "levenshtein(track_key, candidate) as distance").where(f"distance <= {k}")
 
 
-def best_match(near: DataFrame) -> DataFrame:
+def best_match(near: DataFrame, order: str = "distance") -> DataFrame:
     """The closest candidate of every key; of equals the first by name."""
-    rank = f"row_number() over (partition by {', '.join(KEYS)} order by distance, candidate) as rn"
+    rank = f"row_number() over (partition by {', '.join(KEYS)} order by {order}, candidate) as rn"
     return near.selectExpr("*", rank).where("rn = 1").drop("rn")
 
 
@@ -43,3 +44,9 @@ def second_pass(keys: DataFrame, catalog_keys: DataFrame, k: int = 1) -> DataFra
     """Best fuzzy match of the keys that have no exact one."""
     left = keys.select(*KEYS).join(catalog_keys.select(*KEYS), KEYS, "left_anti")
     return best_match(candidates(left, catalog_keys, k))
+
+
+def token_pass(keys: DataFrame, catalog_keys: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The candidate with the most similar words for the keys that have no exact match."""
+    left = keys.select(*KEYS).join(catalog_keys.select(*KEYS), KEYS, "left_anti")
+    return best_match(similar_titles(left, catalog_keys.select(*KEYS), threshold), "similarity desc")

@@ -342,6 +342,16 @@ ORACLES: dict[str, str] = {
         "pairs",
         "cat1",
     ),
+    "fuzzy_token_pass": """WITH played AS (SELECT DISTINCT p_name || ' - ' || lower(p_type) AS t, lower(p_brand) AS a FROM part),
+        listed AS (SELECT DISTINCT lower(p_type) || ' ' || p_name || CASE WHEN p_size % 3 = 0 THEN ''
+          ELSE ' (' || (p_size % 3) || ' mix)' END AS t, lower(p_brand) AS a FROM part),
+        l AS (SELECT *, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM played p
+          WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.t = p.t AND x.a = p.a)),
+        r AS (SELECT *, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS w FROM listed),
+        pairs AS (SELECT l.t AS track_key, l.a AS artist_key, r.t AS candidate, len(list_intersect(l.w, r.w))
+          / (len(l.w) + len(r.w) - len(list_intersect(l.w, r.w))) AS similarity FROM l JOIN r ON l.a = r.a)
+        SELECT * FROM pairs WHERE similarity >= 0.6
+        QUALIFY row_number() OVER (PARTITION BY track_key, artist_key ORDER BY similarity DESC, candidate) = 1""",
     "metadata_dedup": _with(
         f"""SELECT spotify_id, {_PAIR}, track_popularity, api_genres, album_release_date, album_release_date_precision,
         tk AS track_key, ak AS artist_key FROM meta1""",

@@ -218,6 +218,16 @@ def fuzzy_second_pass(s, d):
     return fuzzy.second_pass(keys, firsts, 1)
 
 
+@query
+def fuzzy_token_pass(s, d):
+    """Titles of which words are in another order, added or left out, against the catalogue of the same brand."""
+    parts = tables.table(s, d, "part")
+    played = parts.selectExpr("concat(p_name, ' - ', lower(p_type)) as track_key", "lower(p_brand) as artist_key").distinct()
+    title = "concat(lower(p_type), ' ', p_name, if(p_size % 3 = 0, '', concat(' (', p_size % 3, ' mix)')))"
+    listed = parts.selectExpr(f"{title} as track_key", "lower(p_brand) as artist_key").distinct()
+    return fuzzy.token_pass(played, listed, 0.6)
+
+
 # --- stored metadata -----------------------------------------------------------------------
 
 

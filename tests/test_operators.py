@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from sonolog.functions import text
 from sonolog.operators import (
     backlog,
+    bitfilter,
     catalog,
     cleaning,
     coverage,
@@ -22,6 +24,7 @@ from sonolog.operators import (
     lookup,
     metadata,
     numbering,
+    token_join,
     trends,
 )
 from sonolog.schemas import ARTIST, KEYS, PAIR, TRACK
@@ -346,3 +349,50 @@ def test_empty_history(spark):
     assert insights.first_plays(p, [ARTIST]).count() == 0
     assert text.KEY_SEPARATOR == "|||"
     assert p.select(*PAIR).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.34, 0.6, 0.8, 1.0])
+def test_similar_titles_against_all_pairs(spark, threshold):
+    """One artist holds most titles; some are long, some have no word, most share a very common word."""
+    rng = random.Random(int(threshold * 100))
+    vocabulary = [f"w{i}" for i in range(12)]
+
+    def title():
+        n = rng.choice([0, 1, 2, 2, 3, 3, 4, 6, 10, 18, 40])
+        words = [rng.choice(vocabulary) if n < 12 else f"v{rng.randrange(45)}" for _ in range(n)]
+        return rng.choice([" ", "-", ", "]).join(["the", *words] if rng.random() < 0.8 else words) + rng.choice(["", "!"])
+
+    def side(n):
+        return sorted({(title(), "hot" if rng.random() < 0.7 else f"a{rng.randrange(3)}") for _ in range(n)})
+
+    left, right = side(150), side(200)
+    made = [spark.createDataFrame(x + [(None, "hot"), ("w1 w2", None)], "track_key string, artist_key string") for x in (left, right)]
+    got = {(r.track_key, r.artist_key, r.candidate, r.similarity) for r in token_join.similar_titles(*made, threshold).collect()}
+    words = lambda t: set(re.findall(r"[a-z0-9]+", t))
+    expect = set()
+    for (t, a), (c, b) in itertools.product(left, right):
+        both, either = words(t) & words(c), words(t) | words(c)
+        if a == b and either and len(both) / len(either) >= threshold:
+            expect.add((t, a, c, len(both) / len(either)))
+    assert got == expect and len(token_join.similar_titles(*made, threshold).collect()) == len(expect)
+    with pytest.raises(ValueError):
+        token_join.similar_titles(*made, 0)
+
+
+def test_words_of_titles_in_any_script(spark):
+    rows = [("Ça va — ça VA!", "a"), ("夜 に駆ける", "a"), ("naïve é", "a"), ("...", "a")]
+    df = spark.createDataFrame(rows, "track_key string, artist_key string")
+    got = [r.w for r in df.selectExpr(f"{token_join.words_sql('track_key')} as w").collect()]
+    assert got == [["ça", "va"], ["夜", "に駆ける"], ["naïve", "é"], []]
+
+
+def test_bitmap_loses_no_member_and_drops_most_others(spark):
+    ids = spark.range(0, 200_000, 9).selectExpr("id as k", "cast(id as string) as name")
+    rows = spark.range(200_000).selectExpr("id as k", "cast(id as string) as name", "'own' as part")
+    for columns in (["k"], ["k", "name"]):
+        near = bitfilter.maybe_in(rows, ids, columns, ids.count())
+        assert near.columns == rows.columns
+        assert near.join(ids, columns, "left_semi").count() == ids.count()
+        assert near.count() < 1.7 * ids.count()
+    assert bitfilter.maybe_in(rows, ids.where("false"), ["k"], 0).count() == 0
+    assert bitfilter.bits_for(10**12) == bitfilter.MOST_BITS and bitfilter.bits_for(0) == bitfilter.ROW_BITS
