@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import LEDGER
+from ..sources.versioned import VersionedTable
+
+BUCKET = "bucket"
+# Parts of a stored ledger; a batch rewrites those that its keys fall into.
+BUCKETS = 64
 
 
 def latest(entries: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -41,3 +49,32 @@ def recall(keys: DataFrame, ledger: DataFrame) -> DataFrame:
     stored = ledger.selectExpr("key", "meta_json", "true as __known")
     joined = keys.join(stored, "key", "left").selectExpr("*", "coalesce(__known, false) as known")
     return joined.drop("__known")
+
+
+def stored(spark: SparkSession, path: str) -> VersionedTable:
+    """The ledger at ``path``, in buckets of its keys."""
+    return VersionedTable(spark, path, T.StructType([*LEDGER.fields, T.StructField(BUCKET, T.IntegerType())]), [BUCKET])
+
+
+def record(table: VersionedTable, new: DataFrame, remember_misses: bool = False, batch: int | None = None) -> bool:
+    """Upsert lookup results into the stored ledger; False if this micro-batch went in before.
+
+    Only the buckets of the new keys are read and written again. A batch that died on the way has changed nothing.
+    """
+    before = table.current()
+    if batch is not None and batch <= before.batch:
+        return False
+    names = LEDGER.fieldNames()
+    incoming = (new if remember_misses else new.where("meta_json is not null")).select(*names)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    incoming = latest(incoming, ["key"], ["(meta_json is not null)", "updated_at", "meta_json"]).withColumn(BUCKET, bucket)
+    incoming = incoming.persist()
+    try:
+        parts = table.parts_of(incoming)
+        merged = latest(
+            table.read(before, parts).unionByName(incoming), ["key"], ["(meta_json is not null)", "updated_at", "meta_json"]
+        )
+        table.replace(merged, parts, batch)
+    finally:
+        incoming.unpersist()
+    return True

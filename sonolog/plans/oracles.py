@@ -449,6 +449,7 @@ ORACLES: dict[str, str] = {
     ),
     "ledger_upsert": _with("SELECT * FROM hit_entries", "hit_entries"),
     "ledger_upsert_remember_misses": _with("SELECT * FROM all_entries", "all_entries"),
+    "ledger_stored_versions": _with("SELECT * FROM all_entries", "all_entries"),
     "ledger_completed": _with("SELECT count(*) AS entries, count(meta_json) AS completed FROM all_entries", "all_entries"),
     "ledger_recall": _with(
         """SELECT p.key, l.meta_json, l.key IS NOT NULL AS known FROM

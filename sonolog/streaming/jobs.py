@@ -182,16 +182,11 @@ def read_daily_minutes(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ledger_stream(entries: DataFrame, out: str, checkpoint: str, remember_misses: bool = False) -> StreamingQuery:
-    """Record arriving lookup results; each micro-batch holds at most one row per key."""
+    """Record arriving lookup results in the stored ledger at ``out``; a micro-batch that runs again changes nothing."""
+    table = ledger.stored(entries.sparkSession, out)
+    return _each_batch(entries, lambda rows, batch: ledger.record(table, rows, remember_misses, batch), checkpoint)
 
-    def save(rows: DataFrame, batch_id: int) -> None:
-        nothing = rows.where(F.lit(False))
-        ledger.upsert(nothing, rows, remember_misses).write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
-
-    return _each_batch(entries, save, checkpoint)
 
-
-def read_ledger(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """The ledger as of all micro-batches: stored documents beat misses, later ones earlier ones."""
-    rows = spark.read.schema(schema).parquet(out).select(*schema.fieldNames())
-    return ledger.upsert(rows.where(F.lit(False)), rows, remember_misses=True)
+def read_ledger(spark: SparkSession, out: str) -> DataFrame:
+    """The stored ledger as of all micro-batches: stored documents beat misses, later ones earlier ones."""
+    return ledger.stored(spark, out).read().drop(ledger.BUCKET)

@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sonolog.operators import cleaning
+from sonolog.operators import cleaning, ledger
 from sonolog.schemas import ARTIST, CATALOG, PAIR, PLAYS_RAW, TRACK
-from sonolog.sources import readers, tables, writers
+from sonolog.sources import readers, tables, versioned, writers
 from sonolog.streaming import jobs
 
 
@@ -209,3 +209,66 @@ def test_shared_dir_is_refused_without_setting(spark, monkeypatch):
         session.shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
     named = SimpleNamespace(get=lambda *_: "/mnt/shared/")
     assert session.shared_dir(SimpleNamespace(conf=named, sparkContext=context)) == "/mnt/shared"
+
+
+def entries(spark, rows):
+    df = spark.createDataFrame(rows, "key string, meta_json string, updated_at string")
+    return df.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+def held(table):
+    return sorted((r.key, r.meta_json) for r in table.read().collect())
+
+
+def files_below(path):
+    return len(list(path.rglob("*.parquet")))
+
+
+def test_stored_ledger_survives_replays_and_dead_writes(spark, tmp_path, monkeypatch):
+    table = ledger.stored(spark, str(tmp_path / "ledger"))
+    assert held(table) == [] and table.current().number == 0
+    first = entries(spark, [(f"k{i}", "{}", "2024-01-01") for i in range(300)] + [("miss", None, "2024-01-01")])
+    assert ledger.record(table, first, True, 0)
+    before = held(table)
+    assert len(before) == 301
+    assert not ledger.record(table, entries(spark, [("k1", "other", "2025-01-01")]), True, 0) and held(table) == before
+
+    def die(self, version):
+        raise RuntimeError("lost")
+
+    new = entries(spark, [("k1", "later", "2024-02-01"), ("k2", None, "2024-02-01"), ("miss", "found", "2023-01-01")])
+    with monkeypatch.context() as m:
+        m.setattr(versioned.VersionedTable, "_publish", die)
+        with pytest.raises(RuntimeError):
+            ledger.record(table, new, True, 1)
+    assert held(table) == before and table.current().batch == 0
+    assert ledger.record(table, new, True, 1)
+    after = dict(held(table))
+    assert (after["k1"], after["k2"], after["miss"], len(after)) == ("later", "{}", "found", 301)
+    cut = next((tmp_path / "ledger" / "versions" / "slot=0").glob("*.json"))
+    cut.write_text("\n".join(cut.read_text().splitlines()[:5]))
+    for crc in cut.parent.glob(".*.crc"):
+        crc.unlink()
+    assert held(table) == before
+
+
+def test_stored_ledger_stays_as_small_after_many_batches(spark, tmp_path):
+    table = ledger.stored(spark, str(tmp_path / "ledger"))
+    rows = [(f"k{i}", "{}", "2024-01-01") for i in range(500)]
+    ledger.record(table, entries(spark, rows), batch=0)
+    ledger.record(table, entries(spark, rows), batch=1)
+    files = files_below(tmp_path)
+    read = len(table.read().inputFiles())
+    for batch in range(2, 8):
+        ledger.record(table, entries(spark, [(f"k{i}", f"v{batch}", f"2024-02-{batch:02}") for i in range(500)]), batch=batch)
+    assert files_below(tmp_path) == files and len(table.read().inputFiles()) == read
+    assert {v for _, v in held(table)} == {"v7"} and table.current().number == 8
+
+
+def test_only_the_buckets_of_a_batch_are_written(spark, tmp_path):
+    table = ledger.stored(spark, str(tmp_path / "ledger"))
+    ledger.record(table, entries(spark, [(f"k{i}", "{}", "2024-01-01") for i in range(500)]))
+    before = table.current()
+    ledger.record(table, entries(spark, [("k7", "new", "2024-02-01"), ("none", None, "2024-02-01")]))
+    after = table.current()
+    assert sum(after.slots[p] != slot for p, slot in before.slots.items()) == 1
