@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import media
-from ..operators import cleaning, ledger, metadata
+from ..operators import cleaning, ledger, metadata, refresh
 from ..operators.numbering import number_rows
 from ..schemas import ARTIST, CATALOG, EPISODE_COLUMNS, KEYS, PAIR, PLAYS_RAW, TRACK
 from ..session import scratch_path
@@ -156,19 +156,71 @@ def stream_enrich(s, d):
     return s.read.parquet(out).select("play_id", "ms_played", *PAIR, "spotify_id", "track_popularity")
 
 
+def _arriving(rows: DataFrame, path: str, waves: list[str]):
+    """Add the rows of each wave to the folder, one wave after the other."""
+    for wave in waves:
+        writers.append(rows.where(wave), path)
+        yield wave
+
+
+# The newest plays arrive first.
+WAVES = ["day(ts) >= 20", "day(ts) between 10 and 19", "day(ts) < 10"]
+
+
 @query
 def stream_suppress_repeats(s, d):
-    """Every play arrives twice, in two files, and is kept once."""
+    """Plays arrive in three waves, the newest first, then all of them again, and are kept once."""
     source, out, state = (scratch_path(s, n) for n in ("twice", "once", "state"))
     plays = tables.plays(s, d).select("ts", "ms_played", *PAIR, *EPISODE_COLUMNS)
-    writers.overwrite(plays, source)
-    writers.append(plays, source)
-    jobs.keep_once(jobs.table_stream(s, source, max_files=1), out, state).awaitTermination()
+    for _ in _arriving(plays, source, [*WAVES, "true"]):
+        jobs.keep_once(jobs.table_stream(s, source), out, state).awaitTermination()
     return jobs.read_once(s, out, plays.schema).groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms")
     )
 
 
+@query
+def stream_late_metadata(s, d):
+    """Half of the artists' metadata comes after the first plays; all plays end with theirs."""
+    source, out, state = (scratch_path(s, n) for n in ("plays", "enriched", "state"))
+    plays = _plays(s, d).select("play_id", "ts", "ms_played", *PAIR)
+    meta = tables.api_meta(s, d)
+    early = meta.where(F.regexp_extract(ARTIST, r"(\d+)", 1).cast("int") % 2 == 0)
+    job = jobs.LateMetadata(s, out, plays.schema, meta.select("spotify_id", "track_popularity").schema)
+    for wave, known in zip(_arriving(plays, source, WAVES), [early, meta, meta], strict=True):
+        job.run(jobs.table_stream(s, source), known, state)
+    return job.read().select("play_id", "ms_played", *PAIR, "spotify_id", "track_popularity")
+
+
+@query
+def stream_windows_late(s, d):
+    """Hours and days in a state store while the newest plays come first; what the watermark drops is counted."""
+    source = scratch_path(s, "plays")
+    rows = _plays(s, d).select("ts", "ms_played")
+    widths = {w: (scratch_path(s, "windows"), scratch_path(s, "state")) for w in ("1 hour", "1 day")}
+    for _ in _arriving(rows, source, WAVES):
+        for width, (out, state) in widths.items():
+            jobs.window_stream(jobs.table_stream(s, source), width, "12 days", out, state)
+    parts = []
+    for width, (out, _) in widths.items():
+        name, none = F.lit(width).alias("width"), F.lit(None).cast("timestamp_ntz").alias("start")
+        parts.append(jobs.read_windows(s, out).select(name, "start", "plays", "ms"))
+        parts.append(jobs.read_late(s, out).select(name, none, "plays", "ms"))
+    return cleaning.combine(*parts)
+
+
+@query
+def refreshed_plays(s, d):
+    """Plays enriched with half of the metadata, then refreshed with all of it: only touched partitions are written."""
+    plays = _plays(s, d).select("play_id", "ts", "ms_played", *PAIR)
+    meta = tables.api_meta(s, d)
+    fields = [f for f in meta.columns if f not in PAIR]
+    store = refresh.store(s, scratch_path(s, "enriched"), plays.schema, meta.schema, fields)
+    refresh.create(store, plays, meta.where(F.col("track_popularity") < 50))
+    refresh.refresh(store, meta)
+    return refresh.read(store)
+
+
 @query
 def stream_ledger(s, d):
     """Lookup results arrive as a stream and end as one ledger row per key."""

@@ -762,6 +762,21 @@ ORACLES.update(
             (SELECT DISTINCT ts, ms_played, {_PAIR}, spotify_episode_uri FROM plays_all) GROUP BY 1""",
             "plays_all",
         ),
+        "stream_late_metadata": _with(
+            f"""SELECT p.play_id, p.ms_played, p.{TRACK}, p.{ARTIST}, m.spotify_id, m.track_popularity
+            FROM plays p LEFT JOIN meta1 m ON p.tk = m.tk AND p.ak = m.ak""",
+            "plays",
+            "meta1",
+        ),
+        "stream_windows_late": _with(
+            """SELECT width, CASE WHEN late THEN NULL ELSE start END AS start, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms
+            FROM (SELECT *, day(ts) < 20 AND start + span <= w AS late FROM (
+              SELECT ts, ms_played, '1 hour' AS width, INTERVAL 1 HOUR AS span, date_trunc('hour', ts) AS start FROM plays
+              UNION ALL SELECT ts, ms_played, '1 day', INTERVAL 1 DAY, CAST(CAST(ts AS DATE) AS TIMESTAMP) FROM plays),
+              (SELECT max(ts) - INTERVAL 12 DAY AS w FROM plays WHERE day(ts) >= 20)) GROUP BY 1, 2""",
+            "plays",
+        ),
+        "refreshed_plays": ORACLES["enriched_plays"],
         "stream_ledger": _with("SELECT * FROM hit_entries", "hit_entries"),
         "ledger_rebuilt_from_metadata": _with(
             """SELECT key, max('{"spotify_id":"' || spotify_id || '","track_popularity":' || track_popularity

@@ -77,15 +77,17 @@ class VersionedTable:
         """The partitions that rows belong to."""
         return [tuple(r) for r in rows.select(*self.partitions).distinct().collect()]
 
-    def replace(self, rows: DataFrame, parts: list[tuple], batch: int | None = None) -> Version:
-        """The next version: ``parts``, in each of which ``rows`` has at least one row, are replaced; others stay."""
+    def replace(self, rows: DataFrame, parts: list[tuple], batch: int | None = None, drop: list[tuple] = ()) -> Version:
+        """The next version: ``parts``, in each of which ``rows`` has at least one row, are replaced.
+
+        Those in ``drop`` are gone; all others stay.
+        """
         before = self.current()
         slots = {p: 1 - before.slots.get(p, 1) for p in parts}
         if parts:
             self._write(rows, slots)
-        after = Version(
-            before.number + 1, before.batch if batch is None else batch, {**before.slots, **slots}
-        )
+        kept = {p: s for p, s in before.slots.items() if p not in set(drop)}
+        after = Version(before.number + 1, before.batch if batch is None else batch, {**kept, **slots})
         self._publish(after)
         return after
 
