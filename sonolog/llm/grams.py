@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 START = 2
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 CHUNK_UNITS = 2_000_000
-BLOCKS = "block string, keys array<bigint>, sizes array<int>, units binary"
+BLOCKS = "block bigint, keys array<string>, sizes array<int>, texts binary"
 
 
 def text_units(text: str) -> np.ndarray:
@@ -72,88 +72,119 @@ def count_units(chunks: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return total
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list, list[np.ndarray]]]:
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """Number, keys and texts of blocks of consecutive rows."""
     from pyspark import TaskContext
 
-    part, number = TaskContext.get().partitionId(), 0
-    keys: list = []
-    units: list[np.ndarray] = []
+    number = TaskContext.get().partitionId() << 32
+    keys: list[str] = []
+    texts: list[str] = []
     chars = 0
     for batch in batches:
         for key, text in zip(batch["key"], batch["text"], strict=True):
             if chars and chars + len(text) > BLOCK_CHARS:
-                yield f"{part}-{number}", keys, units
-                keys, units, chars, number = [], [], 0, number + 1
-            keys.append(int(key))
-            units.append(text_units(text))
+                yield number, keys, texts
+                keys, texts, chars, number = [], [], 0, number + 1
+            keys.append(key)
+            texts.append(text)
             chars += len(text)
     if keys:
-        yield f"{part}-{number}", keys, units
+        yield number, keys, texts
 
 
 def blocks(texts: DataFrame) -> DataFrame:
-    """``key`` (a long that is never NULL) and ``text`` as blocks."""
+    """``key`` (a text that is never NULL) and ``text`` as blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, keys, units in _blocks(batches):
-            sizes = [len(u) for u in units]
-            raw = np.concatenate(units).tobytes().decode("utf-16-le", "surrogatepass").encode("utf-8", "surrogatepass")
-            row = {"block": block, "keys": keys, "sizes": sizes, "units": zstandard.compress(raw, 6)}
-            yield pd.DataFrame([row])
+        for block, keys, own in _blocks(batches):
+            raw = [t.encode("utf-8", "surrogatepass") for t in own]
+            packed = zstandard.compress(b"".join(raw), 6)
+            yield pd.DataFrame([{"block": block, "keys": keys, "sizes": [len(r) for r in raw], "texts": packed}])
 
     return texts.mapInPandas(run, BLOCKS)
 
 
-def open_block(row) -> tuple[np.ndarray, np.ndarray]:
-    """All units and the size of each text of a block."""
-    raw = zstandard.decompress(row["units"]).decode("utf-8", "surrogatepass").encode("utf-16-le", "surrogatepass")
-    return np.frombuffer(raw, "<u2"), np.asarray(row["sizes"], np.int64)
+def open_block(row) -> Iterator[np.ndarray]:
+    """The units of each text of a block, one text at a time."""
+    raw, end = zstandard.decompress(row["texts"]), 0
+    for size in row["sizes"]:
+        yield text_units(raw[end : end + size].decode("utf-8", "surrogatepass"))
+        end += size
 
 
 def block_grams(texts: DataFrame) -> DataFrame:
     """``block, gram``: the distinct grams of every block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, _, units in _blocks(batches):
-            grams, _ = count_units(iter(units))
+        for block, _, own in _blocks(batches):
+            grams, _ = count_units(text_units(t) for t in own)
             for i in range(0, len(grams), 100_000):
                 yield pd.DataFrame({"block": block, "gram": grams[i : i + 100_000]})
 
-    return texts.mapInPandas(run, "block string, gram bigint")
+    return texts.mapInPandas(run, "block bigint, gram bigint")
 
 
 def sums(texts: DataFrame, values: DataFrame, width: int) -> DataFrame:
-    """``key, n, total``: number of grams and sums of ``values.value`` (``width`` doubles a gram) per text.
+    """``key, n, total``: number of grams and sums of ``values.value`` per text.
 
-    ``values`` has a row for every gram of the texts.
+    ``values`` has a row for every gram of the texts; its value is a double, or ``width`` doubles as an array.
     """
+    single = dict(values.dtypes)["value"] == "double"
     valued = block_grams(texts).join(values, "gram").select("block", "gram", "value")
 
     def run(block: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        units, sizes = open_block(row)
         order = np.argsort(table["gram"].to_numpy())
         known = table["gram"].to_numpy()[order]
-        value = np.vstack(table["value"].to_numpy())[order] if len(known) else np.zeros((0, width))
-        ends = np.cumsum(sizes)
-        total = np.zeros((len(sizes), width))
-        first = 0
-        while first < len(sizes):  # some texts at a time
-            start = ends[first] - sizes[first]
-            last = max(first + 1, int(np.searchsorted(ends, start + CHUNK_UNITS)))
-            grams, counts = _whole(units[start : ends[last - 1]], sizes[first:last])
-            at = np.searchsorted(known, grams)
-            upto = np.cumsum(counts)
+        if single:
+            value = table["value"].to_numpy()[order][:, None]
+        else:
+            value = np.vstack(table["value"].to_numpy())[order] if len(known) else np.zeros((0, width))
+        counts = np.zeros(len(row["sizes"]), np.int64)
+        total = np.zeros((len(counts), width))
+        waiting: list[np.ndarray] = []
+        first = size = 0
+
+        def add(last: int) -> None:
+            own = np.array([len(u) for u in waiting])
+            grams, n = _whole(np.concatenate(waiting), own)
+            at, upto = np.searchsorted(known, grams), np.cumsum(n)
+            counts[first:last] = n
             for k in range(width if len(grams) else 0):
                 summed = np.concatenate([[0.0], np.cumsum(value[:, k][at])])
-                total[first:last, k] = summed[upto] - summed[upto - counts]
-            first = last
-        return pd.DataFrame({"key": list(row["keys"]), "n": sizes - (ORDER - 1), "total": list(total)})
+                total[first:last, k] = summed[upto] - summed[upto - n]
+
+        for number, units in enumerate(open_block(row), 1):  # some texts at a time
+            waiting.append(units)
+            size += len(units)
+            if size >= CHUNK_UNITS:
+                add(number)
+                waiting, first, size = [], number, 0
+        if waiting:
+            add(len(counts))
+        return pd.DataFrame({"key": list(row["keys"]), "n": counts, "total": list(total[:, 0] if single else total)})
 
     grouped = blocks(texts).groupBy("block").cogroup(valued.groupBy("block"))
-    return grouped.applyInPandas(run, "key bigint, n bigint, total array<double>")
+    kind = "double" if single else "array<double>"
+    return grouped.applyInPandas(run, f"key string, n bigint, total {kind}")
+
+
+def _hashable(df: DataFrame) -> list[F.Column]:
+    """All columns; those that hold a map or another type without a hash as JSON."""
+
+    def plain(kind: str) -> bool:
+        return not any(word in kind for word in ("map<", "variant"))
+
+    columns = [(F.col(f"`{name}`"), kind) for name, kind in df.dtypes]
+    return [c if plain(kind) else F.to_json(F.struct(c.alias("m"))) for c, kind in columns]
 
 
 def row_key(df: DataFrame) -> F.Column:
     """A long of all columns: equal rows share it and get equal results."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.xxhash64(*_hashable(df))
+
+
+def row_identity(df: DataFrame) -> F.Column:
+    """A text of 128 bits of all columns, which at no size of a table two different rows will share."""
+    own = _hashable(df)
+    return F.concat_ws(" ", F.xxhash64(F.lit(1), *own), F.xxhash64(F.lit(2), *own))

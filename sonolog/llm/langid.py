@@ -48,8 +48,9 @@ def host(url: Column) -> Column:
 
 def language_names(docs: DataFrame, lang: str = "lang") -> list[str]:
     """Languages with at least ``LEAST`` documents, or all if none has as many."""
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().collect()
-    return sorted(r["l"] for r in counts if r["count"] >= LEAST) or sorted(r["l"] for r in counts)
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count()
+    known = counts.where(F.col("count") >= LEAST).collect()  # values with fewer documents stay on the executors
+    return sorted(r["l"] for r in known) or sorted(r["l"] for r in counts.limit(LEAST**3).collect())
 
 
 def gram_likelihoods(docs: DataFrame, names: list[str], wanted: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -117,7 +118,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     names = language_names(docs)
     address = host(F.col(url))
     light = pages.select(
-        grams.row_key(pages).alias("key"),
+        grams.row_identity(pages).alias("key"),
         F.col(key).alias(key),
         declared(F.col(html)).alias("declared"),
         address.alias("host"),
@@ -127,7 +128,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     if not names:
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("posterior", "double"), ("text_lang", "string"))]
         return light.select(key, *nothing, "declared", "suffix", "host")
-    texts = pages.select(grams.row_key(pages).alias("key"), page_text(F.col(html)).alias("text"))
+    texts = pages.select(grams.row_identity(pages).alias("key"), page_text(F.col(html)).alias("text"))
     wanted = grams.block_grams(texts).select("gram").distinct()
     sums = grams.sums(texts, gram_likelihoods(docs, names, wanted), len(names))
     once = sums.groupBy("key").agg(F.first("total").alias("total"))

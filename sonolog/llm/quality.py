@@ -20,13 +20,16 @@ gives no rows; extra columns pass through ``keep``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bitfilter
 from . import grams
-from .common import cut, hot_join, release, text_or_empty
+from .common import cut, hot_join, text_or_empty, unused
 
 FOLDS = 5
 LEVEL = 0.005
@@ -50,26 +53,29 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def trusted_counts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``gram, c`` over all trusted documents that are not held out."""
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
+    """``gram, c`` over all trusted documents that are not held out.
+
+    A bitmap drops most other texts at the scan. What it lets through goes to blocks, whose texts are shuffled compressed; the
+    exact join of the ids then says which texts of a block count.
+    """
+    ids = trusted.where("not held_out").select(F.col(key).cast("string").alias("key"))
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), text_or_empty(text).alias("text"))
+    near = bitfilter.maybe_in(texts, ids, ["key"], ids.count())
 
-    def places(batches):
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, keys, _ in grams._blocks(batches):
-            yield pd.DataFrame({"block": block, "pos": np.arange(len(keys), dtype=np.int32), "key": keys})
+            yield pd.DataFrame({"block": block, "place": np.arange(len(keys), dtype=np.int32), "key": keys})
 
-    ids = texts.mapInPandas(places, "block string, pos int, key bigint")
-    wanted = ids.join(trusted.where("not held_out").select(F.col(key).alias("key")), "key").select("block", "pos")
+    places_of = near.mapInPandas(places, "block bigint, place int, key string")
+    wanted = places_of.join(ids, "key", "left_semi").select("block", "place")
 
     def count(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"gram": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)})
-        units, sizes = grams.open_block(block.iloc[0])
-        ends = np.cumsum(sizes)
-        found, c = grams.count_units(units[ends[i] - sizes[i] : ends[i]] for i in own["pos"])
+        places = set(own["place"])
+        found, c = grams.count_units(u for i, u in enumerate(grams.open_block(block.iloc[0])) if i in places)
         return pd.DataFrame({"gram": found, "c": c})
 
-    counted = grams.blocks(texts).groupBy("block").cogroup(wanted.groupBy("block"))
-    return counted.applyInPandas(count, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    counted = grams.blocks(near).groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(count, "gram bigint, c bigint")
+    return counted.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _suffix(units: int) -> Column:
@@ -112,9 +118,10 @@ def levels(counts: DataFrame) -> list[tuple[DataFrame, DataFrame, list[float]]]:
 
 
 def probabilities(distinct: DataFrame, counts: DataFrame) -> DataFrame:
-    """``gram, value``: the log probability of a gram's last unit after the others, as an array of one.
+    """``gram, value``: the log probability of a gram's last unit after the others.
 
-    ``counts`` is read several times and should be stored.
+    ``counts`` is read several times and should be stored. All grams meet the one context of order 1 and the at most 65,536 of
+    order 2, so these are broadcast; longer contexts and the grams themselves are left to adaptive execution.
     """
     found = levels(counts)
     alphabet = found[-1][0].count() + 1
@@ -122,24 +129,24 @@ def probabilities(distinct: DataFrame, counts: DataFrame) -> DataFrame:
     for order, (seen, contexts, d) in zip(range(1, grams.ORDER + 1), reversed(found), strict=True):
         own = _suffix(order) if order < grams.ORDER else F.col("gram")
         left = out.withColumn("__g", own).withColumn("__h", _context(own))
-        left = left.join(seen.select(F.col("gram").alias("__g"), "c"), "__g", "left")
-        left = left.join(contexts.withColumnRenamed("context", "__h"), "__h", "left")
+        units, contexts = seen.select(F.col("gram").alias("__g"), "c"), contexts.withColumnRenamed("context", "__h")
+        left = left.join(F.broadcast(units) if order == 1 else units, "__g", "left")
+        left = left.join(F.broadcast(contexts) if order <= 2 else contexts, "__h", "left")
         c = F.coalesce(F.col("c"), F.lit(0))
         share = F.greatest(F.lit(0.0), c - _discount(c, d)) / F.col("total")
         lower = F.col(f"p{order - 1}")
         p = F.when(F.col("total").isNull(), lower).otherwise(share + F.col("back") * lower)
         out = left.select("gram", p.alias(f"p{order}"))
-    return out.select("gram", F.array(F.log(f"p{grams.ORDER}")).alias("value"))
+    return out.select("gram", F.log(f"p{grams.ORDER}").alias("value"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` (a long of all columns), ``n`` and ``loss``, the mean negative log probability; equal rows once."""
+    """``key`` (128 bits of all columns), ``n`` and ``loss``, the mean negative log probability; equal rows once."""
     counts = cut(trusted_counts(docs, trusted_ids(labels, key), key, text))
-    release(docs.sparkSession)
-    texts = docs.select(grams.row_key(docs).alias("key"), text_or_empty(text).alias("text"))
+    texts = docs.select(grams.row_identity(docs).alias("key"), text_or_empty(text).alias("text"))
     distinct = grams.block_grams(texts).select("gram").distinct()
     found = grams.sums(texts, probabilities(distinct, counts), 1)
-    loss = F.when(F.col("n") > 0, -F.col("total")[0] / F.col("n"))
+    loss = F.when(F.col("n") > 0, -F.col("total") / F.col("n"))
     return found.groupBy("key").agg(F.first("n").alias("n"), F.first(loss).alias("loss"))
 
 
@@ -170,7 +177,7 @@ def _class_bounds(sample: DataFrame) -> list[Column]:
 
 def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: its row key, id, language, size, perplexity, bounds and whether it stays."""
-    light = docs.select(grams.row_key(docs).alias("key"), F.col(key).alias(key), F.col(lang).alias(lang))
+    light = docs.select(grams.row_identity(docs).alias("key"), F.col(key).alias(key), F.col(lang).alias(lang))
     scored = cut(light.join(perplexities(docs, labels, key, text), "key"))
     known = cut(scored.where("loss is not null").join(trusted_ids(labels, key), key).select("key", lang, "loss", "held_out"))
     sample = known.where("held_out")
@@ -209,5 +216,6 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that stay, in their own columns."""
-    out = assess(docs, labels, key, text, lang).where("not kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", grams.row_key(docs)).join(out, "__key", "left_anti").drop("__key")
+    name = unused(docs.columns, "row")
+    out = assess(docs, labels, key, text, lang).where("not kept").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, grams.row_identity(docs)).join(out, name, "left_anti").drop(name)
