@@ -14,11 +14,18 @@ ROLLING_MIN = 7
 
 
 def kpis(plays: DataFrame, track: str, artist: str, ts: str = "ts") -> DataFrame:
-    """Total minutes, listening days and distinct (track, artist) pairs."""
-    return plays.agg(
-        numbers.minutes(SUM_MS).alias("total_minutes"),
-        F.expr(f"count(distinct to_date({ts})) as listening_days"),
-        F.expr(f"count(distinct {track}, {artist}) as unique_tracks"),
+    """Total minutes, listening days and distinct (track, artist) pairs, out of counted days and pairs."""
+    counted = plays.groupBy(F.expr(f"to_date({ts}) as day"), track, artist).agg(F.expr(f"{SUM_MS} as ms"))
+    days = counted.groupBy("day").agg(F.expr("sum(ms) as ms")).agg(
+        F.expr("sum(ms) as ms"), F.expr("count(day) as days"), F.expr("0L as pairs")
+    )
+    pairs = counted.where(f"{track} is not null and {artist} is not null").select(track, artist).distinct().agg(
+        F.expr("cast(null as bigint) as ms"), F.expr("0L as days"), F.expr("count(1) as pairs")
+    )
+    return days.unionAll(pairs).agg(
+        numbers.minutes("coalesce(sum(ms), 0)").alias("total_minutes"),
+        F.expr("sum(days) as listening_days"),
+        F.expr("sum(pairs) as unique_tracks"),
     )
 
 

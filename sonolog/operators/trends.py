@@ -62,15 +62,41 @@ def tracks(plays: DataFrame, null_label: str | None = None) -> DataFrame:
 
 
 def library_summary(plays: DataFrame, approximate: bool = False) -> DataFrame:
-    """Rows, first and last year, hours, distinct tracks and artists (NULLs do not count)."""
-    distinct = "approx_count_distinct({})" if approximate else "count(distinct {})"
-    return plays.agg(
-        F.expr("count(1) as records"),
-        F.expr("min(year) as first_year"),
-        F.expr("max(year) as last_year"),
-        numbers.hours(SUM_MS).alias("total_hours"),
-        F.expr(f"{distinct.format(TRACK)} as unique_tracks"),
-        F.expr(f"{distinct.format(ARTIST)} as unique_artists"),
+    """Rows, first and last year, hours, distinct tracks and artists (NULLs do not count).
+
+    The plays are counted per pair first; tracks and artists are then counted out of the pairs, each on its own, so no
+    play is repeated for the sake of a second distinct count.
+    """
+    if approximate:
+        return plays.agg(
+            F.expr("count(1) as records"),
+            F.expr("min(year) as first_year"),
+            F.expr("max(year) as last_year"),
+            numbers.hours(SUM_MS).alias("total_hours"),
+            F.expr(f"approx_count_distinct({TRACK}) as unique_tracks"),
+            F.expr(f"approx_count_distinct({ARTIST}) as unique_artists"),
+        )
+    pairs = plays.groupBy(*PAIR).agg(
+        F.expr("count(1) as n"), F.expr("min(year) as low"), F.expr("max(year) as high"), F.expr(f"{SUM_MS} as ms")
+    )
+    tracks = pairs.groupBy(TRACK).agg(
+        F.expr("sum(n) as n"), F.expr("min(low) as low"), F.expr("max(high) as high"), F.expr("sum(ms) as ms")
+    )
+    one = tracks.agg(
+        F.expr("coalesce(sum(n), 0L) as n"), F.expr("min(low) as low"), F.expr("max(high) as high"), F.expr("sum(ms) as ms"),
+        F.expr(f"count({TRACK}) as tracks"), F.expr("0L as artists"),
+    )
+    two = pairs.select(ARTIST).groupBy(ARTIST).agg(F.expr("1 as x")).agg(
+        F.expr("0L as n"), F.expr("cast(null as int) as low"), F.expr("cast(null as int) as high"),
+        F.expr("cast(null as bigint) as ms"), F.expr("0L as tracks"), F.expr(f"count({ARTIST}) as artists"),
+    )
+    return one.unionAll(two).agg(
+        F.expr("sum(n) as records"),
+        F.expr("min(low) as first_year"),
+        F.expr("max(high) as last_year"),
+        numbers.hours("coalesce(sum(ms), 0)").alias("total_hours"),
+        F.expr("sum(tracks) as unique_tracks"),
+        F.expr("sum(artists) as unique_artists"),
     )
 
 

@@ -7,25 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import media
-from ..operators import cleaning, ledger, metadata, refresh
+from ..operators import cleaning, day_bitmaps, ledger, metadata, refresh
 from ..operators.numbering import number_rows
-from ..schemas import ARTIST, CATALOG, EPISODE_COLUMNS, KEYS, PAIR, PLAYS_RAW, TRACK
+from ..schemas import API_META, ARTIST, CATALOG, EPISODE_COLUMNS, KEYS, LEDGER, PAIR, PLAYS_RAW, TRACK
 from ..session import scratch_path
 from ..sources import readers, tables, writers
 from ..streaming import jobs
-from .queries import _ledger_entries, _plays, query
+from . import pipeline
+from .queries import _ledger_entries, _long, _plays, query
 
 RECORDS_PER_FILE = 10000
 
 
-def write_history_json(plays: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Plays as export files: JSON arrays of at most ``per_file`` records, one per file."""
-    fields = [c for c in PLAYS_RAW.fieldNames() if c in plays.columns]
+def write_history_json(plays: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, more: tuple[str, ...] = ()) -> None:
+    """Plays as export files: JSON arrays of at most ``per_file`` records, one per file, with fields ``more`` besides the known."""
+    fields = [c for c in PLAYS_RAW.fieldNames() if c in plays.columns] + list(more)
     numbered = number_rows(plays, "cast(play_id as string)")
     arrays = numbered.groupBy(F.expr(f"row_no div {per_file} as file_no")).agg(
         F.to_json(F.collect_list(F.struct(*fields))).alias("value")
     )
-    arrays.write.mode("overwrite").partitionBy("file_no").text(path)
+    files = arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1)
+    files.option("mapreduce.output.basename", "Streaming_History").text(path)
+
+
+HISTORY_FILES = "Streaming_History*.txt"
 
 
 def _raw_text(s, d) -> DataFrame:
@@ -44,7 +49,7 @@ def json_history_ingest(s, d):
     """Export files arrive, are cleaned and added to the plays table by a stream."""
     files, out, state = (scratch_path(s, n) for n in ("history", "plays", "state"))
     write_history_json(_raw_text(s, d), files)
-    jobs.append_cleaned(jobs.history_stream(s, files, name_glob="part-*"), out, state).awaitTermination()
+    jobs.append_cleaned(jobs.history_stream(s, files, name_glob=HISTORY_FILES), out, state).awaitTermination()
     return s.read.parquet(out).select("ts", "ms_played", *PAIR, "weekday", "hour", "minutes_played")
 
 
@@ -53,7 +58,7 @@ def json_history_ordered(s, d):
     """Batch read of the export files with the name of the file each play came from."""
     files = scratch_path(s, "history")
     write_history_json(_raw_text(s, d), files)
-    plays = readers.read_history_json(s, files, name_glob="part-*", ordered=True)
+    plays = readers.read_history_json(s, files, name_glob=HISTORY_FILES, ordered=True)
     return cleaning.clean(plays).groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("plays"),
         F.count(TRACK).alias("tracks"),
@@ -61,6 +66,25 @@ def json_history_ordered(s, d):
     )
 
 
+@query
+def json_history_drifting(s, d):
+    """Two generations of exports, each with fields of its own, through the stream and in batch; both fields are kept."""
+    files, out, state = (scratch_path(s, n) for n in ("history", "plays", "state"))
+    raw = _raw_text(s, d).withColumns({"shuffle": F.col("play_id") % 2 == 0, "offline": F.struct(F.col("play_id").alias("at"))})
+    old = F.col("ts") < "2024-01-16"
+    write_history_json(raw.where(old), files, more=("shuffle",))
+    write_history_json(raw.where(~old), files, more=("offline",))
+    jobs.append_cleaned(jobs.open_history_stream(s, files, name_glob=HISTORY_FILES), out, state).awaitTermination()
+    batch = cleaning.clean(readers.read_history_open(s, files, name_glob=HISTORY_FILES))
+    parts = []
+    for way, plays in (("stream", s.read.parquet(out)), ("batch", batch)):
+        typed = plays.select("ts", readers.extra_field("shuffle", "boolean"), F.expr("try_variant_get(extra, '$.offline.at', 'bigint')").alias("at"))
+        parts.append(typed.groupBy(F.lit(way).alias("way"), F.to_date("ts").alias("day"), "shuffle").agg(
+            F.count(F.lit(1)).alias("plays"), F.count("at").alias("offline"), F.sum("at").alias("at")
+        ))
+    return cleaning.combine(*parts)
+
+
 @query
 def csv_history_scan(s, d):
     """Plays written as CSV and read back with an explicit schema."""
@@ -131,6 +155,100 @@ def csv_lenient_counted(s, d):
     )
 
 
+@query
+def csv_headers_differ(s, d):
+    """Two catalogues in one folder: other columns, another order; read by name and put together."""
+    path = scratch_path(s, "headers")
+    parts = tables.table(s, d, "part")
+    small = parts.where("p_size <= 25").select("p_partkey", "p_brand", "p_size")
+    writers.overwrite(small, f"{path}/small", "csv")
+    writers.overwrite(parts.where("p_size > 25").select("p_size", "p_type", "p_partkey"), f"{path}/large", "csv")
+    schema = T.StructType.fromDDL("p_partkey bigint, p_size int, p_brand string, p_type string")
+    return readers.read_csv(s, [f"{path}/small", f"{path}/large"], schema)
+
+
+@query
+def csv_bad_bytes(s, d):
+    """Names with a byte that is not UTF-8: it is read as the replacement character, and the row stays."""
+    path = scratch_path(s, "bytes")
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("\u00e9"))).otherwise(F.col("p_name")))
+    lines = tables.table(s, d, "part").select(line.alias("p_partkey,name"))
+    # Latin-1 writes the accented letter as one byte, which UTF-8 does not know.
+    plain = lines.write.mode("overwrite").option("header", True).option("sep", "\u0001").option("quote", "")
+    plain.option("encoding", "ISO-8859-1").csv(path)
+    return readers.read_csv(s, path, T.StructType.fromDDL("p_partkey bigint, name string"))
+
+
+@query
+def columns_that_exist(s, d):
+    """Of the columns a report would like, those that the stored table has; the scan reads no others."""
+    path = scratch_path(s, "stored")
+    writers.overwrite(_plays(s, d), path)
+    wanted = ["ms_played", "energy", "year", "month", "nothing", TRACK]
+    some = readers.select_existing(s.read.parquet(path), wanted)
+    return some.groupBy("year", "month").agg(F.count(TRACK).alias("tracks"), F.sum("ms_played").alias("ms"))
+
+
+@query
+def published_first_available(s, d):
+    """Which stored table is found as more and more of them are published, and its rows."""
+    out = scratch_path(s, "published")
+    plays, source, stored = _plays(s, d), tables.catalog(s, d), tables.api_meta(s, d)
+    done = s.createDataFrame([], LEDGER)
+    made = pipeline.tables_and_reports(plays, source, ["src_order"], stored, done)
+    found = []
+    for name in reversed(pipeline.PREFERENCE):
+        if name == pipeline.FINAL:
+            writers.write_by_media(made[name], f"{out}/{name}")
+        else:
+            writers.overwrite(made[name], f"{out}/{name}")
+        seen = pipeline.load(s, out)
+        count = F.count("spotify_id" if "spotify_id" in seen.columns else "track_id" if "track_id" in seen.columns else "ts")
+        found.append(seen.agg(F.lit(name).alias("published"), F.count(F.lit(1)).alias("plays"), count.alias("enriched")))
+    return cleaning.combine(*found)
+
+
+@query
+def metadata_checked_append(s, d):
+    """Lookup results into a table of 19 fixed columns, then, allowed to, with one more; a changed type is refused."""
+    path = scratch_path(s, "checked")
+    meta = tables.api_meta(s, d).withColumn("track_popularity", F.col("track_popularity").cast("long"))
+    writers.append_checked(meta.where("track_popularity < 50"), path, API_META)
+    refused = 0
+    for bad in (meta.withColumn("track_popularity", F.lit("high")), meta.withColumn("mood", F.lit(1))):
+        try:
+            writers.append_checked(bad, path)
+        except writers.SchemaMismatch:
+            refused += 1
+    more = meta.where("track_popularity >= 50").withColumn("mood", F.col("track_popularity") % 3)
+    writers.append_checked(more, path, evolve=True)
+    rows = writers.read_checked(s, path)
+    return rows.groupBy("mood").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("track_popularity").alias("popularity"), F.count("album_name").alias("albums"),
+        F.lit(len(rows.columns)).alias("columns"), F.lit(refused).alias("refused"),
+    )
+
+
+@query
+def day_bitmap_summary(s, d):
+    """Distinct counts of ranges of days out of stored bitmaps; the later half of the days was added afterwards."""
+    names = [scratch_path(s, n) for n in ("ids", "more-ids", "bitmaps", "sums")]
+    plays = _long(s, d)
+    early, late = plays.where("year < 1998"), plays.where("year >= 1998")
+    writers.overwrite(day_bitmaps.dictionary(early), names[0])
+    writers.overwrite(day_bitmaps.dictionary(late, s.read.parquet(names[0])), names[1])
+    ids = s.read.parquet(names[1])
+    for part in (early, late):
+        writers.append(day_bitmaps.daily_bitmaps(part, ids), names[2])
+        writers.append(day_bitmaps.daily_sums(part), names[3])
+    bitmaps, sums = s.read.parquet(names[2]), s.read.parquet(names[3])
+    parts = []
+    for start, end in ((None, None), ("1996-03-05", "1996-03-11"), ("1997-12-01", "1998-01-31"), ("2030-01-01", None)):
+        found = day_bitmaps.range_summary(bitmaps, sums, start, end)
+        parts.append(found.select(F.lit(start or "all").alias("start"), "*"))
+    return cleaning.combine(*parts)
+
+
 @query
 def media_split_written(s, d):
     """Songs and podcasts in two folders, written in one pass and counted from storage."""

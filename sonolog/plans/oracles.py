@@ -776,6 +776,43 @@ ORACLES.update(
               (SELECT max(ts) - INTERVAL 12 DAY AS w FROM plays WHERE day(ts) >= 20)) GROUP BY 1, 2""",
             "plays",
         ),
+        "json_history_drifting": _with(
+            """SELECT way, CAST(ts AS DATE) AS day, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN play_id % 2 = 0 END AS shuffle,
+            count(*) AS plays, count(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1 END) AS offline,
+            CAST(sum(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN play_id END) AS BIGINT) AS at
+            FROM plays, (VALUES ('stream'), ('batch')) w(way) GROUP BY 1, 2, 3""",
+            "plays",
+        ),
+        "csv_headers_differ": """SELECT p_partkey, p_size, CASE WHEN p_size <= 25 THEN p_brand END AS p_brand,
+            CASE WHEN p_size > 25 THEN p_type END AS p_type FROM part""",
+        "csv_bad_bytes": "SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN chr(65533) ELSE '' END AS name FROM part",
+        "columns_that_exist": _with(
+            f"""SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, count({TRACK}) AS tracks,
+            CAST(sum(ms_played) AS BIGINT) AS ms FROM plays GROUP BY 1, 2""",
+            "plays",
+        ),
+        "published_first_available": _with(
+            """SELECT t.name AS published, count(*) AS plays,
+            count(CASE WHEN t.name = 'cleaned' OR t.name = 'catalog_enriched' AND has_cat
+              OR t.name IN ('api_enriched', 'final') AND has_api THEN 1 END) AS enriched
+            FROM flags, (VALUES ('cleaned'), ('catalog_enriched'), ('api_enriched'), ('final')) t(name) GROUP BY 1""",
+            "flags",
+        ),
+        "metadata_checked_append": _with(
+            """SELECT CASE WHEN track_popularity >= 50 THEN track_popularity % 3 END AS mood, count(*) AS rows,
+            CAST(sum(track_popularity) AS BIGINT) AS popularity, 0::BIGINT AS albums, 20 AS columns, 2 AS refused
+            FROM meta GROUP BY 1""",
+            "meta",
+        ),
+        "day_bitmap_summary": _with(
+            f"""SELECT r.start, count(ts) AS plays, CAST(coalesce(sum(ms_played), 0) AS BIGINT) / 60000 AS minutes,
+            count(DISTINCT dt) AS days, count(DISTINCT {TRACK}) AS tracks, count(DISTINCT {ARTIST}) AS artists,
+            count(DISTINCT CASE WHEN {TRACK} IS NOT NULL AND {ARTIST} IS NOT NULL THEN ({TRACK}, {ARTIST}) END) AS pairs
+            FROM (VALUES ('all', DATE '1900-01-01', DATE '2100-01-01'), ('1996-03-05', DATE '1996-03-05', DATE '1996-03-11'),
+              ('1997-12-01', DATE '1997-12-01', DATE '1998-01-31'), ('2030-01-01', DATE '2030-01-01', DATE '2100-01-01'))
+              r(start, a, b) LEFT JOIN longs ON dt BETWEEN a AND b GROUP BY 1""",
+            "longs",
+        ),
         "refreshed_plays": ORACLES["enriched_plays"],
         "stream_ledger": _with("SELECT * FROM hit_entries", "hit_entries"),
         "ledger_rebuilt_from_metadata": _with(
@@ -802,6 +839,7 @@ _DAYS: dict[str, list[str]] = {
     "discovery_rate": ["month"],
     "repeat_listening": ["month"],
     "release_year_plays": ["first_release"],
+    "json_history_drifting": ["day"],
     "stream_daily_minutes": ["day"],
     "stream_suppress_repeats": ["day"],
 }

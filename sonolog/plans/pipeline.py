@@ -68,7 +68,7 @@ def tables_and_reports(
 
 
 def publish(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, int]:
-    """Store cleaned and final plays below ``out`` and return the rows written.
+    """Store the cleaned, both enriched and the final plays below ``out`` and return the rows written.
 
     Everything after the cleaning reads the stored plays, so the history files are parsed
     once; the final table has a folder per media type.
@@ -78,8 +78,13 @@ def publish(spark: SparkSession, inputs: Inputs, out: str) -> dict[str, int]:
     source = readers.read_catalog(spark, inputs.catalog, CATALOG)
     done = spark.read.schema(LEDGER).parquet(inputs.ledger)
     made = tables_and_reports(plays, source, readers.SOURCE_ORDER, spark.read.parquet(inputs.metadata), done)
-    rows |= writers.write_by_media(made[FINAL], f"{out}/{FINAL}")
-    return rows
+    return rows | store_enriched(made, out)
+
+
+def store_enriched(made: dict[str, DataFrame], out: str) -> dict[str, int]:
+    """Store the catalogue-enriched, lookup-enriched and final tables; the rows of each, of the last by media type."""
+    rows = {name: writers.overwrite_counted(made[name], f"{out}/{name}") for name in (CATALOGUE, API)}
+    return rows | writers.write_by_media(made[FINAL], f"{out}/{FINAL}")
 
 
 def load(spark: SparkSession, out: str) -> DataFrame:

@@ -8,7 +8,8 @@ order. They are read off the scan itself and so stay the same when a task is run
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,9 @@ from ..schemas import PLAYS_RAW
 SOURCE_ORDER = ["src_file", "src_block", "src_row"]
 CORRUPT = "_corrupt_record"
 HISTORY_GLOB = "Streaming_History*.json"
+# All fields of an export that the schema does not name.
+EXTRA = "extra"
+_RECORDS = "array<map<string,variant>>"
 
 
 def with_source_order(scan: DataFrame) -> DataFrame:
@@ -79,6 +83,42 @@ def read_history_json(
     return with_source_order(scan) if ordered else scan
 
 
+def open_records(texts: DataFrame, schema: T.StructType = PLAYS_RAW, keep_damaged: bool = False) -> DataFrame:
+    """Whole export texts (``value``), batch or stream, as plays that keep every field.
+
+    The columns of ``schema`` have their types; all other fields are in the VARIANT ``extra``, NULL without any, and
+    are read with ``extra_field``. Exports whose fields drift so need no second pass over the files. A damaged text fails, or
+    with ``keep_damaged`` is a row's ``_corrupt_record``; a blank one has no plays.
+    """
+    mode = {"mode": "PERMISSIVE" if keep_damaged else "FAILFAST"}
+    parsed = texts.where("trim(value) <> ''").withColumn("records", F.from_json("value", _RECORDS, mode))
+    none = F.array(F.lit(None).cast(_RECORDS.removeprefix("array<").removesuffix(">")))
+    rows = parsed.select(
+        F.when(F.col("records").isNull(), F.col("value")).alias(CORRUPT), F.explode(F.coalesce("records", none)).alias("r")
+    )
+    known = [F.expr(f"cast(r['{f.name}'] as {f.dataType.simpleString()})").alias(f.name) for f in schema.fields]
+    names = ", ".join(f"'{n}'" for n in schema.fieldNames())
+    others = f"map_filter(r, (k, v) -> k not in ({names}))"
+    extra = F.expr(f"if(size({others}) > 0, to_variant_object({others}), null)").alias(EXTRA)
+    return rows.select(*known, extra, *([CORRUPT] if keep_damaged else []))
+
+
+def extra_field(name: str, kind: str) -> Column:
+    """A field outside the schema as ``kind``; NULL where the export does not have it or it is of another type."""
+    if name.isidentifier():
+        return F.try_variant_get(EXTRA, f"$.{name}", kind).alias(name)
+    own = F.try_element_at(F.col(EXTRA).cast("map<string,variant>"), F.lit(name))
+    return F.try_variant_get(own, "$", kind).alias(name)
+
+
+def read_history_open(
+    spark: SparkSession, path: str, schema: T.StructType = PLAYS_RAW, name_glob: str = HISTORY_GLOB, keep_damaged: bool = False
+) -> DataFrame:
+    """All history exports below ``path`` with all their fields, in one pass; see ``open_records``."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", name_glob).option("recursiveFileLookup", True)
+    return open_records(files.text(path), schema, keep_damaged)
+
+
 def split_damaged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whole rows, and damaged records with all their columns; store the latter before counting them."""
     return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull())
@@ -98,16 +138,45 @@ def _all_text(columns: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _csv_text(spark: SparkSession, path: str | list[str], keep_damaged: bool = False, **options) -> DataFrame:
-    """Every column as text under its header name.
+def _header_groups(spark: SparkSession, path: str | list[str]) -> list[list[str]]:
+    """Files with the same first line together, in the order of their names.
 
-    The first file's header names the columns. A file with another header fails, unless a column has no
-    name in the header: then Spark makes one up, and headers can't be compared.
+    A single file is a group without a look at it; else all are read once, for their first lines.
     """
-    names = _csv(spark, **options).csv(path).columns
-    unnamed = any(re.fullmatch(r"_c\d+", n) for n in names)
-    reader = _csv(spark, **options).option("enforceSchema", unnamed)
-    return reader.schema(marked(_all_text(names), keep_damaged)).csv(path)
+    lines = spark.read.text(path)
+    files = sorted(unquote(f) for f in lines.inputFiles())
+    if len(files) < 2:
+        return [files] if files else []
+    starts = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.monotonically_increasing_id().alias("row"), "value").alias("line")
+    )
+    first = starts.groupBy("file").agg(F.min("line")["value"].alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    return sorted([unquote(f) for f in r["files"]] for r in groups)
+
+
+def _csv_text(
+    spark: SparkSession,
+    path: str | list[str],
+    keep_damaged: bool = False,
+    also: Callable[[DataFrame], DataFrame] = lambda scan: scan,
+    **options,
+) -> DataFrame:
+    """Every column as text under its header name; what a file does not have is NULL.
+
+    Files are read by groups with the same header, which are put together by name. ``also`` adds columns to each scan.
+    """
+    groups = _header_groups(spark, path) or [path if isinstance(path, list) else [path]]
+    scans = []
+    for files in groups:
+        names = _csv(spark, **options).csv(files[0]).columns
+        unnamed = any(re.fullmatch(r"_c\d+", n) for n in names)
+        reader = _csv(spark, **options).option("enforceSchema", unnamed)
+        scans.append(also(reader.schema(marked(_all_text(names), keep_damaged)).csv(files)))
+    out = scans[0]
+    for scan in scans[1:]:
+        out = out.unionByName(scan, allowMissingColumns=True)
+    return out
 
 
 def _named(name: str) -> Column:
@@ -140,8 +209,7 @@ def read_csv(
     required: Iterable[str] = (),
 ) -> DataFrame:
     """Typed CSV scan by header name; only the empty field is NULL and malformed UTF-8 decodes to U+FFFD."""
-    scan = _csv_text(spark, path)
-    scan = with_source_order(scan) if ordered else scan
+    scan = _csv_text(spark, path, also=with_source_order) if ordered else _csv_text(spark, path)
     return by_name(scan, schema, required, SOURCE_ORDER if ordered else ())
 
 
@@ -151,8 +219,11 @@ def read_csv_strict(spark: SparkSession, path: str | list[str], columns: Iterabl
     ``filename`` tells the source file.
     """
     columns = list(columns)
-    scan = _csv_text(spark, path, mode="FAILFAST", multiLine=True, columnPruning=False)
-    scan = scan.select("*", F.col("_metadata.file_path").alias("filename"))
+
+    def named(scan: DataFrame) -> DataFrame:
+        return scan.select("*", F.col("_metadata.file_path").alias("filename"))
+
+    scan = _csv_text(spark, path, also=named, mode="FAILFAST", multiLine=True, columnPruning=False)
     return by_name(scan, _all_text(columns), columns, ["filename"])
 
 
@@ -184,7 +255,7 @@ def read_catalog(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     The legacy catalogue calls the artist column ``artists``; either name will do, in the file as in
     ``schema``. A file without track or artist names is an error.
     """
-    scan = with_source_order(_csv_text(spark, path))
+    scan = _csv_text(spark, path, also=with_source_order)
     if "artist_name" not in {c.lower() for c in scan.columns}:
         scan = scan.withColumnRenamed("artists", "artist_name")
     fields = [T.StructField("artist_name" if f.name == "artists" else f.name, f.dataType) for f in schema.fields]

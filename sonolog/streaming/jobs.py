@@ -60,6 +60,19 @@ def history_stream(
     )
 
 
+def open_history_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = PLAYS_RAW,
+    name_glob: str = readers.HISTORY_GLOB,
+    max_files: int = MAX_FILES,
+    keep_damaged: bool = False,
+) -> DataFrame:
+    """History exports as they arrive, with every field that ``schema`` does not name in the VARIANT ``extra``."""
+    files = spark.readStream.option("wholetext", True).option("pathGlobFilter", name_glob).option("recursiveFileLookup", True)
+    return readers.open_records(files.option("maxFilesPerTrigger", max_files).text(path), schema, keep_damaged)
+
+
 def table_stream(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
     """A Parquet table as a stream of its files."""
     schema = spark.read.parquet(path).schema

@@ -17,6 +17,7 @@ from sonolog.operators import (
     cleaning,
     coverage,
     dashboard,
+    day_bitmaps,
     fuzzy,
     genres,
     insights,
@@ -396,3 +397,39 @@ def test_bitmap_loses_no_member_and_drops_most_others(spark):
         assert near.count() < 1.7 * ids.count()
     assert bitfilter.maybe_in(rows, ids.where("false"), ["k"], 0).count() == 0
     assert bitfilter.bits_for(10**12) == bitfilter.MOST_BITS and bitfilter.bits_for(0) == bitfilter.ROW_BITS
+
+
+def test_day_bitmaps_count_like_distinct(spark, tmp_path, monkeypatch):
+    """NULL names, many numbers, days added later; every range of days."""
+    monkeypatch.setattr(day_bitmaps, "PART_BITS", 64)
+    rng = random.Random(8)
+    names = [None, "", "it's", *[f"n{i}" for i in range(60)]]
+    rows = [(f"2024-01-{rng.randrange(1, 9):02}T10:00:00", 1000, rng.choice(names), rng.choice(names[:9])) for _ in range(500)]
+    rows += [(None, 5, "x", "y")]
+    df = plays(spark, rows)
+    early = df.where("ts < '2024-01-05'")
+    first = day_bitmaps.dictionary(early).checkpoint()
+    ids = day_bitmaps.dictionary(df, first).checkpoint()
+    assert ids.join(first, ["kind", "track", "artist", "id"], "left_semi").count() == first.where("track is not null and artist is not null").count()
+    for kind, n in ids.groupBy("kind").count().collect():
+        assert sorted(r.id for r in ids.where(F.col("kind") == kind).collect()) == list(range(n))
+    late = df.where("ts >= '2024-01-05'")
+    bits = day_bitmaps.daily_bitmaps(early, ids).unionAll(day_bitmaps.daily_bitmaps(late, ids)).checkpoint()
+    sums = day_bitmaps.daily_sums(df)
+    for a, b in ((1, 8), (4, 5), (6, 6), (9, 9)):
+        got = day_bitmaps.range_summary(bits, sums, f"2024-01-{a:02}", f"2024-01-{b:02}").first()
+        own = [r for r in rows if r[0] and a <= int(r[0][8:10]) <= b]
+        assert tuple(got) == (
+            len(own), sum(r[1] for r in own) / 60000, len({r[0][:10] for r in own}), len({r[2] for r in own} - {None}),
+            len({r[3] for r in own} - {None}), len({r[2:] for r in own if None not in r[2:]}),
+        )
+
+
+def test_summaries_of_nothing_and_of_missing_names(spark):
+    none = cleaning.clean(plays(spark, [("2024-01-01T00:00:00", 1, "t", "a")]))
+    assert tuple(trends.library_summary(none).first()) == (0, None, None, 0.0, 0, 0)
+    assert tuple(dashboard.kpis(none, TRACK, ARTIST).first()) == (0.0, 0, 0)
+    some = [("2024-01-01T00:00:00", 60000, "t", None), ("2023-01-01T00:00:00", 60000, None, None), ("2024-01-01T05:00:00", 60000, "t", "a")]
+    df = cleaning.clean(plays(spark, some))
+    assert tuple(trends.library_summary(df).first()) == (3, 2023, 2024, 0.05, 1, 1)
+    assert tuple(dashboard.kpis(df, TRACK, ARTIST).first()) == (3.0, 2, 1)

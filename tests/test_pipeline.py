@@ -39,6 +39,10 @@ def test_pipeline(spark, tmp_path):
     assert (final["Two"].spotify_id, final["Three"].metadata_source, final[None].media_type) == ("s2", "none", "podcast")
 
     out = str(tmp_path / "out")
-    assert pipeline.publish(spark, inputs, out) == {"cleaned": 5, "song": 4, "podcast": 1}
+    assert pipeline.publish(spark, inputs, out) == {
+        "cleaned": 5, "catalog_enriched": 5, "api_enriched": 5, "song": 4, "podcast": 1,
+    }
+    for name in pipeline.PREFERENCE:
+        assert pipeline.readers.load_first_available(spark, [f"{out}/{name}"]).count() == 5
     assert pipeline.load(spark, out).where("media_type = 'song'").count() == 4
     assert pipeline.refresh(spark, out, inputs.metadata).where(F.col("spotify_id").isNotNull()).count() == 1

@@ -78,3 +78,8 @@ def test_no_single_partition_window_over_plays(spark, sf_dir):
             parts = groups(node.group(1))[1:]
             unpartitioned = not parts or (len(parts) == 1 and re.search(r" (ASC|DESC) ", parts[0]))
             assert not unpartitioned or name in allowed, (name, line)
+
+
+def test_plays_are_not_repeated_for_a_second_distinct_count(spark, sf_dir):
+    for name in ("library_summary", "dashboard_kpis"):
+        assert "Expand" not in plan(queries()[name](spark, sf_dir))

@@ -5,12 +5,20 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sonolog.operators import cleaning, ledger
+from sonolog.operators import cleaning, ledger, metadata, refresh
 from sonolog.schemas import ARTIST, CATALOG, PAIR, PLAYS_RAW, TRACK
 from sonolog.sources import readers, tables, versioned, writers
 from sonolog.streaming import jobs
 
 
+@pytest.fixture(autouse=True)
+def few_parts(monkeypatch):
+    """Fewer parts than in production, which small tables would only wait for."""
+    monkeypatch.setattr(ledger, "BUCKETS", 6)
+    monkeypatch.setattr(refresh, "PARTS", 4)
+    monkeypatch.setattr(jobs, "PARK_PARTS", 3)
+
+
 def export(folder, name, rows):
     (folder / name).write_text(json.dumps(rows), encoding="utf-8")
 
@@ -191,11 +199,22 @@ def test_csv_columns_by_name(spark, tmp_path):
     (tmp_path / "d.csv").write_text("genre,track_name\nPop,Song\n")
     with pytest.raises(ValueError, match="artist_name"):
         readers.read_catalog(spark, str(tmp_path / "d.csv"), CATALOG)
-    (tmp_path / "two").mkdir()
-    (tmp_path / "two" / "1.csv").write_text("a,b\n1,2\n")
-    (tmp_path / "two" / "2.csv").write_text("b,a\n1,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.read_csv(spark, str(tmp_path / "two"), readers._all_text(["a", "b"])).collect()
+
+
+def test_csv_files_with_different_headers_come_together(spark, tmp_path):
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n1,2\n3,\n")
+    (folder / "3.csv").write_text("A,c\n5,x\n")
+    (folder / "4.csv").write_text("a,b\n7,8\n")
+    got = readers.read_csv(spark, str(folder), readers._all_text(["a", "b", "c"]), ordered=True).orderBy(*readers.SOURCE_ORDER)
+    rows = [(r.a, r.b, r.c, r.src_file[-5:]) for r in got.collect()]
+    assert rows == [
+        ("1", "2", None, "1.csv"), ("2", "1", None, "2.csv"), (None, "3", None, "2.csv"), ("5", None, "x", "3.csv"), ("7", "8", None, "4.csv"),
+    ]
+    strict = readers.read_csv_strict(spark, str(folder), ["a", "b"]).where("filename like '%4.csv'").collect()
+    assert [(r.a, r.b) for r in strict] == [("7", "8")]
 
 
 def test_shared_dir_is_refused_without_setting(spark, monkeypatch):
@@ -272,3 +291,185 @@ def test_only_the_buckets_of_a_batch_are_written(spark, tmp_path):
     ledger.record(table, entries(spark, [("k7", "new", "2024-02-01"), ("none", None, "2024-02-01")]))
     after = table.current()
     assert sum(after.slots[p] != slot for p, slot in before.slots.items()) == 1
+
+
+META = f"{TRACK} string, {ARTIST} string, spotify_id string, track_popularity long"
+
+
+def dated(spark, rows):
+    """(ts, track, artist) as plays of 60 s."""
+    df = spark.createDataFrame([(t, 60000, a, b) for t, a, b in rows], f"ts string, ms_played long, {TRACK} string, {ARTIST} string")
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def texts(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_refresh_writes_only_the_partitions_of_changed_keys(spark, tmp_path):
+    rows = [(f"{2000 + i % 7}-05-01", f"T{i % 40}", f"A{i % 3}") for i in range(400)]
+    rows += [("2003-01-01", None, "A1"), (None, "T1", "A1"), ("2004-01-01", "t1 ", "a1")] * 3
+    plays = dated(spark, rows).cache()
+    first = [(f"t{i}", f"A{i % 3}", f"S{i}", i) for i in range(0, 40, 2)]
+    later = [*first, ("T1", "a1", "S1", 1), ("T2", "a2", "S0", 9), ("never played", "x", "S5", 1)]
+    meta = [spark.createDataFrame(m, META) for m in (first, later, [*later, ("t4", "A1", "Z4", 8)])]
+    store = refresh.store(spark, str(tmp_path), plays.schema, meta[0].schema, ["spotify_id", "track_popularity"])
+    refresh.create(store, plays, meta[0])
+    names = refresh.read(store).columns
+
+    def whole(m):
+        return texts(metadata.enrich(plays, m).select(*names))
+
+    assert texts(refresh.read(store)) == whole(meta[0])
+    assert refresh.refresh(store, meta[0]) == [] and store.plays.current().number == 1
+    before = store.plays.current()
+    touched = refresh.refresh(store, meta[1])
+    after = store.plays.current()
+    assert texts(refresh.read(store)) == whole(meta[1])
+    # T1 by A1 is the one played key that changed: "t2" by A2 keeps its winner.
+    own = {r.y for r in plays.where("lower(trim(master_metadata_track_name)) = 't1' and lower(master_metadata_album_artist_name) = 'a1'")
+           .select(F.coalesce(F.year("ts"), F.lit(0)).alias("y")).collect()}
+    assert {y for _, y in touched} == own and len({p for p, _ in touched}) == 1
+    assert {p for p in after.slots if after.slots[p] != before.slots[p]} == set(touched)
+    assert refresh.refresh(store, meta[2]) and texts(refresh.read(store)) == whole(meta[2])
+    assert refresh.refresh(store, meta[2]) == []
+    with pytest.raises(ValueError):
+        refresh.store(spark, str(tmp_path), plays.schema, meta[0].schema, ["ts"])
+    plays.unpersist()
+
+
+def test_a_refresh_that_died_is_done_again(spark, tmp_path, monkeypatch):
+    plays = dated(spark, [("2001-01-01", f"T{i}", "A") for i in range(20)])
+    meta = [spark.createDataFrame([(f"T{i}", "A", f"S{i}", i) for i in range(n)], META) for n in (5, 20)]
+    store = refresh.store(spark, str(tmp_path), plays.schema, meta[0].schema, ["spotify_id", "track_popularity"])
+    refresh.create(store, plays, meta[0])
+
+    def die(self, version):
+        if "winners" in self.root:
+            raise RuntimeError("lost")
+        publish(self, version)
+
+    publish = versioned.VersionedTable._publish
+    with monkeypatch.context() as m:
+        m.setattr(versioned.VersionedTable, "_publish", die)
+        with pytest.raises(RuntimeError):
+            refresh.refresh(store, meta[1])
+    assert refresh.refresh(store, meta[1])
+    assert refresh.read(store).where("spotify_id is null").count() == 0 and refresh.read(store).count() == 20
+
+
+def late_job(spark, tmp_path, plays):
+    return jobs.LateMetadata(spark, str(tmp_path / "out"), plays.schema, spark.createDataFrame([], META).select("spotify_id").schema)
+
+
+def test_plays_end_enriched_when_their_metadata_comes_later(spark, tmp_path, monkeypatch):
+    rows = [("2024-01-01", f"T{i % 5}", "A") for i in range(20)] + [("2024-01-02", None, "A"), (None, "T1", None)] * 4
+    plays = dated(spark, rows)
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    job = late_job(spark, tmp_path, plays)
+    meta = [spark.createDataFrame([(f"t{i}", "a", f"S{i}", i) for i in range(n)], META) for n in (1, 3, 5)]
+    writers.append(plays, source)
+    calls = []
+    once = metadata.dedup
+    monkeypatch.setattr(jobs.metadata, "dedup", lambda m, *more: calls.append(1) or once(m, *more))
+    job.run(jobs.table_stream(spark, source), meta[0], state)
+    waiting = lambda: job.parked.read().count()
+    assert (job.read().count(), waiting()) == (28, 16)
+    writers.append(plays, source)
+    job.run(jobs.table_stream(spark, source, max_files=1), meta[1], state)
+    assert len(calls) == 2 and (job.read().count(), waiting()) == (56, 16)
+    job.run(jobs.table_stream(spark, source), meta[2], state)
+    assert len(calls) == 3
+    twice = plays.unionAll(plays)
+    names = job.read().columns
+    assert waiting() == 0 and texts(job.read()) == texts(metadata.enrich(twice, meta[2]).select(*names))
+
+
+def test_a_move_of_parked_plays_that_died_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    plays = dated(spark, [("2024-01-01", f"T{i}", "A") for i in range(10)])
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    job = late_job(spark, tmp_path, plays)
+    meta = [spark.createDataFrame([(f"T{i}", "A", f"S{i}", i) for i in range(n)], META) for n in (0, 4, 9)]
+    writers.append(plays, source)
+    job.run(jobs.table_stream(spark, source), meta[0], state)
+
+    def die(self, version):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(versioned.VersionedTable, "_publish", die)
+        with pytest.raises(RuntimeError):
+            job.run(jobs.table_stream(spark, source), meta[1], state)
+    job.run(jobs.table_stream(spark, source), meta[2], state)
+    assert job.read().count() == 10 and job.read().where("spotify_id is null").count() == 1
+
+
+def test_repeats_are_dropped_in_any_order_and_batches_may_run_again(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "once")
+    early = dated(spark, [("2024-01-01", f"T{i}", "A") for i in range(30)] + [(None, "T", "A")] * 5)
+    late = dated(spark, [("2024-02-01", f"T{i}", "A") for i in range(30)] + [("2024-02-01", None, "A"), ("2024-02-01", "", "A")] * 3)
+    for wave in (late, early, late, early.unionAll(late)):
+        writers.append(wave, source)
+        jobs.keep_once(jobs.table_stream(spark, source), out, str(tmp_path / "state")).awaitTermination()
+    expect = texts(early.unionAll(late).distinct())
+    assert texts(jobs.read_once(spark, out, early.schema)) == expect
+    # All over again, without the memory of what was done: every micro-batch replaces its own.
+    jobs.keep_once(jobs.table_stream(spark, source), out, str(tmp_path / "other state")).awaitTermination()
+    assert texts(jobs.read_once(spark, out, early.schema).distinct()) == expect
+    assert len(list((tmp_path / "once" / "plays").glob("play_day=*"))) == 3
+
+
+def test_late_plays_are_counted(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    waves = [["2024-01-10T10:00", "2024-01-10T10:30"], ["2024-01-10T10:40", "2024-01-01T00:00"], ["2024-01-09T23:00", None]]
+    for times in waves:
+        writers.append(dated(spark, [(t, "T", "A") for t in times]), source)
+        jobs.window_stream(jobs.table_stream(spark, source), "1 hour", "2 hours", out, state)
+    got = {str(r.start): (r.plays, r.ms) for r in jobs.read_windows(spark, out).collect()}
+    assert got == {"2024-01-10 10:00:00": (3, 180000)}
+    assert tuple(jobs.read_late(spark, out).first()) == (2, 120000)
+
+
+def test_every_field_of_an_export_is_kept(spark, tmp_path):
+    export(tmp_path, "Streaming_History_1.json", [play("2024-01-01T00:00:00Z", shuffle=True, **{"it's": 1}), play("2024-01-02T00:00:00Z")])
+    export(tmp_path, "Streaming_History_2.json", [play("2024-01-03T00:00:00Z", offline={"at": [1, 2]}, shuffle="yes", gone=None)])
+    export(tmp_path, "Streaming_History_3.json", [])
+    (tmp_path / "Streaming_History_4.json").write_text(" \n")
+    df = readers.read_history_open(spark, str(tmp_path)).orderBy("ts")
+    assert df.columns == [*PLAYS_RAW.fieldNames(), "extra"]
+    got = df.select("ms_played", readers.extra_field("shuffle", "boolean"), readers.extra_field("it's", "int"),
+                    F.expr("try_variant_get(extra, '$.offline.at[1]', 'int')").alias("at"), F.col("extra").isNull().alias("none")).collect()
+    assert [tuple(r) for r in got] == [(60000, True, 1, None, False), (60000, None, None, None, True), (60000, True, None, 2, False)]
+    (tmp_path / "Streaming_History_5.json").write_text('[{"ts": "2024-01-04T00:00:00Z"}, {"ts"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_history_open(spark, str(tmp_path)).collect()
+    whole, broken = readers.split_damaged(readers.read_history_open(spark, str(tmp_path), keep_damaged=True))
+    assert whole.count() == 3 and [r[readers.CORRUPT][:3] for r in broken.collect()] == ['[{"']
+
+
+def test_appended_rows_must_fit_the_table(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    path = str(tmp_path / "t")
+    schema = T.StructType([T.StructField("k", T.LongType(), False), T.StructField("v", T.StringType())])
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    with pytest.raises(writers.SchemaMismatch, match="new table"):
+        writers.append_checked(rows, path)
+    writers.append_checked(rows, path, schema)
+    writers.append_checked(spark.createDataFrame([(2,)], "K long"), path)
+    files = files_below(tmp_path)
+    bad = {
+        "k is bigint": "cast(k as int) as k, v", "no column": "v", "not in the table": "k, v, 1 as w", "twice": "k, v, v as V",
+    }
+    for match, columns in bad.items():
+        with pytest.raises(writers.SchemaMismatch, match=match):
+            writers.append_checked(rows.selectExpr(*columns.split(", ")), path)
+    assert files_below(tmp_path) == files
+    writers.append_checked(rows.selectExpr("5L as w", "k + 2 as k"), path, evolve=True)
+    with pytest.raises(writers.SchemaMismatch, match="w is bigint"):
+        writers.append_checked(rows.selectExpr("'x' as w", "k"), path, evolve=True)
+    with pytest.raises(Exception, match="NULL in k"):
+        writers.append_checked(spark.createDataFrame([(None,)], "k long"), path)
+    got = sorted(map(tuple, writers.read_checked(spark, path).collect()))
+    assert got == [(1, "a", None), (2, None, None), (3, None, 5)]
+    assert spark.read.parquet(path).count() == 3
