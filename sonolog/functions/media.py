@@ -30,9 +30,10 @@ def by_episode_fields(columns: list[str] | None = None) -> Column:
 
 def by_inference(columns: list[str]) -> Column:
     """Podcast when any ``*episode*`` column is non-NULL or any ``*uri*`` names an episode."""
-    episode = [f"{c} is not null" for c in columns if "episode" in c.lower()]
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in columns}
+    episode = [f"{quoted[c]} is not null" for c in columns if "episode" in c.lower()]
     uris = [
-        f"coalesce(contains(cast({c} as string), 'spotify:episode:'), false)" for c in columns if "uri" in c.lower()
+        f"coalesce(contains(cast({quoted[c]} as string), 'spotify:episode:'), false)" for c in columns if "uri" in c.lower()
     ]
     return _podcast_if(episode + uris)
 

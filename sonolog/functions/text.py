@@ -51,11 +51,6 @@ NORMALISERS: dict[str, Callable[[str], str]] = {
 }
 
 
-def strip_unicode(e: str) -> Column:
-    """Remove leading and trailing white space of every Unicode kind."""
-    return F.expr(strip_sql(e))
-
-
 def norm_full(e: str) -> Column:
     """Lower case without any surrounding Unicode white space."""
     return F.expr(norm_full_sql(e))
@@ -99,8 +94,8 @@ def genre_tokens_folded(e: str) -> Column:
 
 def primary_genre(e: str, default: str | None = "Unknown") -> Column:
     """First item of a comma list, trimmed."""
-    first = strip_sql(f"split({e}, ',')[0]")
-    return F.expr(first) if default is None else F.expr(f"coalesce({first}, '{default}')")
+    first = F.expr(strip_sql(f"split({e}, ',')[0]"))
+    return first if default is None else F.coalesce(first, F.lit(default))
 
 
 def pair_label(track: str, artist: str) -> Column:
@@ -115,7 +110,7 @@ def shorten(e: str, limit: int = 20) -> Column:
 
 def drop_suffix(e: str, suffix: str) -> Column:
     """Remove every occurrence of a literal suffix marker from a label."""
-    return F.expr(f"replace({e}, '{suffix}', '')")
+    return F.replace(F.expr(e), F.lit(suffix), F.lit(""))
 
 
 def feature_at_year(year: str, value: str) -> Column:

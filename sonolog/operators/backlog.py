@@ -43,6 +43,17 @@ def work_queue(plays: DataFrame, external: DataFrame, completed: DataFrame, norm
     return keyed.join(external, "key", "left_anti").join(completed, "key", "left_anti")
 
 
+def unmatched_queue(matches: DataFrame, completed: DataFrame, normaliser: str = "full") -> DataFrame:
+    """``work_queue`` out of the catalogue's matches, which hold every unique pair of the plays already.
+
+    The pairs are neither collected nor joined with the catalogue's keys again. The catalogue's normaliser must be at least as
+    coarse as ``normaliser``, so that pairs with one key are matched alike.
+    """
+    left = matches.where(~enriched_signal(matches)).select(*PAIR)
+    keyed = with_keys(left, normaliser, no_nulls=True).selectExpr(*PAIR, f"{composite_key_sql(*KEYS)} as key")
+    return keyed.join(completed, "key", "left_anti")
+
+
 def batches(queue: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Cut a queue into batches of ``size`` rows; only the last may be smaller."""
     row = f"to_json(struct({', '.join(PAIR)}))"

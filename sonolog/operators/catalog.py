@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..schemas import CATALOG_FIELDS, KEYS, PAIR
+from ..schemas import CATALOG_FIELDS, KEYS
 from .cleaning import unique_pairs, with_keys
 from .lookup import left_lookup
 
@@ -65,11 +65,6 @@ def attach_catalog(
     return joined.drop(*KEYS).withColumnsRenamed({v: k for k, v in held.items()})
 
 
-def attach_pairs(plays: DataFrame, matches: DataFrame, strategy: str = "auto") -> DataFrame:
-    """Left join of a table unique on the raw pair back onto the plays."""
-    return left_lookup(plays, matches, PAIR, strategy)
-
-
 def value_counts(df: DataFrame, column: str, n: int = 10, weight: str | None = None) -> DataFrame:
     """The ``n`` most frequent non-NULL values; ties in value order.
 

@@ -109,13 +109,19 @@ def parse_search(responses: DataFrame, body: str = "body") -> DataFrame:
     return responses.withColumn("hit", F.try_element_at(doc["tracks"]["items"], F.lit(1)))
 
 
-def parse_artists(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Stored artist documents as ``artist_id`` and the struct ``artist``; the first per id."""
-    docs = responses.groupBy("artist_id").agg(F.max(body).alias(body))
+def parse_artists(responses: DataFrame, body: str = "body", order: list[str] | None = None) -> DataFrame:
+    """Stored artist documents as ``artist_id`` and the struct ``artist``; the first per id.
+
+    ``order`` names columns that say which one is first, as rows have no order; of equals, and without it, the
+    smallest text is taken, so that the choice never depends on how the rows lie.
+    """
+    docs = responses.groupBy("artist_id").agg(F.min_by(body, F.struct(*(order or []), body)).alias(body))
     return docs.select("artist_id", F.from_json(body, ARTIST_RESPONSE).alias("artist"))
 
 
-def flatten(searches: DataFrame, artists: DataFrame, legacy_genres: bool = False) -> DataFrame:
+def flatten(
+    searches: DataFrame, artists: DataFrame, legacy_genres: bool = False, artist_order: list[str] | None = None
+) -> DataFrame:
     """Stored responses -> metadata rows; documents without a track drop out.
 
     The artist document is found by the id of the track's first artist. Without one, genres
@@ -124,7 +130,7 @@ def flatten(searches: DataFrame, artists: DataFrame, legacy_genres: bool = False
     keep = [c for c in searches.columns if c != "body"]
     hits = parse_search(searches).where("hit is not null")
     hits = hits.selectExpr("*", "try_element_at(hit.artists, 1).id as artist_id")
-    joined = left_lookup(hits, parse_artists(artists), ["artist_id"])
+    joined = left_lookup(hits, parse_artists(artists, order=artist_order), ["artist_id"])
     genres = "array_join(coalesce(artist.genres, array()), ', ')"
     if legacy_genres:
         genres = f"if(artist is null, null, {genres})"

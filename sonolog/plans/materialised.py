@@ -11,7 +11,7 @@ from ..operators import cleaning, day_bitmaps, ledger, metadata, refresh
 from ..operators.numbering import number_rows
 from ..schemas import API_META, ARTIST, CATALOG, EPISODE_COLUMNS, KEYS, LEDGER, PAIR, PLAYS_RAW, TRACK
 from ..session import scratch_path
-from ..sources import readers, tables, writers
+from ..sources import layout, readers, tables, writers
 from ..streaming import jobs
 from . import pipeline
 from .queries import _ledger_entries, _long, _plays, query
@@ -327,6 +327,31 @@ def stream_windows_late(s, d):
     return cleaning.combine(*parts)
 
 
+_LAYOUTS: dict[tuple[str, str], layout.KeyedTables] = {}
+
+
+def _layout(s, d) -> layout.KeyedTables:
+    """Plays and metadata stored by key, once for a session and folder of tables."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _LAYOUTS:
+        _LAYOUTS[key] = layout.store(_plays(s, d), tables.api_meta(s, d), scratch_path(s, "keyed"))
+    return _LAYOUTS[key]
+
+
+@query
+def stored_enriched_plays(s, d):
+    """``enriched_plays`` from tables that are stored by key: no play is shuffled."""
+    return layout.enriched(s, _layout(s, d)).select(
+        "play_id", "ts", "ms_played", *PAIR, "spotify_id", "track_popularity",
+        "album_release_date", "album_release_date_precision", "api_genres",
+    )
+
+
+@query
+def stored_unique_keys(s, d):
+    return layout.unique_keys(s, _layout(s, d))
+
+
 @query
 def refreshed_plays(s, d):
     """Plays enriched with half of the metadata, then refreshed with all of it: only touched partitions are written."""

@@ -278,7 +278,7 @@ ORACLES: dict[str, str] = {
         "SELECT DISTINCT tk AS track_key, ak AS artist_key, tk || '|||' || ak AS key FROM pairs", "pairs"
     ),
     "normaliser_comparison": """SELECT 'don''t "' || lower(p_name) || '"' AS key_full, 'dont ' || lower(p_name) AS key_unquoted,
-        'don''t "' || lower(p_name) || '"' AS key_sql, count(*) AS names FROM part GROUP BY ALL""",
+        chr(9) || '  don''t "' || lower(p_name) || '"' || chr(160) AS key_sql, count(*) AS names FROM part GROUP BY ALL""",
     "duplicate_play_suppression": _with(
         f"""SELECT CAST(ts AS DATE) AS day, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms FROM
         (SELECT DISTINCT ts, ms_played, {_PAIR}, spotify_episode_uri FROM plays_all) GROUP BY 1""",
@@ -814,6 +814,8 @@ ORACLES.update(
             "longs",
         ),
         "refreshed_plays": ORACLES["enriched_plays"],
+        "stored_enriched_plays": ORACLES["enriched_plays"],
+        "stored_unique_keys": _with("SELECT DISTINCT tk AS track_key, ak AS artist_key FROM pairs", "pairs"),
         "stream_ledger": _with("SELECT * FROM hit_entries", "hit_entries"),
         "ledger_rebuilt_from_metadata": _with(
             """SELECT key, max('{"spotify_id":"' || spotify_id || '","track_popularity":' || track_popularity

@@ -107,7 +107,7 @@ def unique_normalised_keys(s, d):
 def normaliser_comparison(s, d):
     """Keys under the three normalisers, for padded and quoted names."""
     names = tables.table(s, d, "part").select(
-        F.concat(F.lit("  Don't \""), "p_name", F.lit("\" ")).alias("raw")
+        F.concat(F.lit("\t  Don't \""), "p_name", F.lit("\"\u00a0")).alias("raw")
     )
     keyed = names.select(
         text.norm_full("raw").alias("key_full"),
@@ -171,9 +171,10 @@ def catalog_match_quote_normaliser(s, d):
     raw = parts.select(
         F.concat(F.lit(' "'), F.initcap("p_name"), F.lit("'s\"")).alias(TRACK), F.col("p_brand").alias(ARTIST)
     )
-    cat = parts.where(F.col("p_size") <= 25).select(
+    title = F.concat(F.upper("p_name"), F.lit("S"))
+    cat = parts.select(
         F.col("p_partkey").alias("src_order"),
-        F.concat(F.upper("p_name"), F.lit("S")).alias("track_name"),
+        F.when(F.col("p_size") <= 25, title).otherwise(F.concat(F.lit("Unplayed "), "p_partkey")).alias("track_name"),
         F.col("p_brand").alias("artist_name"),
         F.col("p_partkey").cast("string").alias("track_id"),
     )
@@ -369,9 +370,8 @@ def media_from_label(s, d):
 
 
 def _queue(s, d):
-    p = _plays(s, d)
-    external = backlog.external_keys(catalog.match_pairs(p, tables.catalog(s, d)))
-    return backlog.work_queue(p, external, backlog.completed_keys(_ledger(s, d)))
+    matches = catalog.match_pairs(_plays(s, d), tables.catalog(s, d))
+    return backlog.unmatched_queue(matches, backlog.completed_keys(_ledger(s, d)))
 
 
 @query

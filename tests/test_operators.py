@@ -142,9 +142,39 @@ def test_batches_are_dense(spark, n, size):
     assert sum(counts.values()) == n
 
 
-def test_number_rows_is_a_permutation(spark):
-    got = numbering.number_rows(spark.range(1000), "cast(id as string)").collect()
-    assert sorted(r.row_no for r in got) == list(range(1000))
+@pytest.mark.parametrize("per_bucket", [50_000, 10])
+def test_number_rows_is_a_permutation(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", per_bucket)
+    got = numbering.number_rows(spark.range(1000).withColumnRenamed("id", "an id"), "cast(`an id` as string)").collect()
+    assert sorted(r.row_no for r in got) == list(range(1000)) and got[0].asDict().keys() == {"an id", "row_no"}
+
+
+def test_quotes_and_blanks_in_names(spark):
+    from sonolog.functions import media
+
+    df = spark.createDataFrame([("a", "spotify:episode:1", None), ("x, it's", "", "e")], "g string, `uri link` string, `my episode` string")
+    got = df.select(
+        text.primary_genre("g", "it's").alias("p"), text.drop_suffix("g", ", it's").alias("s"), media.by_inference(df.columns).alias("m")
+    )
+    assert [tuple(r) for r in got.collect()] == [("a", "a", "podcast"), ("x", "x", "podcast")]
+    assert spark.sql("select null as g").select(text.primary_genre("g", "it's").alias("p")).first().p == "it's"
+
+
+def test_first_artist_document_by_a_given_order(spark):
+    rows = [("A", '{"popularity":1}', 2), ("A", '{"popularity":9}', 1), ("A", '{"popularity":5}', 3)]
+    df = spark.createDataFrame(rows, "artist_id string, body string, row_no int")
+    assert metadata.parse_artists(df, order=["row_no"]).first().artist.popularity == 9
+    assert metadata.parse_artists(df).first().artist.popularity == 1
+
+
+def test_queue_of_matches_is_the_queue(spark):
+    df = plays(spark, [("2024-01-01T00:00:00", 1, t, a) for t in ("One", " one ", "Don't", "Dont", "Two", None) for a in ("A", "a ")])
+    source = spark.createDataFrame([(0, "one", "a", "k"), (1, "dont", "A", "")], "src_order int, track_name string, artist_name string, track_id string")
+    matches = catalog.match_pairs(df, source)
+    done = spark.createDataFrame([("two|||a",)], "key string")
+    full = backlog.work_queue(df, backlog.external_keys(matches), done)
+    columns = full.columns
+    assert sorted(map(tuple, backlog.unmatched_queue(matches, done).select(columns).collect())) == sorted(map(tuple, full.collect()))
 
 
 def test_batch_metrics_identity(spark):

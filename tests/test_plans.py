@@ -80,6 +80,24 @@ def test_no_single_partition_window_over_plays(spark, sf_dir):
             assert not unpartitioned or name in allowed, (name, line)
 
 
+def test_stored_plays_are_not_shuffled(spark, sf_dir):
+    """Also where nothing may be broadcast of itself; years that are not asked for are not read."""
+    from sonolog.sources import layout
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    tables = materialised._layout(spark, sf_dir)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = plan(layout.enriched(spark, tables, 2024, 2024))
+        cold = text.split("Union", 1)[1].split("BroadcastHashJoin")[0]
+        assert "SortMergeJoin" in cold and "Exchange" not in cold.split("FileScan")[0] and "Exchange hash" not in text
+        keys = plan(layout.unique_keys(spark, tables))
+        assert keys.count("Exchange hash") == 1  # of what was kept aside
+        assert "year#" in re.search(r"PartitionFilters: \[([^\]]*)", text).group(1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_plays_are_not_repeated_for_a_second_distinct_count(spark, sf_dir):
     for name in ("library_summary", "dashboard_kpis"):
         assert "Expand" not in plan(queries()[name](spark, sf_dir))
