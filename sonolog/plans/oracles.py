@@ -41,6 +41,11 @@ _CTES: dict[str, tuple[str, list[str]]] = {
             FROM long_all WHERE ms_played >= 30000""",
         ["long_all"],
     ),
+    "wide": (
+        """SELECT l_shipdate AS ts, CASE WHEN l_linenumber <= 2 AND l_orderkey % 2 = 0 THEN 0 ELSE l_partkey END AS part
+            FROM lineitem WHERE CAST(round(l_quantity * 6000) AS BIGINT) >= 30000""",
+        [],
+    ),
     "cat": (
         """SELECT p_partkey AS src_order, 'K' || p_partkey AS track_id,
             CASE WHEN (p_partkey % 100) % 5 < 3 AND p_size <= 40 THEN 'Track ' || (p_partkey % 100)
@@ -379,6 +384,16 @@ ORACLES: dict[str, str] = {
         CAST(sum(track_popularity) AS BIGINT) AS popularity_sum FROM long_meta GROUP BY yr""",
         "long_meta",
     ),
+    "enriched_many_keys": _with(
+        """SELECT CAST(year(ts) AS INTEGER) AS year, count(*) AS plays, count(spotify_id) AS enriched,
+        CAST(sum(popularity) AS BIGINT) AS popularity_sum FROM wide LEFT JOIN (
+          SELECT p_partkey AS part, 'P' || p_partkey || CASE WHEN p_size < 10 THEN '-2' ELSE '-0' END AS spotify_id,
+            p_size + CASE WHEN p_size < 10 THEN 2 ELSE 0 END AS popularity FROM part WHERE p_size <= 40) USING (part) GROUP BY 1""",
+        "wide",
+    ),
+    "unique_many_keys": _with(
+        "SELECT 'artist ' || (part % 997) AS artist_key, count(DISTINCT part) AS tracks FROM wide GROUP BY 1", "wide"
+    ),
     "final_enriched": _with(
         f"""SELECT p.play_id, p.ms_played, p.{TRACK}, p.{ARTIST}, p.track_id, p.popularity, p.genre, p.energy, m.spotify_id,
         m.track_popularity, m.api_genres,

@@ -273,6 +273,23 @@ def enriched_plays_long(s, d):
     )
 
 
+@query
+def enriched_many_keys(s, d):
+    """The merge with a metadata table that grows with the plays, and a track with a third of them."""
+    merged = metadata.enrich(cleaning.clean(tables.plays_many_keys(s, d), MIN_MS), tables.meta_many_keys(s, d))
+    return merged.groupBy("year").agg(
+        F.count(F.lit(1)).alias("plays"),
+        F.count("spotify_id").alias("enriched"),
+        F.sum("track_popularity").alias("popularity_sum"),
+    )
+
+
+@query
+def unique_many_keys(s, d):
+    keys = cleaning.unique_keys(cleaning.clean(tables.plays_many_keys(s, d), MIN_MS))
+    return keys.groupBy("artist_key").agg(F.count(F.lit(1)).alias("tracks"))
+
+
 @query
 def final_enriched(s, d):
     return metadata.enrich_final(_plays(s, d), tables.catalog(s, d), tables.api_meta(s, d)).select(

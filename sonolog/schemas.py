@@ -24,6 +24,7 @@ PLAYS_RAW = T.StructType(
     ]
 )
 
+# The catalogue's feature columns.
 AUDIO_FEATURES = [
     "danceability",
     "energy",
@@ -37,6 +38,7 @@ AUDIO_FEATURES = [
 ]
 
 # Fields the catalogue contributes to the final table, in output order.
+# The catalogue's columns in output order.
 CATALOG_FIELDS = [
     "track_id",
     "popularity",
@@ -72,6 +74,7 @@ CATALOG = T.StructType(
 )
 
 # Fields one stored lookup response flattens into, in output order.
+# The columns of a lookup result in output order.
 LOOKUP_FIELDS = T.StructType(
     [
         T.StructField("spotify_id", T.StringType()),

@@ -84,6 +84,28 @@ def plays_long(spark: SparkSession, sf_dir: str, min_ms: int | None = None) -> D
     )
 
 
+def plays_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays out of ``lineitem`` with as many distinct tracks as there are parts, one of which holds a third of all plays."""
+    part = "if(l_linenumber <= 2 and l_orderkey % 2 = 0, 0, l_partkey)"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_shipdate as ts",
+        f"{_whole('l_quantity * 6000')} as ms_played",
+        f"concat('Track ', {part}) as {TRACK}",
+        f"concat('Artist ', {part} % 997) as {ARTIST}",
+    )
+
+
+def meta_many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata out of ``part``: a row per track, for most of the tracks, with two more for some."""
+    rows = table(spark, sf_dir, "part").where("p_size <= 40").selectExpr("*", "explode(sequence(0, if(p_size < 10, 2, 0))) as copy")
+    return rows.selectExpr(
+        "concat('P', p_partkey, '-', copy) as spotify_id",
+        f"concat(' track ', p_partkey) as {TRACK}",
+        f"concat('ARTIST ', p_partkey % 997, ' ') as {ARTIST}",
+        "cast(p_size + copy as bigint) as track_popularity",
+    )
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio-feature catalogue out of ``part`` and ``embeddings``; ``src_order`` is file order.
 
