@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import tasks_for, text_bytes, text_or_empty
 
 # White space of the vocabulary's split rule: the White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -37,8 +37,10 @@ _LOADED: dict[int, WordEncoder] = {}
 DOCS = "block string, keys array<bigint>, counts array<int>, codes binary"
 WORDS = "share int, block string, codes binary, words binary"
 CODED = "block string, codes binary, sizes binary, ids binary"
-# About so many bytes of text to a share of the distinct words.
+# About so many bytes of text to a share of the distinct words, up to so many shares: a block sends a row to each of them, which must
+# hold many words to be worth it, and a share is streamed, so that only its distinct words are in memory.
 SHARE_BYTES = 16_000_000
+MOST_SHARES = 4096
 
 
 def byte_letters() -> list[str]:
@@ -188,20 +190,21 @@ def _word_rows(shares: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return run
 
 
-def _encode_share(vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+def _encode_share(vocabulary) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = encoder(vocabulary.value)
         distinct: dict[str, bytes] = {}
-        sizes, ids = [], []
-        for raw in part["words"]:
-            own = zstandard.decompress(raw).decode().split(" ")
-            for w in own:
-                if w not in distinct:
-                    distinct[w] = known.encode(w)
-            found = [distinct[w] for w in own]
-            sizes.append(_packed(np.array([len(x) for x in found])))
-            ids.append(zstandard.compress(b"".join(found), 3))
-        return pd.DataFrame({"block": part["block"], "codes": part["codes"], "sizes": sizes, "ids": ids})
+        for part in parts:
+            sizes, ids = [], []
+            for raw in part["words"]:
+                own = zstandard.decompress(raw).decode().split(" ")
+                for w in own:
+                    if w not in distinct:
+                        distinct[w] = known.encode(w)
+                found = [distinct[w] for w in own]
+                sizes.append(_packed(np.array([len(x) for x in found])))
+                ids.append(zstandard.compress(b"".join(found), 3))
+            yield pd.DataFrame({"block": part["block"], "codes": part["codes"], "sizes": sizes, "ids": ids})
 
     return run
 
@@ -209,7 +212,7 @@ def _encode_share(vocabulary) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def encoded_words(docs: DataFrame, vocabulary, shares: int) -> DataFrame:
     """The ids of the distinct words of every block, each word encoded once in its share."""
     words = docs.mapInPandas(_word_rows(shares), WORDS)
-    return words.groupBy("share").applyInPandas(_encode_share(vocabulary), CODED)
+    return words.repartition(shares, "share").groupBy("share").applyInPandas(_encode_share(vocabulary), CODED)
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -234,8 +237,9 @@ def encode_blocks(
     shared = spark.sparkContext.broadcast(vocabulary)
     table = spark.sparkContext.broadcast(pieces(vocabulary))
     flat = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    size = flat.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE_BYTES + 1)
+    size = text_bytes(flat)
+    tasks = tasks_for(spark, size)
+    shares = min(MOST_SHARES, tasks_for(spark, size, SHARE_BYTES))
     coded = encoded_words(flat, shared, shares)
     blocks = flat.mapInPandas(_doc_blocks, DOCS)
 
@@ -265,7 +269,8 @@ def encode_blocks(
             keys.append(None if pd.isna(k) else int(k))
         return emit(keys, raws, texts)
 
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(join_back, schema)
+    own, theirs = (side.repartition(tasks, "block").groupBy("block") for side in (blocks, coded))
+    return own.cogroup(theirs).applyInPandas(join_back, schema)
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 HOT_SHARE = 1 / 1000
 ROWS_PER_BUCKET = 2_000
 ROWS_PER_RANGE = 500_000
+BYTES_PER_TASK = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tasks_for(spark: SparkSession, size: int, per_task: int = BYTES_PER_TASK) -> int:
+    """Shuffle tasks for ``size`` bytes: the session's number, or more where these would be too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // per_task + 1)
+
+
+def text_bytes(texts: DataFrame, text: str = "text") -> int:
+    return texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
