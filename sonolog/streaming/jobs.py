@@ -110,10 +110,10 @@ def identity_of(plays: DataFrame) -> list[str]:
     return [c for c in IDENTITY if c in plays.columns]
 
 
-def _identified(plays: DataFrame) -> DataFrame:
-    """Add the play's digest, which also tells NULL from empty, and its day."""
+def _identified(plays: DataFrame, period: str) -> DataFrame:
+    """Add the play's digest, which also tells NULL from empty, and the first day of its period."""
     whole = F.to_json(F.struct(*identity_of(plays)), {"ignoreNullFields": "false"})
-    day = F.coalesce(F.to_date("ts").cast("string"), F.lit(NO_DAY))
+    day = F.coalesce(F.to_date(F.date_trunc(period, "ts")).cast("string"), F.lit(NO_DAY))
     return plays.withColumn(PLAY_ID, F.sha2(whole, 256)).withColumn(DAY, day)
 
 
@@ -126,10 +126,10 @@ def suppress_repeats(plays: DataFrame, delay: str = "30 days") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(identity_of(plays)).drop(EVENT_TIME)
 
 
-def keep_once(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def keep_once(plays: DataFrame, out: str, checkpoint: str, period: str = "day") -> StreamingQuery:
     """Store every play once, whatever the order in which copies arrive.
 
-    Plays lie by day and micro-batch. A micro-batch looks only at its own days: a bitmap of each day tells which of its plays cannot have
+    Plays lie by day and micro-batch; a longer ``period``, always the same for one ``out``, suits few plays over many years. A micro-batch looks only at its own days: a bitmap of each day tells which of its plays cannot have
     been there before, and only the others meet that day's stored digests. A micro-batch that runs again does not
     see what it stored itself, and replaces it. Copies within it are reduced before the shuffle, so a play that is repeated very
     often is no hot key.
@@ -137,7 +137,7 @@ def keep_once(plays: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     spark = plays.sparkSession
 
     def save(rows: DataFrame, batch_id: int) -> None:
-        once = _identified(rows).dropDuplicates([PLAY_ID]).persist()
+        once = _identified(rows, period).dropDuplicates([PLAY_ID]).persist()
         try:
             days = [r[DAY] for r in once.select(DAY).distinct().collect()]  # at most one for each day there is
             fresh = _not_stored(spark, once, out, days, batch_id).withColumn(BATCH, F.lit(batch_id).cast("long"))

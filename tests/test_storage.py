@@ -152,7 +152,7 @@ def test_streams_lose_no_old_plays_in_small_batches(spark, sf_dir, tmp_path):
     names = [str(tmp_path / n) for n in ("days", "s1", "once", "s2")]
     stream = lambda: jobs.table_stream(spark, str(source), max_files=1)
     jobs.daily_minutes(stream(), names[0], names[1]).awaitTermination()
-    jobs.keep_once(stream(), names[2], names[3]).awaitTermination()
+    jobs.keep_once(stream(), names[2], names[3], "year").awaitTermination()
     assert len(list((tmp_path / "days").glob("batch=*"))) == 3
     got = jobs.read_daily_minutes(spark, names[0]).agg(F.sum("minutes")).first()[0]
     assert got == pytest.approx(plays.agg(F.sum("ms_played")).first()[0] * 2 / 60000)
