@@ -5,6 +5,9 @@ NULLs, empty texts, repeated rows and extra columns are treated as each operator
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sonolog.llm import exact_dedup, near_dedup, packing, quality, toxicity
@@ -12,22 +15,46 @@ from sonolog.llm.common import table, tokenizer_path
 from sonolog.session import scratch_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Bytes of rows that go to a Python worker at once, so that workers stay small next to a JVM which earlier stages have filled.
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """Lower the session's batch size for Python before the stage; a smaller one stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = int(spark.conf.get(BATCH_CONF).strip("b"))
+        if now <= 0 or now > BATCH_BYTES:
+            spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep(docs)
 
 
+@in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.keep(docs)
 
 
+@in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(spark, docs, tokenizer_path())
 

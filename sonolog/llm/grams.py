@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 START = 2
 BLOCK_CHARS = 8_000_000
-CHUNK_UNITS = 2_000_000
+CHUNK_UNITS = 500_000
 BLOCKS = "block bigint, keys array<string>, sizes array<int>, texts binary"
 
 
