@@ -22,12 +22,12 @@ BATCH_BYTES = 8 << 20
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """Lower the session's batch size for Python before the stage; a smaller one stays."""
+    """Lower the session's batch size for Python before the stage; a smaller one, or one given with a unit, stays."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        now = int(spark.conf.get(BATCH_CONF).strip("b"))
-        if now <= 0 or now > BATCH_BYTES:
+        now = spark.conf.get(BATCH_CONF).lower().removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
             spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
