@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import cycle
 from operator import add
 
 import numpy as np
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import cut, hot_join, release, text_or_empty, unused
 from .grams import row_key
 
@@ -178,14 +180,26 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInPandas(_verify, "a binary, b binary, similarity double")
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of each connected component, for all nodes that have an edge.
 
     A node takes the smallest label around it, hands it on to the node that its old label names, and then takes
     the label of its label, so that long chains shrink by a factor in every step.
+
+    Edges and labels are stored as Parquet files, whose sizes Spark knows. For a checkpoint it goes on with the size it
+    estimated, for a join the product of both sides: from step to step and call to call, a number of ever more digits in
+    the driver, beyond its memory before long. A step's labels take the place of those before the last.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
+    spark = edges.sparkSession
+    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), scratch_path(spark, "edges"))
+    slots = cycle([scratch_path(spark, "labels"), scratch_path(spark, "labels")])
+    labels = _stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), next(slots))
     while True:
         other = labels.select(F.col("node").alias("other"), F.col("root").alias("theirs"))
         near = both.join(other, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
@@ -195,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
             seen.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "theirs", "hook").alias("root"))
         )
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        stepped = cut(hooked.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")))
+        stepped = _stored(hooked.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), next(slots))
         labels = stepped.select("node", "root")
         if not stepped.where("root <> old").limit(1).count():
             return labels

@@ -1,6 +1,7 @@
 """Exact and near deduplication, sharding: SQL, brute force, odd inputs."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -241,3 +242,18 @@ def test_marks_never_prove_a_link_apart(spark):
     assert all(got[i] for i, t in enumerate(truth) if t >= 0.8)
     assert not any(got[i] for i, t in enumerate(truth) if t < 0.5 and rows[i][1] > 100)
     assert len({(len(r[2]), len(r[4])) for r in rows if len(r[2]) != len(r[4])}) > 0
+
+
+def test_components_do_not_carry_ever_larger_estimates(spark, capsys):
+    """The size that Spark expects of the classes stays that of a table, however many rounds and calls there were."""
+    steps = [(i, i + 1) for i in range(40)]
+    edges = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in steps], "a binary, b binary")
+    for _ in range(3):
+        roots = near_dedup.components(edges)
+        more = roots.join(roots.toDF("other", "root"), "root").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        edges = edges.unionByName(more.where("a < b"))
+    assert {(r.node, r.root) for r in roots.collect()} == {(bytes([i]), bytes([0])) for i in range(41)}
+    capsys.readouterr()
+    roots.explain("cost")
+    powers = [int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out)]
+    assert max(powers, default=0) < 40
