@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tasks_for, text_bytes, text_or_empty
+from .common import kept, tasks_for, text_bytes, text_or_empty
 
 # White space of the vocabulary's split rule: the White_Space property.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -32,7 +32,6 @@ WORD = re.compile(f"[^{SPACE}]+")
 SIMPLE = re.compile("[\x21-ɏ]*")
 CACHE_WORDS = 500_000
 BLOCK_CHARS = 32_000_000
-_LOADED: dict[int, WordEncoder] = {}
 
 DOCS = "block string, keys array<bigint>, counts array<int>, codes binary"
 WORDS = "share int, block string, codes binary, words binary"
@@ -120,12 +119,8 @@ class WordEncoder:
 
 
 def encoder(vocabulary: str) -> WordEncoder:
-    """One encoder per Python worker and vocabulary."""
-    key = hash(vocabulary)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordEncoder(vocabulary)
-    return _LOADED[key]
+    """One encoder per Python worker and vocabulary, until another step keeps or forgets."""
+    return kept(("encoder", hash(vocabulary)), lambda: WordEncoder(vocabulary))
 
 
 def read_vocabulary(path: str) -> str:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import gc
 import math
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+T = TypeVar("T")
 TOKENIZER = "word_bpe_49k.json"
 # A key is hot from this share of the rows on, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 1000
@@ -18,6 +21,25 @@ ROWS_PER_RANGE = 500_000
 BYTES_PER_TASK = 64_000_000
 
 
+_KEPT: dict[object, object] = {}
+
+
+def kept(owner: object, make: Callable[[], T]) -> T:
+    """What ``owner`` keeps in a Python worker from task to task.
+
+    Workers outlive a step, so what another owner kept there goes: a worker holds one such store at a time.
+    """
+    if owner not in _KEPT:
+        forget()
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
+def forget() -> None:
+    """Give up what a step that ran in this Python worker before has kept there."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
+
 ORDER = 4
 START = 2
 BLOCK_CHARS = 8_000_000
@@ -76,6 +78,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], l
     """Number, keys and texts of blocks of consecutive rows."""
     from pyspark import TaskContext
 
+    forget()
     number = TaskContext.get().partitionId() << 32
     keys: list[str] = []
     texts: list[str] = []

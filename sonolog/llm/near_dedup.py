@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import cut, hot_join, release, text_or_empty, unused
+from .common import cut, hot_join, kept, release, text_or_empty, unused
 from .grams import row_key
 
 WORDS = 5
@@ -52,7 +52,6 @@ MARKS_EACH, MARKS_MIN, MARKS_MAX = 8, 1024, 8192
 TURNS = 2
 CACHE_WORDS = 300_000
 U = np.uint64
-_HASHES: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,9 +64,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """A hash for each word, in order."""
     words = text.lower().split()
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    known = _HASHES
+    known = kept("word hashes", dict)
+    if len(known) > CACHE_WORDS:
+        known.clear()
     for w in words:
         if w not in known:
             known[w] = xxhash.xxh64_intdigest(w)

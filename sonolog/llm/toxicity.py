@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_or_empty, unused
+from .common import cut, forget, text_or_empty, unused
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -75,6 +75,7 @@ def features(text: str) -> set[str]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget()
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, positive in zip(batch["text"], batch["positive"], strict=True):
@@ -203,6 +204,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = _score_texts(shared.value, batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])

@@ -257,3 +257,18 @@ def test_components_do_not_carry_ever_larger_estimates(spark, capsys):
     roots.explain("cost")
     powers = [int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out)]
     assert max(powers, default=0) < 40
+
+
+def test_a_worker_keeps_the_store_of_one_step_only(spark):
+    """Workers are used again by later steps; words and their ids of earlier ones must not stay in them."""
+    from sonolog.llm import common, toxicity
+
+    near_dedup.word_hashes("some words of a text")
+    assert len(common.kept("word hashes", dict)) == 5
+    common.kept("another step", dict)["x"] = 1
+    near_dedup.word_hashes("some words")
+    assert len(common.kept("word hashes", dict)) == 2
+    assert common.kept("another step", dict) == {}
+    common.kept("another step", dict)["x"] = 1
+    list(toxicity._counts(iter([])))
+    assert common.kept("another step", dict) == {}
