@@ -34,7 +34,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -179,13 +179,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInPandas(_verify, "a binary, b binary, similarity double")
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` and read from there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Steps:
+    """Results of steps as Parquet files in a folder of their own, until they are dropped.
 
+    Unlike checkpoints they are compressed, read by the column and in as many tasks as their size asks for, not in one
+    for each task that wrote them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch_path(spark, name)
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written under ``name``, in place of what was there, and read from there."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, steps: Steps | None = None, name: str = "roots") -> DataFrame:
     """``node, root``: the smallest node of each connected component, for all nodes that have an edge.
 
     A node takes the smallest label around it, hands it on to the node that its old label names, and then takes
@@ -193,28 +208,33 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges and labels are stored as Parquet files, whose sizes Spark knows. For a checkpoint it goes on with the size it
     estimated, for a join the product of both sides: from step to step and call to call, a number of ever more digits in
-    the driver, beyond its memory before long. A step's labels take the place of those before the last.
+    the driver, beyond its memory before long. A step's labels take the place of those before the last; of ``steps`` only
+    ``name`` is left in the end.
     """
-    spark = edges.sparkSession
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), scratch_path(spark, "edges"))
-    slots = cycle([scratch_path(spark, "labels"), scratch_path(spark, "labels")])
-    labels = _stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), next(slots))
+    steps = steps or Steps(edges.sparkSession, "components")
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = steps.store("edges", edges.select(F.explode(ways).alias("way")).select("way.*").distinct())
+    slots = cycle(["odd", "even"])
+    labels = steps.store(next(slots), both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")))
     while True:
         other = labels.select(F.col("node").alias("other"), F.col("root").alias("theirs"))
         near = both.join(other, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         seen = labels.join(near, "node")
         hooks = seen.groupBy(F.col("root").alias("node")).agg(F.min("theirs").alias("hook"))
-        hooked = cut(
-            seen.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "theirs", "hook").alias("root"))
+        hooked = steps.store(
+            "hooked",
+            seen.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "theirs", "hook").alias("root")),
         )
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        stepped = _stored(hooked.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), next(slots))
+        stepped = steps.store(next(slots), hooked.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")))
         labels = stepped.select("node", "root")
         if not stepped.where("root <> old").limit(1).count():
-            return labels
+            found = steps.store(name, labels)
+            steps.drop("edges", "hooked", "odd", "even")
+            return found
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
+def buckets(nodes: DataFrame, steps: Steps) -> DataFrame:
     """``band, node, size, first``: members of all bands that have at least two nodes.
 
     ``first`` is the member that meets most others over all its bands, as the original of many copies does;
@@ -222,11 +242,13 @@ def buckets(nodes: DataFrame) -> DataFrame:
     """
     members = nodes.where("bands is not null").select(F.explode("bands").alias("band"), "node", "size")
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(members.join(shared, "band"))
+    met = steps.store("met", members.join(shared, "band"))
     crowd = met.groupBy("node").agg(F.sum("n").alias("crowd"))
     rank = F.struct(-F.col("crowd"), F.col("node"))
     first = met.select("band", "node").join(crowd, "node").groupBy("band").agg(F.min_by("node", rank).alias("first"))
-    return met.drop("n").join(first, "band")
+    found = steps.store("members", met.drop("n").join(first, "band"))
+    steps.drop("met")
+    return found
 
 
 def room(size: str, marked: str, size_: str, marked_: str) -> Column:
@@ -275,22 +297,20 @@ def near_sizes(a: str, b: str) -> Column:
 
 
 def mixed(members: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame:
-    """``band, node, size, first, root`` of the buckets that have several components, and a ``pivot`` of each.
+    """``band, node, size, first, root`` of the buckets that have several components, and of each a ``pivot, size_, root_``.
 
     The pivot is any member, another one in every bucket and turn.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    any_of = F.min_by("node", F.xxhash64("band", "node", F.lit(turn)))
-    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), any_of.alias("pivot"))
-    return placed.join(several.where("low <> high").select("band", "pivot"), "band")
+    own = F.struct(F.col("node").alias("pivot"), F.col("size").alias("size_"), F.col("root").alias("root_"))
+    any_of = F.min_by(own, F.xxhash64("band", "node", F.lit(turn)))
+    several = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), any_of.alias("any"))
+    return placed.join(several.where("low <> high").select("band", "any.*"), "band")
 
 
 def pivot_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """Every member of a mixed bucket with the bucket's pivot, unless connected or proven apart."""
-    placed = mixed(members, roots, turn)
-    pivots = members.select(F.col("node").alias("pivot"), F.col("size").alias("size_")).distinct()
-    pivots = pivots.join(roots.toDF("pivot", "root_"), "pivot", "left").withColumn("root_", F.coalesce("root_", "pivot"))
-    met = placed.join(pivots, "pivot").where((F.col("root") != F.col("root_")) & near_sizes("size", "size_"))
+    met = mixed(members, roots, turn).where((F.col("root") != F.col("root_")) & near_sizes("size", "size_"))
     once = met.select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
     ).distinct()
@@ -299,19 +319,20 @@ def pivot_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, turn: in
     return both.where(room("size", "marks", "size_", "marks_")).select("a", "b")
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: DataFrame, steps: Steps) -> DataFrame:
     """Pairs of a bucket that are in different components and not proven apart.
 
     A pair that shares several mixed bands comes out of the smallest one only.
     """
-    placed = cut(mixed(members, roots))
+    placed = steps.store("placed", mixed(members, roots).select("band", "node", "size", "first", "root"))
     shared = placed.groupBy("node").agg(F.collect_list("band").alias("bands"))
     to_first = known.select(F.col("a").alias("first"), F.col("b").alias("node"), "similarity")
     s = F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("similarity"))
-    left = cut(
+    left = steps.store(
+        "left",
         placed.join(to_first, ["first", "node"], "left")
         .select("band", "node", "size", "root", s.alias("s"))
-        .join(shared.join(nodes.select("node", "marks", coarse("marks").alias("coarse")), "node"), "node")
+        .join(shared.join(nodes.select("node", "marks", coarse("marks").alias("coarse")), "node"), "node"),
     )
     right = left.select("band", *[F.col(c).alias(f"{c}_") for c in ("node", "size", "root", "s", "bands", "marks", "coarse")])
     apart = F.coalesce(F.abs(F.col("s") - F.col("s_")) > 1 - SIMILARITY + 1e-9, F.lit(False))
@@ -326,41 +347,55 @@ def open_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, roots: Da
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows ``key, row_key, node`` of all documents, and ``node, root, links`` of all nodes."""
     identity = row_key(docs)
+    steps = Steps(docs.sparkSession, "near-dedup")
     flat = docs.select(identity.alias("key"), text_or_empty(text).alias("text"))
-    signed = cut(flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>, marks array<bigint>"))
-    rows = docs.select(F.col(key).alias("id"), identity.alias("key")).join(
-        signed.groupBy("key").agg(F.first("node").alias("node")), "key"
+    signed = steps.store(
+        "signed", flat.mapInPandas(_sign, "key bigint, node binary, size bigint, bands array<bigint>, marks array<bigint>")
     )
-    nodes = signed.groupBy("node").agg(
-        F.first("size").alias("size"), F.first("bands").alias("bands"),
-        F.first("marks").alias("marks"), F.min("key").alias("key"),
+    by_key = signed.groupBy("key").agg(F.first("node").alias("node"))
+    rows = steps.store("rows", docs.select(F.col(key).alias("id"), identity.alias("key")).join(by_key, "key"))
+    nodes = steps.store(
+        "nodes",
+        signed.groupBy("node").agg(
+            F.first("size").alias("size"), F.first("bands").alias("bands"),
+            F.first("marks").alias("marks"), F.min("key").alias("key"),
+        ),
     )
-    members = cut(buckets(nodes))
+    steps.drop("signed")
+    release(docs.sparkSession)
+    members = buckets(nodes, steps)
     first = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = cut(flat.join(wanted, "key").select("node", "text").dropDuplicates(["node"]))
+    texts = steps.store("texts", flat.join(wanted, "key").select("node", "text").dropDuplicates(["node"]))
+    release(docs.sparkSession)
     sizes = members.select("node", "size").distinct()
     fitting = (
         first.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(near_sizes("sa", "sb")).select("a", "b")
     )
-    known = cut(verified(fitting, texts))
+    known = steps.store("known", verified(fitting, texts))
     is_link = F.col("similarity") >= SIMILARITY
     edges = known.where(is_link).select("a", "b")
-    roots = components(edges)
+    roots = components(edges, steps)
     for turn in range(TURNS):
         release(docs.sparkSession)
-        joined = cut(verified(pivot_pairs(members, nodes, roots, turn), texts)).where(is_link).select("a", "b")
+        joined = steps.store(f"turn-{turn}", verified(pivot_pairs(members, nodes, roots, turn), texts)).where(is_link).select("a", "b")
         if joined.isEmpty():
             break
         edges = edges.unionByName(joined)
-        roots = components(edges)
+        roots = components(edges, steps)
     release(docs.sparkSession)
-    more = cut(verified(open_pairs(members, nodes, known, roots), texts)).where(is_link)
+    more = steps.store("more", verified(open_pairs(members, nodes, known, roots, steps), texts)).where(is_link).select("a", "b")
+    steps.drop("members", "texts", "placed", "left")
     release(docs.sparkSession)
-    edges = cut(edges.unionByName(more.select("a", "b")).select("a", "b").distinct())
-    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    grouped = nodes.select("node").join(components(edges), "node", "left").join(links, "node", "left")
-    return cut(rows), grouped.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        roots = components(edges, steps)
+    links = edges.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    grouped = nodes.select("node").join(roots, "node", "left").join(links, "node", "left")
+    grouped = grouped.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    found = steps.store("classes", grouped)
+    steps.drop("nodes", "known", *[f"turn-{i}" for i in range(TURNS)], "more", "roots")
+    return rows, found
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -272,3 +272,23 @@ def test_a_worker_keeps_the_store_of_one_step_only(spark):
     common.kept("another step", dict)["x"] = 1
     list(toxicity._counts(iter([])))
     assert common.kept("another step", dict) == {}
+
+
+def test_near_dedup_drops_the_results_of_its_steps(spark, tmp_path, monkeypatch):
+    """Signatures, marks, texts, edges and labels go; ids, nodes and classes stay."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:38], f"x{i % 3}", f"y{i % 3}"] if i % 2 else [f"z{i}{w}" for w in words])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "scratch_path", lambda _, name: str(tmp_path / name))
+    assert {r.doc_id for r in near_dedup.keep(docs).collect()} == {1, *range(0, 20, 2)}
+    assert {p.parent.name for p in tmp_path.rglob("part-*.parquet")} == {"rows", "classes"}
+
+
+def test_a_bucket_has_a_pivot_with_its_own_size_and_root(spark):
+    rows = [(1, b"a", 10, b"a"), (1, b"b", 11, b"a"), (1, b"c", 12, b"a"), (2, b"a", 10, b"a"), (2, b"b", 11, b"a")]
+    members = spark.createDataFrame(rows, "band bigint, node binary, size bigint, first binary")
+    roots = spark.createDataFrame([(b"a", b"a"), (b"b", b"a")], "node binary, root binary")
+    got = near_dedup.mixed(members, roots).collect()
+    assert {(r.band, bytes(r.node)) for r in got} == {(1, b"a"), (1, b"b"), (1, b"c")}
+    assert len({bytes(r.pivot) for r in got}) == 1
+    assert {(r.size_, bytes(r.root_)) for r in got} <= {(10, b"a"), (11, b"a"), (12, b"c")}
