@@ -14,6 +14,7 @@ repeated rows and NULL or repeated ids each give a row; an empty table gives no
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,12 @@ SPACE = "\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[^{SPACE}]+")
 # Largest code point that takes the short way in ``WordEncoder``; all others go through the library.
 SIMPLE = re.compile("[\x21-ɏ]*")
+# The split rule of the public vocabulary, and what it comes to for ASCII in lower case without control characters.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PARTS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-`{-~]+").findall
+CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]").search
+# White space to ``str.split`` only.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 CACHE_WORDS = 500_000
 BLOCK_CHARS = 32_000_000
 
@@ -49,6 +56,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Made(dict):
+    """A dict that makes the value of a key it does not have, and begins anew at ``CACHE_WORDS`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """Ids of words without white space, as little-endian bytes of ``dtype``.
 
@@ -70,9 +92,11 @@ class WordEncoder:
         self.letters = dict(enumerate(byte_letters()))
         spec = json.loads(vocabulary)
         self.split = regex.compile(self._pattern(spec)).findall if self._known(spec) else None
+        self.plain = bool(self.split) and self._pattern(spec) == RULE
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.special_in = re.compile("|".join(map(re.escape, self.special))).search if self.special else lambda word: None
+        self.parts = _Made(self._part)
+        self.words = _Made(self.encode)
 
     @staticmethod
     def _known(spec: dict) -> bool:
@@ -85,37 +109,32 @@ class WordEncoder:
         return spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            # Below 128, all that a part can hold are their own byte letters, but for U+007F.
-            plain = part.isascii() and "\x7f" not in part
-            mapped = part if plain else part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = self._pack([t.id for t in self.model.tokenize(mapped)])
-        return got
+        # Below 128, all that a part can hold are their own byte letters, but for U+007F.
+        plain = part.isascii() and "\x7f" not in part
+        mapped = part if plain else part.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def encode(self, word: str) -> bytes:
-        if self.split and SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
-            return b"".join([self._part(p) for p in self.split(word.lower())])
+        if self.split and SIMPLE.fullmatch(word) and not self.special_in(word):
+            word = word.lower()
+            if self.plain and word.isalpha():
+                return self.parts[word]
+            clear = self.plain and word.isascii() and word.isprintable()
+            return b"".join([self.parts[p] for p in (ASCII_PARTS if clear else self.split)(word)])
         return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
 
     def text_ids(self, text: str) -> bytes:
         """Ids of a whole text, with a bounded memory of words seen."""
-        found = WORD.findall(text)
-        words, encode = self.words, self.encode
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        out = []
-        for w in found:
-            ids = words.get(w)
-            if ids is None:
-                ids = words[w] = encode(w)
-            out.append(ids)
-        return b"".join(out)
+        if self.plain and text.isascii() and not CONTROL(text):
+            # No part reaches across white space, so the whole text is split at once; there are fewer parts than words.
+            lower = text.lower()
+            if not any([s.lower() in lower for s in self.special]):
+                return b"".join(map(self.parts.__getitem__, ASCII_PARTS(lower)))
+        words = WORD.findall(text) if any([c in text for c in SEPARATORS]) else text.split()
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def encoder(vocabulary: str) -> WordEncoder:

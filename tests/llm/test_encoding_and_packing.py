@@ -164,3 +164,18 @@ def test_one_length_in_a_third_of_the_rows(spark):
     got = packing.place(rows.checkpoint(), 100, ["id"]).collect()
     assert len(got) == len(lengths)
     assert check_packed(got, 100) == len(plain_best_fit(lengths, 100))
+
+
+def test_plain_texts_are_split_at_once_into_the_librarys_ids():
+    """Words that differ in case or in the marks around them cost no entry of their own; other texts take the longer way."""
+    known = bpe.WordEncoder(VOCABULARY)
+
+    def same(text: str) -> bool:
+        own = np.frombuffer(known.text_ids(text), known.dtype).tolist()
+        return own == known.whole.encode(text, add_special_tokens=False).ids
+
+    plain = " ".join([f"{w}{end}" for w in ("Word", "WORD", "word", "it's", "IT'S") for end in ("", ",", ".", "!?", "12", "'s", "'re\n")])
+    assert same(plain) and not known.words and len(known.parts) < 20
+    odd = ["", "a<|ENDOFTEXT|>b <|endoftext|>C", "\x1cA\x1fb\x7f \x00'S", "é'S \x85 İ\xa0²x", "Ll--'D _a_\t`b`"]
+    odd += [f"a{chr(i)}B {chr(i)} 's{chr(i)}'S 1{chr(i)}." for i in range(0x260)]
+    assert [x for x in odd if not same(x)] == []
